@@ -11,6 +11,26 @@ from parcelry.llm.shared import read
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from parcelry.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.html_text import extract_pages
+
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.mixing import Mix
 
@@ -30,7 +50,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_mixing, op9_host_rules, op10_url_reputation)}
+    return {f.__name__: f for f in (op3_packing, op5_fingerprints, op7_html_text, op8_mixing, op9_host_rules, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
