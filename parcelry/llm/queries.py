@@ -11,6 +11,12 @@ from parcelry.llm.shared import read
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), width=5, least=0.8)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.substring_dedup import Repeats
 
@@ -56,7 +62,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_packing, op5_fingerprints, op7_html_text, op8_mixing, op9_host_rules, op10_url_reputation)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_packing, op5_fingerprints, op7_html_text, op8_mixing, op9_host_rules, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
