@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelry.llm.shared import read
+from parcelry.llm.shared import fold, read
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -31,6 +32,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.language_id import identify
+
+    return identify(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2)
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.quality_model import score_quality
+
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) == 1)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.fingerprints import fingerprint_edits
 
@@ -62,7 +75,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_packing, op5_fingerprints, op7_html_text, op8_mixing, op9_host_rules, op10_url_reputation)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_packing, op4_language_id, op5_fingerprints, op6_quality_model, op7_html_text, op8_mixing, op9_host_rules, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
