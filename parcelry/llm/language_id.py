@@ -191,19 +191,19 @@ def identify(docs: DataFrame, held_out: Column, **parameters) -> DataFrame:
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model, 2), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, held_out: Column, least: float = 0.5, **parameters) -> DataFrame:
-    """The rows of docs whose language is told with a score of at least `least`, columns and values as they are."""
-    model = train(docs.filter(~held_out), **parameters)
-    texts = F.pandas_udf(_told(model, least), "boolean")
-    return docs.filter(texts(F.col("text").cast("string")))
+def accepted(docs: DataFrame, least: float = 0.5, **parameters) -> DataFrame:
+    """The rows of docs whose language is told with a score of at least `least`; columns and values stay as they are.
 
+    The model learns from all rows with a non-null lang. Null texts and texts without letters go.
+    """
+    model = train(docs.select("doc_id", "text", "lang"), **parameters)
+    at = docs.columns.index("text")
 
-def _told(model: Model | None, least: float):
-    import pandas as pd
-
-    def told(text: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
-        (out,) = _predict(model, 0)(iter([batch]))
-        return pd.Series((out.column(0).to_numpy(zero_copy_only=False) != "und") & (out.column(1).to_numpy() >= least))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = _predict(model, 0)
+        for batch in batches:
+            (out,) = told(iter([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]))
+            sure = (out.column(0).to_numpy(zero_copy_only=False) != "und") & (out.column(1).to_numpy() >= least)
+            yield batch.filter(pa.array(sure, pa.bool_()))
 
-    return told
+    return docs.mapInArrow(run, docs.schema)

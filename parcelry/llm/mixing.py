@@ -14,16 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parcelry.llm.shared import WORD, saved, words
+from parcelry.llm.shared import WORD, renewed, saved, words
 
 #: Odd multipliers of the mixing rounds; below 2^22, so that products of 40-bit indices stay within a long.
 MULTIPLIERS = (2654435, 3266489, 1103515)
 CHUNK, WALKS, TOP = 4096, 64, 65536
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with row (a key of its own for every row) and size (words; null text has none), as a saved table."""
-    return saved(docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+def sized(docs: DataFrame, whole: bool) -> DataFrame:
+    """row (a key of its own for every row), doc_id, source and size (words; null text has none), as a saved table.
+
+    whole: with the row itself as d, so that its columns can't clash.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    kept = [F.struct(*docs.columns).alias("d")] if whole else []
+    return saved(docs.select("doc_id", "source", size.alias("size"), *kept).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -115,8 +120,9 @@ class Mix:
     table gives an empty mix. Rows that share a doc_id count each.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3, block: int = 128, shard_slots: int = 8192, seed: int = 17):
-        self.sizes = sized(docs)
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3, block: int = 128, shard_slots: int = 8192, seed: int = 17, whole: bool = False):
+        self.columns = docs.columns
+        self.sizes = sized(docs, whole)
         self.plan = saved(budget(targets(self.sizes, weights, cap), block, cap), "mix-plan")
         self.slots = slots(self.plan, seed, shard_slots)
         self.blocks = document_blocks(self.sizes, self.sizes.count(), block)
@@ -133,18 +139,15 @@ class Mix:
         return per.agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken")).drop("row")
 
     def documents(self) -> DataFrame:
-        """The mix as documents: for each pass that takes words of a row, that row with the words taken, in order.
+        """The mix as documents (needs whole=True): for each pass that takes words of a row, that row with the words taken, in order.
 
         A row taken whole keeps its text; of one taken in part the words are joined by one space. n_chars, if there, is
         counted anew.
         """
         pieces = self.ranked(self.blocks).join(self.slots.select("rank", "pass", "block"), ["rank", "block"])
         spans = pieces.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("mixed"))
-        out = self.sizes.join(spans, "row")
-        w = words(F.col("text"))
-        part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("_w"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
-        out = out.withColumn("_w", F.when(F.col("mixed") < F.col("size"), w))
-        out = out.withColumn("text", F.when(F.col("mixed") < F.col("size"), part).otherwise(F.col("text")))
-        if "n_chars" in out.columns:
-            out = out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
-        return out.drop("_w", "spans", "mixed", "size", "row", "pass")
+        out = self.sizes.select("row", "size", "d").join(spans, "row")
+        part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("w"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
+        out = out.withColumn("w", F.when(F.col("mixed") < F.col("size"), words(F.col("d.text"))))
+        out = out.withColumn("mixed_text", F.when(F.col("mixed") < F.col("size"), part).otherwise(F.col("d.text")))
+        return out.select(*(renewed(c, F.col(f"d.`{c}`"), F.col("mixed_text")) for c in self.columns))

@@ -230,9 +230,7 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each class: the one with the smallest doc_id (of equal rows, any one)."""
-    kept = classified(docs, **parameters).filter("kept").select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-    keyed = keyed.withColumn("_id", F.coalesce("_id", F.lit(-1 << 63)))
-    kept = saved(kept.withColumn("_id", F.coalesce("_id", F.lit(-1 << 63))), "near-kept")
-    return keyed.join(kept, ["_id", "_k1", "_k2"], "left_semi").dropDuplicates(["_id", "_k1", "_k2"]).drop("_id", "_k1", "_k2")
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.struct(*docs.columns).alias("d"))
+    kept = classified(docs, **parameters).filter("kept").select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), "k1", "k2")
+    return whole.join(saved(kept, "near-kept"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"]).select("d.*")

@@ -21,7 +21,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.substring_dedup import Repeats
 
-    return Repeats(read(spark, sf_dir, "documents"), k=20).cut(with_text=False).drop("kept_text")
+    return Repeats(read(spark, sf_dir, "documents"), k=20).cut()
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,10 @@ def words(text: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo parts (a null id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def renewed(name: str, old: Column, text: Column) -> Column:
+    """A column of documents after its text has changed: text is replaced, n_chars counted anew, all else stays."""
+    if name == "text":
+        return text.alias(name)
+    return (F.length(text).cast("long") if name == "n_chars" else old).alias(name)

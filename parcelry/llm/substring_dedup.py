@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parcelry.llm.shared import saved
+from parcelry.llm.shared import renewed, saved
 from parcelry.llm.tokens import Chunk, chunks, mix, signed
 
 LOWEST = -(1 << 63)
@@ -120,7 +120,7 @@ def _runs(k: int, m: int):
     return run
 
 
-KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def covered(n_words: int, spans: list[dict], key: int, k: int) -> np.ndarray:
@@ -135,26 +135,27 @@ def covered(n_words: int, spans: list[dict], key: int, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(k: int, with_text: bool):
-    names = [x.split()[0] for x in KEPT.split(", ")]
+def _cut(k: int, whole: bool):
+    names = [x.split()[0] for x in CUT.split(", ")] + ["kept_text", "d"] * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            counts, removals, digests, texts = [], [], [], []
+            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
                 words, removed = raw.split(), 0
                 if spans.is_valid:
                     key = int(np.array([xxhash.xxh3_64_intdigest(raw)], np.uint64).view(np.int64)[0])
                     gone = covered(len(words), spans.as_py(), key, k)
                     removed = int(gone.sum())
-                if removed:
-                    kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                else:
-                    kept = b" ".join(words)
-                rows.append((doc_id, len(words), removed, hashlib.sha256(kept).hexdigest(), (kept.decode() if removed else text.as_py()) if with_text else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
+                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if removed else b" ".join(words)
+                counts.append(len(words))
+                removals.append(removed)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                if whole:
+                    texts.append(kept.decode() if removed else text.as_py())
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removals, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.string()), batch.column(3)] if whole else []), names)
 
     return run
 
@@ -168,7 +169,7 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame, k: int = 20, m: int = 8):
-        self.k = k
+        self.k, self.given = k, docs
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
         counted = self.docs.mapInArrow(_anchors(k, m, False), "anchor long").groupBy("anchor").count()
         repeated = saved(counted.filter("count > 1").select("anchor"), "repeat-anchors")
@@ -223,12 +224,23 @@ class Repeats:
         spans = paths.agg(F.min("start").alias("start"), (F.sum("n") + self.k - 1).alias("n_words"), F.min_by("owner", "start").alias("owner"))
         return spans.select("doc_id", "start", "n_words", F.col("owner.doc_id").alias("owner_doc_id"), F.col("owner.start").alias("owner_start"))
 
-    def cut(self, with_text: bool = True) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256, kept_text for every row of docs.
+    def cut(self) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for every row of docs."""
+        return self._joined(self.docs).mapInArrow(_cut(self.k, False), CUT).withColumn("doc_id", F.nullif("doc_id", F.lit(LOWEST)))
+
+    def documents(self) -> DataFrame:
+        """docs without the repeated words: their columns, with the kept words joined by one space as text.
 
-        kept_text is the text itself if nothing was removed, else the kept words joined by one space.
+        A text that loses nothing stays as it is; a row that loses all its words goes.
         """
+        names = self.given.columns
+        rows = self.given.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*names).alias("d"))
+        joined = self._joined(rows)
+        kind = rows.schema["d"].dataType.simpleString()
+        out = joined.mapInArrow(_cut(self.k, True), f"{CUT}, kept_text string, d {kind}").filter("n_removed = 0 or n_removed < n_words")
+        return out.select(*(renewed(c, F.col(f"d.`{c}`"), F.col("kept_text")) for c in names))
+
+    def _joined(self, rows: DataFrame) -> DataFrame:
         per = self.spans().groupBy("doc_id").agg(F.collect_set(F.struct("text_key", "start", "n", "mask")).alias("spans"))
-        joined = self.docs.join(per, "doc_id", "left").select("doc_id", "text", "spans")
-        out = joined.mapInArrow(_cut(self.k, with_text), KEPT)
-        return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LOWEST)))
+        more = [c for c in rows.columns if c == "d"]
+        return rows.join(per, "doc_id", "left").select("doc_id", "text", "spans", *more)
