@@ -78,9 +78,9 @@ def slots(plan: DataFrame, seed: int, shard_slots: int) -> DataFrame:
     Indices are dealt out in chunks, so that a source's slots aren't one array. The permutation of 0..blocks-1 walks the
     cycle of a bijection of 0..2^bits-1 (at most twice as many) until it is in range.
     """
-    total = plan.agg(F.sum("slots").alias("all_slots"))
-    p = plan.filter("slots > 0").join(F.broadcast(total)).select("rank", "blocks", "slots", "bits", "mask", F.ceil(F.col("all_slots") / shard_slots).alias("shards"))  # total: one row
-    p = p.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))).repartition("rank", "chunk")
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    p = plan.filter("slots > 0").select("rank", "blocks", "slots", "bits", "mask", F.lit(max(1, -(-total // shard_slots))).cast("long").alias("shards"))
+    p = p.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))).repartition(max(1, min(10_000, -(-total // (8 * CHUNK)))), "rank", "chunk")
     last = F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1
     p = p.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk")
     p = p.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "rank", "pass"), 1))
@@ -134,7 +134,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target, taken: one row per row of docs."""
         counts = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-        b = self.ranked(self.blocks).join(counts, ["rank", "block"], "left")
+        b = self.ranked(self.blocks).join(counts.hint("merge"), ["rank", "block"], "left")
         per = b.groupBy("row", "doc_id", "source", "size", "source_size", "target")
         return per.agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken")).drop("row")
 
@@ -144,7 +144,7 @@ class Mix:
         A row taken whole keeps its text; of one taken in part the words are joined by one space. n_chars, if there, is
         counted anew.
         """
-        pieces = self.ranked(self.blocks).join(self.slots.select("rank", "pass", "block"), ["rank", "block"])
+        pieces = self.ranked(self.blocks).join(self.slots.select("rank", "pass", "block").hint("merge"), ["rank", "block"])
         spans = pieces.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("mixed"))
         out = self.sizes.select("row", "size", "d").join(spans, "row")
         part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("w"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
