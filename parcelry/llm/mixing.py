@@ -120,7 +120,7 @@ class Mix:
     table gives an empty mix. Rows that share a doc_id count each.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3, block: int = 128, shard_slots: int = 8192, seed: int = 17, whole: bool = False):
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3, block: int = 64, shard_slots: int = 8192, seed: int = 17, whole: bool = False):
         self.columns = docs.columns
         self.sizes = sized(docs, whole)
         self.plan = saved(budget(targets(self.sizes, weights, cap), block, cap), "mix-plan")
