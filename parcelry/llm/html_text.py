@@ -1,7 +1,7 @@
 """HTML extraction: parser events become lines; smoothed text-to-tag ratios pick the content regions.
 
-A page is read once through the standard library's event parser. Every block of text is a line with its characters, tags
-and the elements around it. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
+A page is read once through the standard library's event parser. Every block of text is a line with its characters, the tags
+within it and the elements around it. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 are marked. The text-to-tag ratio per line, smoothed with a Gaussian kernel, is split by a threshold between two
 clusters; the region that holds most of the upper cluster's characters is the article. All its unmarked lines
 are kept, whatever their own ratio, so that short paragraphs between long ones stay.
@@ -41,7 +41,7 @@ FEED = 1 << 16
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, marked, regions) per line."""
+    """Collects (text, tags, marked, regions) per line; a marked line's text isn't kept."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -52,13 +52,14 @@ class _Lines(HTMLParser):
         self.count = 0
         self.parts: list[str] = []
         self.tags = 0
+        self.hidden = False
 
     def end_line(self) -> None:
-        if self.parts:
-            if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, self.dropping > 0, self.regions))
-                self.tags = 0
-            self.parts = []
+        text = " ".join("".join(self.parts).split())
+        if text or self.hidden:
+            self.lines.append((text, self.tags, not text, self.regions))
+            self.tags = 0
+        self.parts, self.hidden = [], False
 
     def pop(self) -> None:
         name, drops, region = self.open.pop()
@@ -67,9 +68,10 @@ class _Lines(HTMLParser):
             self.regions = self.regions[:-1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+        else:
+            self.tags += 1
         if tag in VOID:
             return
         if tag in BLOCKS:
@@ -97,9 +99,10 @@ class _Lines(HTMLParser):
         self.open.append((tag, drops, region))
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+        else:
+            self.tags += 1
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 while len(self.open) > at:
@@ -107,7 +110,10 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if self.dropping:
+            self.hidden = True
+        else:
+            self.parts.append(data)
 
 
 def smoothed(ratios: list[float], sigma: float = 1.5) -> list[float]:
@@ -149,7 +155,7 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     # Marked lines count as text-free: their ratio is 0.
-    ratios = smoothed([0.0 if marked else len(text) / max(1, tags) for text, tags, marked, _ in lines])
+    ratios = smoothed([0.0 if marked else len(text) / (1 + tags) for text, tags, marked, _ in lines])
     limit = threshold(ratios)
     chosen = [not line[2] and r >= limit for line, r in zip(lines, ratios, strict=True)]
     if not any(chosen):
@@ -165,9 +171,16 @@ def main_text(html: str | None) -> str:
     best = max(by_region, key=lambda r: (by_region[r], r), default=-1)
     if best >= 0 and 2 * by_region[best] >= total:
         return " ".join(text for text, _, marked, regions in lines if not marked and best in regions)
-    # No element holds the article: from the first to the last chosen line.
+    # No element holds the article: from the first to the last chosen line, and on to the next marked lines.
     yes = [i for i, c in enumerate(chosen) if c]
-    return " ".join(line[0] for line in lines[yes[0] : yes[-1] + 1] if not line[2]) if yes else ""
+    if not yes:
+        return ""
+    first, last = yes[0], yes[-1]
+    while first > 0 and not lines[first - 1][2]:
+        first -= 1
+    while last + 1 < len(lines) and not lines[last + 1][2]:
+        last += 1
+    return " ".join(line[0] for line in lines[first : last + 1] if not line[2])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
