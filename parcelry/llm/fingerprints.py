@@ -119,7 +119,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def fingerprint_edits(docs: DataFrame, bucket_rows: int = 4096, buckets_max: int = 8192) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, bucket_rows: int = 1024, buckets_max: int = 8192) -> DataFrame:
     """Fingerprints of each text and of its edited text (the last quarter replaced from the next document), and likenesses.
 
     The documents are dealt by ranges of doc_id: the range edges are ids that exist (a bounded list), and the document at an edge goes
