@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,56 +18,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Word pieces that a worker remembers at most; when it is full, it starts anew.
-REMEMBERED = 150_000
+from parcelry.llm.tokens import BYTE, Chunk, chunks, mix, powers, sums
+
+#: Distinct parts that a worker remembers; beyond, it starts anew.
+REMEMBERED = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
+#: Bytes by kind: 0 white space, 1 letter, 2 digit, 3 other visible ASCII, 4 whatever the tokenizer must see in its word.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[33:127] = 3
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, equal to encoding each whole text.
+    """Token ids of texts, equal to encoding each whole text.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its parts between ASCII white
-    space in a row. Parts repeat; those seen lately are looked up, and only new ones are encoded.
+    The tokenizer lower-cases, drops white space and joins neither over it nor between letters, digits and signs. So a
+    text's ids are those of its parts in a row: runs of letters (ASCII and Latin-1), digits, runs of signs. Words with
+    anything else in them are parts as a whole. Parts are found and told apart by hash with array operations; ids of parts
+    seen lately are remembered in a sorted table, and only new parts are encoded.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.end = np.array([end_id], "<u4").tobytes()
-
-    def learn(self, parts: list[bytes]) -> None:
-        if len(self.known) + len(parts) > REMEMBERED:
-            self.known.clear()
-        coded = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(parts, coded, strict=True))
-
-    def encode(self, text: str | None) -> bytes:
-        parts = (text or "").encode().split()
-        out: list[bytes] = []
-        for at in range(0, len(parts), 20_000):  # fewer parts than are remembered
-            some = parts[at : at + 20_000]
-            if new := [p for p in dict.fromkeys(some) if p not in self.known]:
-                self.learn(new)
-                if any(p not in self.known for p in some):
-                    self.learn([p for p in dict.fromkeys(some) if p not in self.known])
-            out += map(self.known.__getitem__, some)
-        out.append(self.end)
-        return b"".join(out)
+        self.end = np.array([end_id], np.uint32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.starts, self.lengths, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def parts(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes (lower case where that is sure), beginnings and ends of the parts."""
+        data, n = c.data, len(c.data)
+        starts, ends = c.spans
+        lower = data + 32 * ((data >= 65) & (data <= 90)).astype(np.uint8)
+        kind = _KIND[data]
+        after_c3 = np.zeros(n, bool)  # second bytes of Latin-1 letters
+        after_c3[1:] = data[:-1] == 0xC3
+        latin = after_c3 & (data != 0x97) & (data != 0xB7)
+        lower[latin & (data >= 0x80) & (data <= 0x9E)] += 32
+        kind[latin] = 1
+        kind[np.flatnonzero(latin) - 1] = 1
+        special = (kind == 4) | (data == 0x27)
+        special[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        whole = np.add.reduceat(special, starts, dtype=np.int64) > 0 if len(starts) else np.zeros(0, bool)
+        edge = np.zeros(n + 1, np.int8)
+        edge[starts[whole]] = 1
+        edge[ends[whole]] -= 1
+        in_whole = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        begin = kind == 2
+        begin[1:] |= kind[1:] != kind[:-1]
+        begin &= (kind != 0) & ~in_whole
+        begin[starts] = True
+        at = np.flatnonzero(begin)
+        stop = np.minimum(np.append(at[1:], n), ends[np.searchsorted(starts, at, side="right") - 1])
+        return np.where(in_whole, data, lower), at, stop
+
+    def places(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
+        """Where in flat the ids of distinct parts begin, and how many they are; text_of gives the text of the i-th."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        if not known.all():
+            if len(self.hashes) > REMEMBERED:
+                self.forget()
+                return self.places(hashes, text_of)
+            new = np.flatnonzero(~known)
+            coded = self.tokenizer.encode_batch_fast([text_of(i) for i in new.tolist()], add_special_tokens=False)
+            ids = [e.ids for e in coded]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            start = len(self.flat) + np.cumsum(size) - size
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+            both = np.append(self.hashes, hashes[new])
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.starts, self.lengths = both[order], np.append(self.starts, start)[order], np.append(self.lengths, size)[order]
+            at = np.searchsorted(self.hashes, hashes)
+        return self.starts[at], self.lengths[at]
+
+    def encode(self, c: Chunk) -> Iterator[np.ndarray]:
+        """The ids of each text of the chunk with the end id."""
+        text, at, stop = self.parts(c)
+        power, inverse = powers(len(text) + 1)
+        total = sums(BYTE[text] * power[: len(text)])
+        codes, distinct = pd.factorize(mix((total[stop] - total[at]) * inverse[at]))
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        raw = text.tobytes()
+        start, length = self.places(distinct, lambda i: raw[at[first[i]] : stop[first[i]]].decode())
+        start, length = start[codes], length[codes]
+        upto = np.append(0, np.cumsum(length))
+        ids = self.flat[np.repeat(start - upto[:-1], length) + np.arange(upto[-1])]
+        bounds = upto[np.searchsorted(at, c.bounds)]
+        for d in range(len(bounds) - 1):
+            yield np.append(ids[bounds[d] : bounds[d + 1]], self.end)
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One per worker, so that what it remembers serves later tasks."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _pieces(path: str, end_id: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id)
+        encode = encoder(path, end_id).encode
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encoder.encode(text.as_py()))
-                n = len(ids) // 4
-                rows += ((doc_id, s, min(limit, n - s), zlib.crc32(ids[4 * s : 4 * (s + limit)]), n) for s in range(0, n, limit))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            doc_ids = batch.column(0).to_pylist()
+            for c in chunks(batch.column(1), 1 << 21):
+                rows: list[tuple] = []
+                for doc_id, ids in zip(doc_ids[c.row :], encode(c), strict=False):
+                    n = len(ids)
+                    rows += ((doc_id, s, min(limit, n - s), zlib.crc32(ids[s : s + limit]), n) for s in range(0, n, limit))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
     return run
 

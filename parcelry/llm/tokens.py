@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES, CHUNK_DOCS = 1 << 19, 4000
+CHUNKBYTES, CHUNK_DOCS = 1 << 19, 4000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE = np.random.default_rng(2024).integers(1, 1 << 64, 256, dtype=np.uint64)
+BYTE = np.random.default_rng(2024).integers(1, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -26,7 +26,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, up to n at least."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, CHUNKBYTES + 1)
         _powers[:] = []
         for b in (_BASE, _INVERSE):
             p = np.full(size, b, np.uint64)
@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _sums(x: np.ndarray) -> np.ndarray:
+def sums(x: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(x, out=out[1:])
     return out
@@ -75,7 +75,7 @@ class Chunk:
         """A hash of each word."""
         starts, ends = self.spans
         power, inverse = powers(len(self.data) + 1)
-        total = _sums(_BYTE[self.data] * power[: len(self.data)])
+        total = sums(BYTE[self.data] * power[: len(self.data)])
         return mix((total[ends] - total[starts]) * inverse[starts])
 
     @cached_property
@@ -89,21 +89,21 @@ class Chunk:
 
     @cached_property
     def word_sums(self) -> np.ndarray:
-        return _sums(self.words * powers(len(self.words) + 1)[0][: len(self.words)])
+        return sums(self.words * powers(len(self.words) + 1)[0][: len(self.words)])
 
     def windows(self, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:
         """A hash of the words at .. at + width - 1 for each at."""
         return mix((self.word_sums[at + width] - self.word_sums[at]) * powers(len(self.words) + 1)[1][at] + np.uint64(1) * np.asarray(width).astype(np.uint64))
 
 
-def chunks(texts: pa.Array) -> Iterator[Chunk]:
-    """Runs of texts of about CHUNK_BYTES; a longer text is a run of its own. Null counts as empty."""
+def chunks(texts: pa.Array, limit: int = CHUNKBYTES) -> Iterator[Chunk]:
+    """Runs of texts of about `limit` bytes; a longer text is a run of its own. Null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(texts):
-        end = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
         end = min(max(end, row + 1), len(texts), row + CHUNK_DOCS)
         yield Chunk(row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
         row = end
