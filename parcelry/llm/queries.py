@@ -78,5 +78,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_packing, op4_language_id, op5_fingerprints, op6_quality_model, op7_html_text, op8_mixing, op9_host_rules, op10_url_reputation)}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), w AS (SELECT doc_id, len(ws) AS n, ws, unnest(range(1, len(ws) + 1)) AS p FROM d),
+x AS (SELECT doc_id, n, p, ws[p] AS word, CASE WHEN p + 19 <= n THEN array_to_string(ws[p:p + 19], ' ') END AS win FROM w),
+f AS (SELECT win, min((doc_id, p)) AS first FROM x WHERE win IS NOT NULL GROUP BY win),
+r AS (SELECT x.doc_id, p, word, CASE WHEN x.win IS NOT NULL AND first < (x.doc_id, p) THEN 1 ELSE 0 END AS late FROM x LEFT JOIN f ON x.win = f.win),
+c AS (SELECT doc_id, p, word, max(late) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+_HOST_RULES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('h' || source, '') AS host, {_WORDS} AS ws FROM documents),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY r),
+w AS (SELECT r, p, array_to_string(ws[p:p + 7], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS p FROM d)),
+t AS (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS next FROM (SELECT r, p, count(*) OVER (PARTITION BY r, win) AS c FROM w) WHERE c > 1),
+c AS (SELECT r, sum(least(8, coalesce(next - p, 8)))::BIGINT AS covered FROM t GROUP BY r),
+m AS (SELECT doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(covered, 0) AS n_repeat_words FROM d LEFT JOIN l USING (r) LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT host, sum((base_failed OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines)::BIGINT)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM b GROUP BY host),
+p AS (SELECT sum(bad) / sum(n) AS m, (sum(bad * bad / n) - sum(n) * (sum(bad) / sum(n)) * (sum(bad) / sum(n))) / sum(n) AS v FROM h),
+q AS (SELECT m, least(greatest(CASE WHEN v > 0 AND m > 0 AND m < 1 THEN m * (1 - m) / v - 1 ELSE 1 END, 1), 10000) AS s FROM p),
+e AS (SELECT host, (bad + m * s) / (n + s) > 0.5 AS rejected FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept FROM b LEFT JOIN e USING (host)"""
+
+
+def _url_sql() -> str:
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[1]), -r[1].find("/"), r[0] == "allow"))
+    fits = [(f"(host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '{r[r.find('/'):]}')", v, r) for v, r in ordered]
+    rule, verdict = ("CASE " + " ".join(f"WHEN {c} THEN '{x[i]}'" for c, *x in fits) + " END" for i in (1, 0))
+    strength = "least(greatest(CASE WHEN v > 0 AND m > 0 AND m < 1 THEN m * (1 - m) / v - 1 ELSE 1 END, 1), 1000)"
+    level = "SELECT coalesce(sum(bad) / sum(n), 0.5) AS m, coalesce((sum(bad * bad / n) - sum(n) * (sum(bad) / sum(n)) * (sum(bad) / sum(n))) / sum(n), 0) AS v FROM {} WHERE n > 0"
+    parts = r"'^(?s:.*?)://([^/?#]*)([^?#]*)'"
+    return f"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, {parts}, 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, {parts}, 2), '') AS path FROM pages),
+j AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM u),
+h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*) FILTER (by_rule = 'block')::DOUBLE AS bad, count(by_rule)::DOUBLE AS n FROM j GROUP BY host),
+d AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY ALL), s AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY suffix),
+t1 AS ({level.format("s")}), t2 AS ({level.format("d")}), t3 AS ({level.format("h")}),
+sr AS (SELECT suffix, (bad + m * {strength}) / (n + {strength}) AS sm FROM s, t1), dr AS (SELECT domain, (bad + sm * {strength}) / (n + {strength}) AS dm FROM d JOIN sr USING (suffix), t2),
+hr AS (SELECT host, (bad + dm * {strength}) / (n + {strength}) AS rate, n + {strength} AS total FROM h JOIN dr USING (domain), t3)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN hr USING (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the result; tests/llm holds the others against brute force, round trips and held-out rows."""
+    return {"op2_substring_dedup": _SUBSTRINGS, "op9_host_rules": _HOST_RULES, "op10_url_reputation": _url_sql()}
