@@ -30,6 +30,7 @@ def test_entry_contract(spark, data):
 
 
 def test_filters_and_columns_reach_the_scan(spark, data):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = PLANS["lookup_point"](spark, data)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_orderkey), IsNotNull(o_custkey), EqualTo(o_orderstatus,F)" in plan or "EqualTo(o_orderstatus,F)" in plan
+    assert "EqualTo(o_orderstatus,F)" in plan
     assert "o_totalprice" not in plan
