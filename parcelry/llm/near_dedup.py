@@ -1,13 +1,14 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-A document is its weighted set of five-word shingles; a shingle weighs its count times the mean inverse document
+A document is its weighted set of five-word shingles; a shingle weighs its count times the mean (damped) inverse document
 frequency of its words (words are hashed to a fixed number of buckets, so the frequency table has a fixed size; all
 documents count). Improved consistent weighted sampling draws samples that two documents share with the probability of
 their weighted Jaccard similarity. Samples in bands give buckets; documents of a bucket are compared exactly.
 
 Within a bucket, comparisons go from a leader to the others rather than between all pairs. Buckets whose documents
-end up in several components are taken up again with another leader, and what then remains is compared pair by pair across
-components: no link that joins two components is lost. Equal texts are collapsed first.
+end up in several components are taken up again with another leader. Documents that then still share a bucket over
+components get longer sketches, whose buckets hold hardly anything but links, and there are compared pair by pair across
+components. Equal texts are collapsed first.
 """
 
 from __future__ import annotations
@@ -56,12 +57,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
-    """Fixed-point inverse document frequencies by bucket; 2^16 numbers, whatever the corpus."""
+    """Fixed-point square roots of inverse document frequencies by bucket; 2^16 numbers, whatever the corpus.
+
+    The root keeps a rare word that an edit brings in from outweighing the words that two texts share.
+    """
     n = docs.count()
     rows = docs.select("text").mapInArrow(_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(1 << BUCKET_BITS)
     df[rows["bucket"].to_numpy()] = rows["df"].to_numpy()
-    return np.round((np.log((n + 1) / (df + 1)) + 1) * FIXED).astype(np.int64)
+    return np.round(np.sqrt(np.log((n + 1) / (df + 1)) + 1) * FIXED).astype(np.int64)
 
 
 def weighted_shingles(c: Chunk, idf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,6 +138,33 @@ def _bands(idf, width: int, bands: int, rows: int):
     return run
 
 
+def _shingle_rows(idf, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for c in chunks(batch.column(1)):
+                doc, shingle, weight = weighted_shingles(c, idf, width)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(shingle)), pa.array(nodes[c.row + doc]), pa.array(weight)], ["shingle", "node", "weight"])
+
+    return run
+
+
+def _totals_and_bands(idf, width: int, bands: int, rows: int):
+    sketch = _bands(idf, width, bands, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals = np.zeros(batch.num_rows, np.int64)
+            for c in chunks(batch.column(1)):
+                doc, _, weight = weighted_shingles(c, idf, width)
+                np.add.at(totals, c.row + doc, weight)
+            node = batch.column(0)
+            (out,) = sketch(iter([pa.RecordBatch.from_arrays([node, node, node, batch.column(1)], ["a", "b", "c", "d"])]))
+            yield pa.RecordBatch.from_arrays([node, pa.array(totals), out.column(3)], ["node", "total", "bands"])
+
+    return run
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two (sorted distinct hashes, weights): sum of minima over sum of maxima."""
     total = int(a[1].sum()) + int(b[1].sum())
@@ -164,12 +195,12 @@ def _verify(idf, width: int, least: float):
     return run
 
 
-def classified(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 10, rows: int = 3, leader_rounds: int = 3) -> DataFrame:
+def classified(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 10, rows: int = 3, leader_rounds: int = 2, narrow: tuple[int, int] = (36, 8)) -> DataFrame:
     """doc_id, k1, k2 (hashes of the text), class_id, class_size, kept for every row of docs.
 
     class_id is the smallest doc_id of the connected component of links (weighted Jaccard similarity of at least `least`)
     that the row's text belongs to; kept marks one row of each class. A pair at similarity s shares a bucket
-    with probability 1 - (1 - s^rows)^bands: 0.9992 at 0.8.
+    with probability 1 - (1 - s^rows)^bands: 0.9992 at 0.8. narrow gives bands and rows of the last round (0.9987 at 0.8).
 
     Equal texts are one class (null counts as empty). Rows that share a doc_id are judged by their own texts. A null
     doc_id comes after all others. An empty table gives no rows.
@@ -182,8 +213,12 @@ def classified(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int =
     texts = saved(sketched.groupBy("k1", "k2", "bands").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()), "near-texts")
 
     buckets = texts.select("node", F.explode("bands").alias("bucket"))
-    shared = saved(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c"), "near-buckets")
-    members = saved(buckets.join(shared, "bucket").select("bucket", "leader", "node"), "near-members")
+    shared = saved(buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "near-buckets")
+    members = saved(buckets.join(shared, "bucket").select("bucket", "size", "node"), "near-members")
+    # The document of a bucket that lies in the fullest buckets is nearest to the others: it leads.
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = saved(members.join(saved(weight, "near-weights"), "node").select("bucket", "node", F.struct("weight", "node").alias("rank")), "near-members")
+    leaders = saved(members.groupBy("bucket").agg(F.max("rank").alias("lead")), "near-leaders")
 
     involved = members.select("node").distinct().join(texts.select("node", "k1", "k2", "first_id"), "node")
     whole = rows_in.select("doc_id", "text", *keys).join(involved.select("node", "k1", "k2", F.col("first_id").alias("doc_id")), ["doc_id", "k1", "k2"])
@@ -194,26 +229,45 @@ def classified(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int =
         both = withb.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return both.mapInArrow(_verify(idf, width, least), "a long, b long")
 
-    pairs = saved(members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    links = saved(verified(pairs), "near-links")
-    done = pairs
-    for turn in range(leader_rounds):
-        labels = components(links)
-        at = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Of rows (bucket, node, ...), those in buckets with several components, with their label."""
+        at = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        at = saved(at.join(saved(mixed, "near-mixed"), "bucket"), "near-open")
-        if turn < leader_rounds - 1:
-            # Another leader: the first of the bucket's documents that are in its last component.
-            lead = saved(at.filter("label = high").groupBy("bucket").agg(F.min("node").alias("a")), "near-leaders")
-            new = at.filter("label <> high").join(lead, "bucket").select("a", F.col("node").alias("b"))
-        else:
-            other = at.select("bucket", F.col("node").alias("a"), F.col("label").alias("other"))
-            new = at.join(other, "bucket").filter("label <> other and a < node").select("a", F.col("node").alias("b"))
-        new = saved(new.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
-        if new.isEmpty():
-            continue
-        found = saved(verified(new), "near-links")
-        done, links = done.union(new), links.union(found)
+        return saved(at.join(saved(mixed.select("bucket"), "near-mixed"), "bucket"), "near-open")
+
+    pairs = members.join(leaders, "bucket").filter("lead.node <> node").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    done = saved(pairs.distinct(), "near-pairs")
+    links = saved(verified(done), "near-links")
+    for _ in range(leader_rounds - 1):
+        # In buckets with several components another leader: the first in rank outside the last leader's component.
+        at = labelled(members, components(links))
+        last = at.join(leaders.select("bucket", F.col("lead.node").alias("node")), ["bucket", "node"], "left_semi").select("bucket", F.col("label").alias("led"))
+        rest = at.join(saved(last, "near-led"), "bucket").filter("label <> led")
+        leaders = saved(rest.groupBy("bucket").agg(F.max(F.struct("rank", "label")).alias("lead")).select("bucket", "lead.rank", "lead.label"), "near-leaders").select("bucket", F.col("rank").alias("lead"), F.col("label").alias("lead_label"))
+        new = at.join(leaders, "bucket").filter("label <> lead_label").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+        new = saved(new.join(done, ["a", "b"], "left_anti"), "near-pairs")
+        links, done = links.union(saved(verified(new), "near-links")), done.union(new)
+    # The rest, pair by pair: documents that still share a bucket over components meet in narrower buckets. What of a
+    # document's weight is in no other of them can't be common, which bounds a pair's similarity before it is compared.
+    labels = components(links)
+    open_bodies = saved(bodies.join(labelled(members, labels).select("node").distinct(), "node"), "near-open-bodies")
+    shingles = open_bodies.mapInArrow(_shingle_rows(idf, width), "shingle long, node long, weight long")
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("c = 1")
+    alone = saved(alone.groupBy("node").agg(F.sum("weight").alias("own")), "near-own")
+    sharp = open_bodies.mapInArrow(_totals_and_bands(idf, width, *narrow), "node long, total long, bands array<long>")
+    sharp = sharp.join(alone, "node", "left").withColumn("common", F.col("total") - F.coalesce("own", F.lit(0))).filter(F.col("common") >= least * F.col("total"))
+    narrowed = saved(sharp.select("node", "total", "common", F.explode("bands").alias("bucket")), "near-narrow")
+    # The smallest partner that a bucket offers bounds the similarity of each of its documents.
+    smallest = saved(narrowed.groupBy("bucket").agg(F.min("total").alias("smallest"), F.count("*").alias("c")).filter("c > 1").drop("c"), "near-smallest")
+    hopeful = F.col("common") >= least * (F.col("total") + F.greatest("smallest", "common") - F.col("common"))
+    at = labelled(narrowed.join(smallest, "bucket").filter(hopeful).drop("smallest"), labels)
+    other = at.select("bucket", F.col("node").alias("a"), F.col("label").alias("other"), F.col("total").alias("a_total"), F.col("common").alias("a_common"))
+    most = F.least("common", "a_common")
+    likely = (F.col("label") != F.col("other")) & (F.col("a") < F.col("node")) & (most >= least * (F.col("total") + F.col("a_total") - most))
+    joined = at.withColumnRenamed("bucket", "here").join(other, (F.col("here") == F.col("bucket")) & likely)
+    new = joined.select("a", F.col("node").alias("b")).distinct()
+    new = saved(new.join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
+    links = links.union(saved(verified(new), "near-links"))
     labels = components(links)
 
     named = saved(texts.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"), "first_id"), "near-names")
