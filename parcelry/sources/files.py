@@ -15,9 +15,22 @@ RECORD_COLUMNS = (
 )
 
 
+def empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of a folder's files without a byte, from the store's listing: Spark's file sources leave them out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while listed.hasNext():
+        one = listed.next()
+        if one.getLen() == 0 and one.getPath().getName()[0] not in "._":
+            found.append(one.getPath().toString())
+    return found
+
+
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder as rows: name, extension, size, sha256, and why one is refused (null if it isn't)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
+    empty = spark.createDataFrame([(p,) for p in empty_files(spark, folder)], "path string")
+    files = files.union(empty.select("path", F.lit(0).cast("long"), F.lit("").cast("binary")))
     refused = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large").when(safe_extension(F.col("path")) == ".bin", "type")
     return files.select("path", safe_filename(F.col("path")).alias("name"), safe_extension(F.col("path")).alias("extension"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), refused.alias("refused"))
 
