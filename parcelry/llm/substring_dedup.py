@@ -6,11 +6,13 @@ them, so equal windows always meet under the same anchor hash. The steps:
 
 1. Anchors that occur once can't repeat: anchor hashes are counted, and only documents' runs with repeated anchors go on.
 2. Equal runs collapse into classes (paths of the graph) with their first source coordinate as owner and with their
-   neighbours; a class whose successor is always the same one, and that class's predecessor always this one, is nonbranching
-   and compacts with it through a join of classes.
-3. Classes that share an anchor but not their extent are compared window by window: which windows start earlier elsewhere.
-4. Coordinates: an occurrence other than the owner repeats whole; the owner repeats where step 3 says so. The spans join
-   back to their documents, where covered words are removed.
+   neighbours.
+3. Classes that share an anchor but not their extent are compared window by window: where each window starts first.
+4. A class whose successor is always the same one, and that class's predecessor always this one, compacts with it through
+   a join of classes. Every occurrence of a path's first class is then one of the whole path.
+5. Coordinates: a path splits where the sources of its windows aren't in a row. Occurrences of its first class give the
+   spans of all its parts; a span repeats unless it is its own source. The spans join back to their documents, where
+   covered words are removed.
 
 Windows are compared by 128 bits (anchor hash and window hash). No step gathers what has the same key: counts and
 smallest coordinates are combined before they are shuffled, and joins go between written tables, so hot keys can be split.
@@ -124,14 +126,12 @@ CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def covered(n_words: int, spans: list[dict], key: int, k: int) -> np.ndarray:
-    """Which words lie in a removed window; spans have text_key, start, n and the mask of removed windows."""
+    """Which words lie in a removed window; spans have text_key, start and n, the number of windows removed in a row."""
     edge = np.zeros(n_words + 1, np.int64)
     for s in spans:
         if s["text_key"] == key:
-            for i in range(s["n"]):
-                if s["mask"] >> i & 1:
-                    edge[s["start"] + i] += 1
-                    edge[s["start"] + i + k] -= 1
+            edge[s["start"]] += 1
+            edge[s["start"] + s["n"] + k - 1] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -187,42 +187,57 @@ class Repeats:
         )
 
     def _flags(self) -> DataFrame:
-        """anchor, run, owner, times, n, leads, follows, mask, for classes that repeat.
+        """anchor, run, owner, times, n, leads, follows, late, for classes that repeat, whole or in part.
 
-        Bit i of mask: the owner's window i starts earlier elsewhere. leads: all occurrences have the same successor;
-        follows: all have the same predecessor.
+        late: where the owner's window i starts earlier elsewhere, by i; null if none does. leads: all occurrences have the
+        same successor; follows: all have the same predecessor.
         """
         at = F.struct(F.col("owner.doc_id").alias("doc_id"), F.col("owner.text_key").alias("text_key"), (F.col("owner.start") + F.col("i")).alias("start"))
         w = self.classes.select("anchor", "run", "owner", F.posexplode("windows").alias("i", "window")).select("anchor", "run", "i", "window", at.alias("at"))
         firsts = saved(w.groupBy("anchor", "window").agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "repeat-windows")
         late = w.join(firsts, ["anchor", "window"]).filter(F.col("first") < F.col("at"))
-        masks = late.groupBy("anchor", "run").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
+        sources = late.groupBy("anchor", "run").agg(F.map_from_entries(F.collect_list(F.struct("i", "first"))).alias("late"))
         leads = (F.col("after") == F.col("after_max")) & (F.col("after") != 0)
         follows = (F.col("before") == F.col("before_max")) & (F.col("before") != 0)
         c = self.classes.select("anchor", "run", "owner", "times", "n", leads.alias("leads"), follows.alias("follows"))
-        return c.join(masks, ["anchor", "run"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).filter("times > 1 or mask > 0")
+        return c.join(sources, ["anchor", "run"], "left").filter("times > 1 or late is not null")
+
+    def _paths(self) -> DataFrame:
+        """anchor, run (of the path's first class), shift, n, source: the parts of nonbranching paths, by window.
+
+        A class and its only successor, of which it is the only predecessor, occur equally often and side by side, so their owners
+        are neighbours too: they are joined by these coordinates. A path's classes lie in a row in their owners' document.
+        """
+        key = ["doc_id", "text_key"]
+        c = self.flags.select("owner.*", "anchor", "run", "times", "n", "leads", "follows", "late")
+        led = c.filter("leads").select(*key, (F.col("start") + F.col("n")).alias("start"), F.col("times").alias("led"))
+        c = c.join(led, [*key, "start"], "left").withColumn("linked", F.coalesce(F.col("follows") & (F.col("led") == F.col("times")), F.lit(False)))
+        w = W.partitionBy(*key).orderBy("start")
+        head = F.last(F.when(~F.col("linked"), F.struct(F.col("start").alias("head"), "anchor", "run")), ignorenulls=True).over(w)
+        own = lambda i: F.struct("doc_id", "text_key", (F.col("start") + i).alias("start"))
+        one = lambda i: F.struct(i.alias("i"), F.lit(1).alias("n"), F.coalesce(F.try_element_at("late", i), own(i)).alias("source"))
+        whole = F.array(F.struct(F.lit(0).alias("i"), F.col("n"), own(F.lit(0)).alias("source")))
+        parts = F.when(F.col("late").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 1), one))
+        p = c.select(*key, "start", head.alias("h"), parts.alias("parts")).select(*key, "start", "h", F.explode("parts").alias("p"))
+        p = p.select(*key, "h.*", (F.col("start") + F.col("p.i")).alias("at"), "p.n", "p.source")
+        w = W.partitionBy(*key).orderBy("at")
+        before = F.lag(F.struct("head", "source", "n")).over(w)
+        next_to = [before["head"] == F.col("head"), *(before["source"][x] == F.col("source")[x] for x in key), before["source"]["start"] + before["n"] == F.col("source.start")]
+        goes_on = F.coalesce(next_to[0] & next_to[1] & next_to[2] & next_to[3], F.lit(False))
+        p = p.withColumn("part", F.sum(F.when(goes_on, 0).otherwise(1)).over(w)).groupBy(*key, "part", "head", "anchor", "run")
+        parts = p.agg((F.min("at") - F.col("head")).alias("shift"), F.sum("n").cast("int").alias("n"), F.min_by("source", "at").alias("source"))
+        return parts.select("anchor", "run", "shift", "n", "source")
 
     def spans(self) -> DataFrame:
-        """doc_id, text_key, start, n, mask, owner, leads, follows: runs of windows with those to remove."""
-        r = self.runs.select("doc_id", "text_key", "start", F.col("n"), "anchor", "run")
-        j = r.join(self.flags.select("anchor", "run", "owner", "mask", "leads", "follows"), ["anchor", "run"]).drop("anchor", "run")
-        own = (F.col("doc_id") == F.col("owner.doc_id")) & (F.col("text_key") == F.col("owner.text_key")) & (F.col("start") == F.col("owner.start"))
-        return j.withColumn("mask", F.when(own, F.col("mask")).otherwise(F.expr("shiftleft(1L, n) - 1"))).filter("mask > 0")
+        """doc_id, text_key, start, n, source: windows in a row that start earlier elsewhere, and where they do first."""
+        j = self.runs.select("doc_id", "text_key", "start", "anchor", "run").join(self._paths(), ["anchor", "run"])
+        j = j.select("doc_id", "text_key", (F.col("start") + F.col("shift")).alias("start"), "n", "source")
+        return j.filter(F.struct("doc_id", "text_key", "start") != F.col("source"))
 
     def compacted(self) -> DataFrame:
-        """doc_id, start, n_words, owner_doc_id, owner_start: repeated spans along nonbranching paths, with their source.
-
-        Two classes in a row compact if the first leads to no other and the second follows no other, which the join of runs
-        with their classes tells. Runs in a row that compact are one span; its owner is the source coordinate of its
-        first class.
-        """
-        w = W.partitionBy("doc_id", "text_key").orderBy("start")
-        runs = self.spans().dropDuplicates(["doc_id", "text_key", "start"])
-        before = F.lag(F.struct("leads", (F.col("start") + F.col("n")).alias("next"))).over(w)
-        linked = F.coalesce(before["leads"] & F.col("follows") & (before["next"] == F.col("start")), F.lit(False))
-        paths = runs.withColumn("path", F.sum(F.when(linked, 0).otherwise(1)).over(w)).groupBy("doc_id", "text_key", "path")
-        spans = paths.agg(F.min("start").alias("start"), (F.sum("n") + self.k - 1).alias("n_words"), F.min_by("owner", "start").alias("owner"))
-        return spans.select("doc_id", "start", "n_words", F.col("owner.doc_id").alias("owner_doc_id"), F.col("owner.start").alias("owner_start"))
+        """doc_id, start, n_words, owner_doc_id, owner_start: the spans that cut() removes, in words, with their source."""
+        spans = self.spans().dropDuplicates(["doc_id", "text_key", "start"])
+        return spans.select("doc_id", "start", (F.col("n") + self.k - 1).alias("n_words"), F.col("source.doc_id").alias("owner_doc_id"), F.col("source.start").alias("owner_start"))
 
     def cut(self) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for every row of docs."""
@@ -241,6 +256,6 @@ class Repeats:
         return out.select(*(renewed(c, F.col(f"d.`{c}`"), F.col("kept_text")) for c in names))
 
     def _joined(self, rows: DataFrame) -> DataFrame:
-        per = self.spans().groupBy("doc_id").agg(F.collect_set(F.struct("text_key", "start", "n", "mask")).alias("spans"))
+        per = self.spans().groupBy("doc_id").agg(F.collect_set(F.struct("text_key", "start", "n")).alias("spans"))
         more = [c for c in rows.columns if c == "d"]
         return rows.join(per, "doc_id", "left").select("doc_id", "text", "spans", *more)

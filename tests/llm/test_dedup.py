@@ -112,6 +112,24 @@ def test_substrings_equal_brute_force(spark, corpus):
             assert words[s.doc_id][s.start : s.start + s.n_words] == words[s.owner_doc_id][s.owner_start : s.owner_start + s.n_words]
 
 
+def test_spans_are_the_windows_that_start_earlier(spark):
+    """Passages that begin and end inside runs: spans hold their windows, no others, and are cut where sources change."""
+    r = random.Random(4)
+    fresh = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    passage, tail = fresh(90), fresh(70)
+    texts = [fresh(33) + passage + fresh(31), fresh(17) + passage + fresh(45), fresh(9) + passage[7:71] + fresh(25), fresh(40) + tail, passage + tail + fresh(3), passage[30:] + tail[:50], fresh(50)]
+    spans = Repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).compacted().collect()
+    first, want = {}, {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 19):
+            source = first.setdefault(tuple(t[i : i + 20]), (d, i))
+            if source != (d, i):
+                want[d, i] = source
+    got = [((s.doc_id, s.start + i), (s.owner_doc_id, s.owner_start + i)) for s in spans for i in range(s.n_words - 19)]
+    assert len(got) == len(want) and dict(got) == want
+    assert max(s.n_words for s in spans) > 45 and len(spans) < len(want) / 4
+
+
 def test_substrings_of_nasty_rows(spark, nasty, empty):
     assert Repeats(empty).cut().count() == 0
     got = Repeats(nasty).cut().collect()
