@@ -2,7 +2,8 @@
 
 A page is read once through the standard library's event parser. Every block of text is a line with its characters, the tags
 within it and the elements around it. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are marked. The text-to-tag ratio per line, smoothed with a Gaussian kernel, is split by a threshold between two
+are marked. What a word of a class, id or role marks keeps its text until the whole page is read, as such words also name
+wrappers of the article: see `excluding`. The text-to-tag ratio per line, smoothed with a Gaussian kernel, is split by a threshold between two
 clusters; the region that holds most of the upper cluster's characters is the article. All its unmarked lines
 are kept, whatever their own ratio, so that short paragraphs between long ones stay.
 """
@@ -41,31 +42,39 @@ FEED = 1 << 16
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, marked, regions) per line; a marked line's text isn't kept."""
+    """Collects (pieces, hidden, tags, regions) per line; dropped text isn't kept.
+
+    A piece is text with the marks around it: numbers of elements with a word of MARKS. around: of each mark, the regions
+    around it. held: of each mark, the regions that it holds or is.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it drops its text, its region or -1
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], bool, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, int, bool]] = []  # element, whether it drops its text, its region or -1, whether it is marked
+        self.marks: tuple[int, ...] = ()
+        self.around: list[tuple[int, ...]] = []
+        self.held: list[list[int]] = []
         self.dropping = 0
         self.regions: tuple[int, ...] = ()
         self.count = 0
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
         self.tags = 0
         self.hidden = False
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text or self.hidden:
-            self.lines.append((text, self.tags, not text, self.regions))
+        if self.hidden or any(marks or not text.isspace() for text, marks in self.parts):
+            self.lines.append((self.parts, self.hidden, self.tags, self.regions))
             self.tags = 0
         self.parts, self.hidden = [], False
 
     def pop(self) -> None:
-        name, drops, region = self.open.pop()
+        _, drops, region, marked = self.open.pop()
         self.dropping -= drops
         if region >= 0:
             self.regions = self.regions[:-1]
+        if marked:
+            self.marks = self.marks[:-1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -85,18 +94,24 @@ class _Lines(HTMLParser):
                         self.pop()
         inside = bool(self.regions)
         drops = tag in DROPPED or tag == "header" and not inside
-        if not drops and attrs and tag not in ("html", "body"):
+        marked = False
+        if not drops and not self.dropping and attrs and tag not in ("html", "body"):
             for key, value in attrs:
                 if key in ("class", "id", "role") and value and not MARKS.isdisjoint(_SPLIT.split(value.lower())):
-                    drops = True
+                    marked = True
+                    self.marks += (len(self.held),)
+                    self.held.append([])
+                    self.around.append(self.regions)
                     break
         region = -1
         if tag in REGIONS and not drops:
             region = self.count
             self.count += 1
             self.regions += (region,)
+            for mark in self.marks:
+                self.held[mark].append(region)
         self.dropping += drops
-        self.open.append((tag, drops, region))
+        self.open.append((tag, drops, region, marked))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -113,7 +128,7 @@ class _Lines(HTMLParser):
         if self.dropping:
             self.hidden = True
         else:
-            self.parts.append(data)
+            self.parts.append((data, self.marks))
 
 
 def smoothed(ratios: list[float], sigma: float = 1.5) -> list[float]:
@@ -142,6 +157,64 @@ def threshold(values: list[float]) -> float:
     return at
 
 
+def read_lines(parser: _Lines, excluded: set[int]) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+    """(text, tags, marked, regions) per line, without the text in excluded marks."""
+    lines, carried = [], 0
+    for pieces, hidden, tags, regions in parser.lines:
+        shown = [text for text, marks in pieces if excluded.isdisjoint(marks)]
+        text = " ".join("".join(shown).split())
+        carried += tags
+        if text or hidden or len(shown) < len(pieces):
+            lines.append((text, carried, not text, regions))
+            carried = 0
+    return lines
+
+
+def excluding(parser: _Lines) -> set[int]:
+    """The marks that exclude their elements.
+
+    A mark that holds, or is, an article or main doesn't exclude if the largest of them has text, and not less than the
+    article or main around the mark has without marks (else the largest unmarked one on the page). Any other mark doesn't exclude
+    if it holds most of the high-ratio text, found with all marked text kept, and no article or main is left with text.
+    """
+    excluded = set(range(len(parser.held)))
+    lines = [(pieces, regions, tags) for pieces, _, tags, regions in parser.lines]
+    sizes = [len(" ".join("".join(text for text, _ in pieces).split())) for pieces, _, _ in lines]
+    lines = [(*line, size) for line, size in zip(lines, sizes, strict=True) if size]
+    if not excluded or not lines:
+        return excluded
+    ratios = smoothed([size / (1 + tags) for _, _, tags, size in lines])
+    limit = threshold(ratios)
+    texts = [(len(" ".join(text.split())), marks, regions, r >= limit) for (pieces, regions, _, _), r in zip(lines, ratios, strict=True) for text, marks in pieces]
+
+    def per_region() -> dict[int, int]:
+        found: dict[int, int] = {}
+        for size, marks, regions, _ in texts:
+            if excluded.isdisjoint(marks):
+                for region in regions:
+                    found[region] = found.get(region, 0) + size
+        return found
+
+    clear = per_region()
+    largest = max(clear.values(), default=0)
+    whole, by_mark, total = {}, dict.fromkeys(excluded, 0), 0
+    for size, marks, regions, high in texts:
+        total += size * high
+        for region in regions:
+            whole[region] = whole.get(region, 0) + size
+        for mark in marks:
+            by_mark[mark] += size * high
+    best = {mark: max(whole.get(region, 0) for region in held) for mark, held in enumerate(parser.held) if held}
+    for mark in sorted(best, key=lambda m: (-best[m], m)):
+        rival = max((clear.get(region, 0) for region in parser.around[mark]), default=0) or largest
+        if best[mark] and best[mark] >= rival:
+            excluded.discard(mark)
+            clear = per_region()
+    if not any(clear.values()):
+        excluded -= {mark for mark in excluded if 2 * by_mark[mark] > total}
+    return excluded
+
+
 def main_text(html: str | None) -> str:
     """The article's text: lines joined by one space; '' for null, empty or textless pages."""
     if not html:
@@ -151,7 +224,7 @@ def main_text(html: str | None) -> str:
         parser.feed(html[at : at + FEED])
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = read_lines(parser, excluding(parser))
     if not lines:
         return ""
     # Marked lines count as text-free: their ratio is 0.

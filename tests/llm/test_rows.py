@@ -131,6 +131,33 @@ def test_html_regions():
     assert main_text(plain).split() == ("Long content here. " * 20 + "Short. " + "More content there. " * 20).split()
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<div class="layout with-sidebar"><article>', '</article><div class="sidebar">Side things</div></div>'),
+    ('<main class="no-sidebar">', "</main>"),
+    ('<article class="post has-comments">', '<section id="comments"><article class="comment">Nice indeed.</article></section></article>'),
+    ('<div id="page-header-content"><div>', '</div><div class="related">Others</div></div>'),
+    ('<div class="promo-page"><div class="modal-open"><article>', "</article></div></div>"),
+])
+@pytest.mark.parametrize("rest", ["", "<div><p>Imprint and links</p></div>"])
+def test_html_wrappers_with_marks(before, after, rest):
+    body = "<h1>Head</h1><p>" + "Long content here. " * 20 + "</p><p>Short.</p><p class=share>Tell all</p><p>" + "More of it <i class=ad>buy</i>there. " + "More of it there. " * 19 + "</p>"
+    if "<article" not in before and "<main" not in before:  # without regions, marked lines end the text
+        body = body.replace("<p class=share>Tell all</p>", "")
+    got = main_text(f"<body><nav>Menu</nav>{before}{body}{after}{rest}<footer>f</footer></body>")
+    want = "Head " + "Long content here. " * 20 + "Short. " + "More of it there. " * 20
+    assert got.split() == want.split()
+
+
+def test_html_marks_beside_an_article_exclude():
+    body = "<article><h1>Head</h1><p>" + "Long content here. " * 9 + "</p></article>"
+    comments = '<div id="comments">' + ('<div class="comment"><article class="comment-body"><p>' + "Nice content indeed. " * 5 + "</p></article></div>") * 9 + "</div>"
+    flat = '<div class="comments"><p>' + "Nice content indeed. " * 50 + "</p></div>"
+    related = '<div class="related-posts"><article>A teaser of another one</article></div>'
+    for rest in (comments, flat, related):
+        for page in (body + rest, f"<main>{body}{rest}</main>"):
+            assert main_text(f"<body>{page}</body>").split() == ("Head " + "Long content here. " * 9).split()
+
+
 def test_html_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = {r.page_id: r.text for r in extract_pages(pages).collect()}
