@@ -1,8 +1,8 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of letters (lower-cased; runs of anything else count as one space). Document frequencies cover all
-training documents. The weights are trained by the follow-the-regularised-leader rule with elastic-net penalties on a
-bounded sample; a temperature, fitted on a part of the sample that the weights haven't seen, calibrates the scores.
+training documents, and so does the list of languages. The weights are trained by the follow-the-regularised-leader rule with elastic-net penalties on a
+bounded sample of each language; a temperature, fitted on a part of the samples that the weights haven't seen, calibrates the scores.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelry.llm.tokens import chunks
@@ -128,35 +130,52 @@ def calibrated(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def train(labelled: DataFrame, sample: int = 4000, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model | None:
+def sampled(rows: DataFrame, quotas: dict[str, int], counts: dict[str, int]) -> pd.DataFrame:
+    """place, lang, buckets, counts of as many rows of each language as its quota says: those with the smallest hashes."""
+
+    def smallest(wanted: list[str], ahead: bool) -> pd.DataFrame:
+        # Twice the expected share mostly holds enough, and needs no sorting of all rows.
+        top = lambda x: int(-(2**63) + 2**64 * 2 * quotas[x] / counts[x]) if ahead and counts[x] > 2 * quotas[x] else 2**63 - 1
+        limits = rows.sparkSession.createDataFrame([(x, top(x), quotas[x]) for x in wanted], "lang string, top long, quota int")
+        some = rows.withColumn("place", F.xxhash64("doc_id", F.length("text"))).join(F.broadcast(limits), "lang").filter("place <= top")
+        some = some.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("place"))).filter("nth <= quota")
+        return some.select("place", "lang", "text").mapInArrow(_vectors, "place long, lang string, buckets array<int>, counts array<int>").toPandas()
+
+    got = smallest(list(quotas), True)
+    found = got["lang"].value_counts()
+    few = [x for x in quotas if found.get(x, 0) < min(quotas[x], counts[x])]  # many rows of one hash
+    if few:
+        got = pd.concat([got[~got["lang"].isin(few)], smallest(few, False)])
+    return got.sort_values(["place", "lang"], ignore_index=True)
+
+
+def train(labelled: DataFrame, sample: int = 4000, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, least: int = 200) -> Model | None:
     """A model from rows (doc_id, text, lang) with non-null lang; None if there are none.
 
-    Document frequencies come from all rows. The weights come from at most `sample` rows, those with the smallest
-    hashes of doc_id; every fifth of them is left to the calibration.
+    Languages and document frequencies come from all rows. The weights come from a bounded sample of each language, the rows with
+    the smallest hashes of doc_id: its share of `sample` rows, rounded up, or `least` (all, if it has fewer) where that is more.
+    Every fifth row of a language is left to the calibration.
     """
     rows = labelled.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n = rows.count()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
     if n == 0:
         return None
     found = rows.select("text").mapInArrow(_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(1 << BITS)
     df[found["bucket"].to_numpy()] = found["df"].to_numpy()
     idf = np.log((n + 1) / (df + 1)) + 1
-    place = F.xxhash64("doc_id", F.length("text"))
-    some = rows.withColumn("place", place)
-    if n > 2 * sample:  # the smallest hashes, without sorting all: twice the expected share always holds enough
-        some = some.filter(F.col("place") < F.lit(int(-(2**63) + 2**64 * min(1.0, 2 * sample / n))))
-    some = some.select("place", "lang", "text").orderBy("place", "lang").limit(sample).mapInArrow(_vectors, "place long, lang string, buckets array<int>, counts array<int>")
-    got = some.toPandas().sort_values(["place", "lang"], ignore_index=True)
-    languages = sorted(set(got["lang"]))
+    got = sampled(rows, {x: max(-(-sample * c // n), min(c, least)) for x, c in counts.items()}, counts)
+    languages = sorted(counts)
     model = Model(languages, idf, np.zeros((1 << BITS, len(languages))), np.zeros(len(languages)), 1.0)
     examples = []
     for b, c, lang in zip(got["buckets"], got["counts"], got["lang"], strict=True):
         b = np.asarray(b, np.int64)
         examples.append((b, model.values(np.zeros(len(b), np.int64), b, np.asarray(c), 1), languages.index(lang)))
-    fit = [e for i, e in enumerate(examples) if i % 5]
-    rest = [e for i, e in enumerate(examples) if i % 5 == 0]
-    model.weights, model.bias = ftrl(fit or rest, len(languages), passes, alpha, beta, l1, l2)
+    last = (got.groupby("lang").cumcount() % 5 == 4).tolist()
+    fit = [e for e, x in zip(examples, last, strict=True) if not x]
+    rest = [e for e, x in zip(examples, last, strict=True) if x]
+    model.weights, model.bias = ftrl(fit, len(languages), passes, alpha, beta, l1, l2)
     logits = np.array([v @ model.weights[b] + model.bias for b, v, _ in rest]).reshape(len(rest), len(languages))
     model.temperature = calibrated(logits, np.array([y for _, _, y in rest], np.int64))
     return model

@@ -31,6 +31,17 @@ def test_language_of_odd_rows(spark, nasty, empty):
     assert kept.columns == nasty.columns and not {r.doc_id for r in kept.collect()} & {1, 2, 3, 12}
 
 
+def test_rare_languages_are_learnt(spark):
+    """A language with few of the labelled rows, however small the sample, and one whose rows all have one hash."""
+    text = lambda words, i: " ".join(words[(i * 7 + j * j) % len(words)] for j in range(12))
+    a, b, c = "the and water house tree".split(), "zxq qzx xzzq qqx zqz".split(), "öäü üöä ßäö äüß öüß".split()
+    rows = [(i, text(a, i), "aa") for i in range(900)] + [(1000 + i, text(b, i), "bb") for i in range(9)] + [(None, text(c, 1), "cc")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify(docs, F.lit(False), sample=20, least=8).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    assert {(r.lang, r.lang_pred) for r in got} == {("aa", "aa"), ("bb", "bb")}
+    assert identify(docs, F.lit(False), sample=20, least=8).filter("doc_id is null and lang_pred = 'cc'").count() == 300
+
+
 def test_temperature_calibrates():
     r = np.random.default_rng(2)
     logits = r.normal(size=(4000, 3)) * 2
