@@ -5,10 +5,10 @@ frequency of its words (words are hashed to a fixed number of buckets, so the fr
 documents count). Improved consistent weighted sampling draws samples that two documents share with the probability of
 their weighted Jaccard similarity. Samples in bands give buckets; documents of a bucket are compared exactly.
 
-Within a bucket, comparisons go from a leader to the others rather than between all pairs. Buckets whose documents
-end up in several components are taken up again with another leader. Documents that then still share a bucket over
-components get longer sketches, whose buckets hold hardly anything but links, and there are compared pair by pair across
-components. Equal texts are collapsed first.
+Within a bucket, comparisons go from a leader to the others rather than between all pairs; what is linked contracts to one
+component, and only buckets with several components are taken up again. After two rounds, documents that still share a
+bucket over components get longer sketches, whose buckets hold hardly anything but links. There the rounds go on, with more
+leaders each time, until no bucket holds two components whose members haven't all been compared. Equal texts are collapsed first.
 """
 
 from __future__ import annotations
@@ -17,16 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.components import components
-from parcelry.llm.shared import saved
-from parcelry.llm.tokens import Chunk, chunks, mix, signed
+from parcelry.llm.components import components, relabelled
+from parcelry.llm.shared import discard, saved
+from parcelry.llm.tokens import CHUNK_DOCS, CHUNKBYTES, Chunk, chunks, mix, signed
 
 #: Buckets of the word frequency table; weights are fixed-point numbers, so that sums don't depend on order.
 BUCKET_BITS, FIXED = 16, 1 << 16
 TABLE = 1 << 16
+#: Texts in a task that draws the longer sketches.
+OPEN_ROWS = 512
 
 
 def _gamma2() -> np.ndarray:
@@ -177,30 +180,106 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (total - both)
 
 
+def _slices(a: pa.Array, b: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows in which the texts of either array are one chunk."""
+    size = np.maximum(*(pc.fill_null(pc.binary_length(x), 0).to_numpy() for x in (a, b)))
+    upto = np.append(0, np.cumsum(size.astype(np.int64)))
+    row = 0
+    while row < len(size):
+        end = min(max(int(np.searchsorted(upto, upto[row] + CHUNKBYTES, side="right")) - 1, row + 1), len(size), row + CHUNK_DOCS)
+        yield row, end
+        row = end
+
+
+def similarities(a: pa.Array, b: pa.Array, idf, width: int) -> np.ndarray:
+    """The weighted Jaccard similarity of the texts in each row."""
+    out = np.zeros(len(a))
+    for lo, hi in _slices(a, b):
+        keys, weights, total = [], [], np.zeros(hi - lo, np.int64)
+        for texts in (a, b):
+            (c,) = chunks(texts.slice(lo, hi - lo), 1 << 62)
+            doc, shingle, weight = weighted_shingles(c, idf, width)
+            keys.append((doc.astype(np.uint64) << np.uint64(52)) | shingle)
+            weights.append(weight)
+            np.add.at(total, doc, weight)
+        if len(keys[0]) and len(keys[1]):
+            at = np.minimum(np.searchsorted(keys[0], keys[1]), len(keys[0]) - 1)
+            hit = np.flatnonzero(keys[0][at] == keys[1])
+            both = np.zeros(hi - lo, np.int64)
+            np.add.at(both, (keys[1][hit] >> np.uint64(52)).astype(np.int64), np.minimum(weights[0][at[hit]], weights[1][hit]))
+            out[lo:hi] = both / np.maximum(total - both, 1)
+    return out
+
+
 def _verify(idf, width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None  # pairs of a leader come one after the other
         for batch in batches:
-            keep = []
-            ids = batch.column(0).to_pylist()
-            for i, (node, other) in enumerate(zip(ids, batch.column(3), strict=True)):
-                if last != node:
-                    (c,) = chunks(pa.array([batch.column(2)[i].as_py()]))
-                    last, last_set = node, weighted_shingles(c, idf, width)[1:]
-                (c,) = chunks(pa.array([other.as_py()]))
-                keep.append(similarity(last_set, weighted_shingles(c, idf, width)[1:]) >= least)
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array(similarities(batch.column(2), batch.column(3), idf, width) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     return run
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of rows (bucket, node, ...), those in buckets with several components, with their label; a saved table."""
+    at = saved(rows.join(labels, "node"), "near-at")
+    mixed = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    found = saved(at.join(saved(mixed.select("bucket"), "near-mixed"), "bucket"), "near-open")
+    discard(at)
+    return found
+
+
+class _Search:
+    """Candidate pairs, compared once each, and the components of what is linked."""
+
+    def __init__(self, nodes: DataFrame, bodies: DataFrame, idf, width: int, least: float):
+        self.bodies, self.verify = bodies, _verify(idf, width, least)
+        self.labels = saved(nodes.select("node", F.col("node").alias("label")), "near-labels")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compares pairs (a, b) and contracts what they link."""
+        withb = pairs.join(self.bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        both = withb.join(self.bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        links = saved(both.mapInArrow(self.verify, "a long, b long"), "near-links")
+        at_a = links.join(self.labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+        at_b = at_a.join(self.labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la <> lb")
+        old, self.labels = self.labels, saved(relabelled(self.labels, components(at_b, "la", "lb")), "near-labels")
+        discard(old, links)
+
+    def rounds(self, members: DataFrame, likely: Column, spread: int, most: int | None = None) -> DataFrame:
+        """Rounds over members (bucket, node, rank, bands, ...): the rows of buckets left with several components.
+
+        In round i, members are dealt by hash to spread^i groups, and the first in rank of each group leads: it is compared with all
+        of its bucket's members of other components (if likely, a condition on their columns and the leader's, which begin with
+        l_), then leaves the bucket, as all its comparisons there are made. Two documents are compared in the first of the bands that they
+        share, so never twice. Without `most` rounds the last bucket is worked off.
+        """
+        i = 0
+        at = _labelled(members, self.labels)
+        while (most is None or i < most) and not at.isEmpty():
+            group = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(spread**i))
+            leaders = saved(at.groupBy("bucket", group.alias("group")).agg(F.max_by(F.struct(*[c for c in at.columns if c != "bucket"]), "rank").alias("l")), "near-leaders")
+            led = leaders.select("bucket", *[F.col(f"l.{c}").alias(f"l_{c}") for c in at.columns if c != "bucket"])
+            # Of two leaders in a bucket, one is compared with the other.
+            both = at.join(led.select("bucket", F.col("l_node").alias("node"), F.lit(True).alias("leads")), ["bucket", "node"], "left")
+            here = F.element_at(F.array_intersect("bands", "l_bands"), 1) == F.col("bucket")
+            once = F.col("leads").isNull() | (F.col("l_node") < F.col("node"))
+            pairs = both.join(led, "bucket").filter((F.col("label") != F.col("l_label")) & once & likely & here)
+            pairs = saved(pairs.select(F.col("l_node").alias("a"), F.col("node").alias("b")), "near-pairs")
+            left = both.filter("leads is null").drop("label", "leads")
+            self.compare(pairs)
+            left = _labelled(left, self.labels)
+            discard(at, leaders, pairs)
+            at, i = left, i + 1
+        return at
+
+
 def classified(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 10, rows: int = 3, leader_rounds: int = 2, narrow: tuple[int, int] = (36, 8)) -> DataFrame:
     """doc_id, k1, k2 (hashes of the text), class_id, class_size, kept for every row of docs.
 
     class_id is the smallest doc_id of the connected component of links (weighted Jaccard similarity of at least `least`)
     that the row's text belongs to; kept marks one row of each class. A pair at similarity s shares a bucket
-    with probability 1 - (1 - s^rows)^bands: 0.9992 at 0.8. narrow gives bands and rows of the last round (0.9987 at 0.8).
+    with probability 1 - (1 - s^rows)^bands: 0.9992 at 0.8. narrow gives bands and rows of the last rounds (0.9987 at 0.8).
 
     Equal texts are one class (null counts as empty). Rows that share a doc_id are judged by their own texts. A null
     doc_id comes after all others. An empty table gives no rows.
@@ -214,66 +293,45 @@ def classified(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int =
 
     buckets = texts.select("node", F.explode("bands").alias("bucket"))
     shared = saved(buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "near-buckets")
-    members = saved(buckets.join(shared, "bucket").select("bucket", "size", "node"), "near-members")
+    sized = saved(buckets.join(shared, "bucket").select("bucket", "size", "node"), "near-sized")
     # The document of a bucket that lies in the fullest buckets is nearest to the others: it leads.
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = saved(members.join(saved(weight, "near-weights"), "node").select("bucket", "node", F.struct("weight", "node").alias("rank")), "near-members")
-    leaders = saved(members.groupBy("bucket").agg(F.max("rank").alias("lead")), "near-leaders")
+    weight = saved(sized.groupBy("node").agg(F.sum("size").alias("weight")), "near-weights")
+    ranked = texts.join(weight, "node").select("node", F.struct("weight", "node").alias("rank"), "bands")
+    members = saved(sized.select("bucket", "node").join(ranked, "node"), "near-members")
+    discard(shared, sized)
 
-    involved = members.select("node").distinct().join(texts.select("node", "k1", "k2", "first_id"), "node")
+    involved = weight.select("node").join(texts.select("node", "k1", "k2", "first_id"), "node")
     whole = rows_in.select("doc_id", "text", *keys).join(involved.select("node", "k1", "k2", F.col("first_id").alias("doc_id")), ["doc_id", "k1", "k2"])
     bodies = saved(whole.select("node", "text").dropDuplicates(["node"]), "near-bodies")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        withb = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        both = withb.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return both.mapInArrow(_verify(idf, width, least), "a long, b long")
-
-    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Of rows (bucket, node, ...), those in buckets with several components, with their label."""
-        at = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        return saved(at.join(saved(mixed.select("bucket"), "near-mixed"), "bucket"), "near-open")
-
-    pairs = members.join(leaders, "bucket").filter("lead.node <> node").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-    done = saved(pairs.distinct(), "near-pairs")
-    links = saved(verified(done), "near-links")
-    for _ in range(leader_rounds - 1):
-        # In buckets with several components another leader: the first in rank outside the last leader's component.
-        at = labelled(members, components(links))
-        last = at.join(leaders.select("bucket", F.col("lead.node").alias("node")), ["bucket", "node"], "left_semi").select("bucket", F.col("label").alias("led"))
-        rest = at.join(saved(last, "near-led"), "bucket").filter("label <> led")
-        leaders = saved(rest.groupBy("bucket").agg(F.max(F.struct("rank", "label")).alias("lead")).select("bucket", "lead.rank", "lead.label"), "near-leaders").select("bucket", F.col("rank").alias("lead"), F.col("label").alias("lead_label"))
-        new = at.join(leaders, "bucket").filter("label <> lead_label").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-        new = saved(new.join(done, ["a", "b"], "left_anti"), "near-pairs")
-        links, done = links.union(saved(verified(new), "near-links")), done.union(new)
-    # The rest, pair by pair: documents that still share a bucket over components meet in narrower buckets. What of a
-    # document's weight is in no other of them can't be common, which bounds a pair's similarity before it is compared.
-    labels = components(links)
-    open_bodies = saved(bodies.join(labelled(members, labels).select("node").distinct(), "node"), "near-open-bodies")
+    search = _Search(weight, bodies, idf, width, least)
+    left = search.rounds(members, F.lit(True), 1, leader_rounds).select("node").distinct()
+    # The rest: documents that still share a bucket over components meet in narrower buckets. What of a document's
+    # weight is in no other of them can't be common, which bounds a pair's similarity before it is compared.
+    open_bodies = saved(bodies.join(left, "node"), "near-open-bodies")
+    open_bodies = saved(open_bodies.repartition(max(1, -(-open_bodies.count() // OPEN_ROWS))), "near-open-bodies")
     shingles = open_bodies.mapInArrow(_shingle_rows(idf, width), "shingle long, node long, weight long")
     alone = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("c = 1")
     alone = saved(alone.groupBy("node").agg(F.sum("weight").alias("own")), "near-own")
     sharp = open_bodies.mapInArrow(_totals_and_bands(idf, width, *narrow), "node long, total long, bands array<long>")
     sharp = sharp.join(alone, "node", "left").withColumn("common", F.col("total") - F.coalesce("own", F.lit(0))).filter(F.col("common") >= least * F.col("total"))
-    narrowed = saved(sharp.select("node", "total", "common", F.explode("bands").alias("bucket")), "near-narrow")
+    narrowed = saved(sharp.select("node", "total", "common", "bands", F.explode("bands").alias("bucket")), "near-narrow")
     # The smallest partner that a bucket offers bounds the similarity of each of its documents.
-    smallest = saved(narrowed.groupBy("bucket").agg(F.min("total").alias("smallest"), F.count("*").alias("c")).filter("c > 1").drop("c"), "near-smallest")
+    smallest = saved(narrowed.groupBy("bucket").agg(F.min("total").alias("smallest"), F.count("*").alias("size")).filter("size > 1"), "near-smallest")
     hopeful = F.col("common") >= least * (F.col("total") + F.greatest("smallest", "common") - F.col("common"))
-    at = labelled(narrowed.join(smallest, "bucket").filter(hopeful).drop("smallest"), labels)
-    other = at.select("bucket", F.col("node").alias("a"), F.col("label").alias("other"), F.col("total").alias("a_total"), F.col("common").alias("a_common"))
-    most = F.least("common", "a_common")
-    likely = (F.col("label") != F.col("other")) & (F.col("a") < F.col("node")) & (most >= least * (F.col("total") + F.col("a_total") - most))
-    joined = at.withColumnRenamed("bucket", "here").join(other, (F.col("here") == F.col("bucket")) & likely)
-    new = joined.select("a", F.col("node").alias("b")).distinct()
-    new = saved(new.join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
-    links = links.union(saved(verified(new), "near-links"))
-    labels = components(links)
+    hoping = saved(narrowed.join(smallest, "bucket").filter(hopeful).drop("smallest"), "near-hoping")
+    discard(narrowed)
+    weight = saved(hoping.groupBy("node").agg(F.sum("size").alias("weight")), "near-weights")
+    narrowed = saved(hoping.join(weight, "node").select("bucket", "node", F.struct("weight", "node").alias("rank"), "bands", "total", "common"), "near-narrow")
+    shared = F.least("common", "l_common")
+    search.rounds(narrowed, shared >= least * (F.col("total") + F.col("l_total") - shared), 16)
+    labels = search.labels
 
     named = saved(texts.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"), "first_id"), "near-names")
     ids = saved(named.groupBy("label").agg(F.min("first_id").alias("class_id")), "near-classes")
     rows_out = saved(sketched.select("doc_id", "k1", "k2").join(named.select("k1", "k2", "label"), ["k1", "k2"]).select("doc_id", "k1", "k2", "label", F.monotonically_increasing_id().alias("row")), "near-rows")
     sizes = saved(rows_out.groupBy("label").agg(F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("keep_row")).join(ids, "label"), "near-sizes")
+    discard(sketched, texts, members, bodies, open_bodies, narrowed, hoping, named, ids, labels)
     return rows_out.join(sizes, "label").select("doc_id", "k1", "k2", "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 

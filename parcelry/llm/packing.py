@@ -1,8 +1,8 @@
 """Packing documents into fixed-length sequences: first-fit decreasing with a tournament tree of bin capacities.
 
 Tokens are counted and cut where the text is; only one small row per piece is shuffled. Documents longer than a
-sequence give full pieces and a rest. Pieces go to randomised groups of a few thousand, and each group is packed on its
-own: pieces in decreasing length, each into the first bin with room, found in a tournament tree (an inner node
+sequence give full pieces, which are sequences already, and a rest. Rests go to randomised groups of a few thousand, and each group is packed on
+its own: pieces in decreasing length, each into the first bin with room, found in a tournament tree (an inner node
 holds the largest capacity below it) in logarithmic time.
 """
 
@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.tokens import BYTE, Chunk, chunks, mix, powers, sums
+from parcelry.llm.shared import saved
+from parcelry.llm.tokens import Chunk, chunks, span_hashes
 
 #: Distinct parts that a worker remembers; beyond, it starts anew.
 REMEMBERED = 1_000_000
@@ -37,8 +38,9 @@ class Encoder:
 
     The tokenizer lower-cases, drops white space and joins neither over it nor between letters, digits and signs. So a
     text's ids are those of its parts in a row: runs of letters (ASCII and Latin-1), digits, runs of signs. Words with
-    anything else in them are parts as a whole. Parts are found and told apart by hash with array operations; ids of parts
-    seen lately are remembered in a sorted table, and only new parts are encoded.
+    anything else in them are parts as a whole. Parts are found by hash with array operations; ids of parts seen lately are
+    remembered in a sorted table, and only new parts are encoded. Parts of equal hash are compared byte by byte, and should two differ,
+    the chunk's texts are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -49,7 +51,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.starts, self.lengths, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        none = np.zeros(0, np.int64)
+        self.hashes, self.starts, self.lengths, self.flat = np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint32)
+        self.text, self.text_starts, self.text_lengths = np.zeros(0, np.uint8), none, none
 
     def parts(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes (lower case where that is sure), beginnings and ends of the parts."""
@@ -78,43 +82,69 @@ class Encoder:
         stop = np.minimum(np.append(at[1:], n), ends[np.searchsorted(starts, at, side="right") - 1])
         return np.where(in_whole, data, lower), at, stop
 
-    def places(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
-        """Where in flat the ids of distinct parts begin, and how many they are; text_of gives the text of the i-th."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+    def places(self, hashes: np.ndarray, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Where in flat the ids of distinct parts begin, and how many they are; None if one isn't what its hash stands for.
+
+        The i-th part is the `size` bytes of text from at on.
+        """
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        there = place[known]
+        if not equal_spans(text, at[known], size[known], self.text, self.text_starts[there], self.text_lengths[there]):
+            return None
         if not known.all():
             if len(self.hashes) > REMEMBERED:
                 self.forget()
-                return self.places(hashes, text_of)
+                return self.places(hashes, text, at, size)
             new = np.flatnonzero(~known)
-            coded = self.tokenizer.encode_batch_fast([text_of(i) for i in new.tolist()], add_special_tokens=False)
-            ids = [e.ids for e in coded]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+            parts = [text[a : a + n].tobytes() for a, n in zip(at[new].tolist(), size[new].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)]
+            many = np.fromiter(map(len, ids), np.int64, len(ids))
+            start, text_start = len(self.flat) + np.cumsum(many) - many, len(self.text) + np.cumsum(size[new]) - size[new]
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(many.sum())))
+            self.text = np.append(self.text, np.frombuffer(b"".join(parts), np.uint8))
             both = np.append(self.hashes, hashes[new])
             order = np.argsort(both, kind="stable")
-            self.hashes, self.starts, self.lengths = both[order], np.append(self.starts, start)[order], np.append(self.lengths, size)[order]
-            at = np.searchsorted(self.hashes, hashes)
-        return self.starts[at], self.lengths[at]
+            self.hashes = both[order]
+            for name, more in (("starts", start), ("lengths", many), ("text_starts", text_start), ("text_lengths", size[new])):
+                setattr(self, name, np.append(getattr(self, name), more)[order])
+            place = np.searchsorted(self.hashes, hashes)
+        return self.starts[place], self.lengths[place]
 
     def encode(self, c: Chunk) -> Iterator[np.ndarray]:
         """The ids of each text of the chunk with the end id."""
         text, at, stop = self.parts(c)
-        power, inverse = powers(len(text) + 1)
-        total = sums(BYTE[text] * power[: len(text)])
-        codes, distinct = pd.factorize(mix((total[stop] - total[at]) * inverse[at]))
+        size = stop - at
+        codes, distinct = pd.factorize(span_hashes(text, at, stop))
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        raw = text.tobytes()
-        start, length = self.places(distinct, lambda i: raw[at[first[i]] : stop[first[i]]].decode())
-        start, length = start[codes], length[codes]
+        same = first[codes]
+        found = self.places(distinct, text, at[first], size[first]) if equal_spans(text, at, size, text, at[same], size[same]) else None
+        if found is None:
+            yield from self.encode_whole(c)
+            return
+        start, length = found[0][codes], found[1][codes]
         upto = np.append(0, np.cumsum(length))
         ids = self.flat[np.repeat(start - upto[:-1], length) + np.arange(upto[-1])]
         bounds = upto[np.searchsorted(at, c.bounds)]
         for d in range(len(bounds) - 1):
             yield np.append(ids[bounds[d] : bounds[d + 1]], self.end)
 
+    def encode_whole(self, c: Chunk) -> Iterator[np.ndarray]:
+        for lo, hi in zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist(), strict=True):
+            ids = self.tokenizer.encode(c.data[lo:hi].tobytes().decode(), add_special_tokens=False).ids
+            yield np.append(np.array(ids, np.uint32), self.end)
+
+
+def equal_spans(a: np.ndarray, at_a: np.ndarray, size_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size_b: np.ndarray) -> bool:
+    """Whether spans of equal hash are equal, each; up to eight bytes, equal hashes and lengths suffice."""
+    if not np.array_equal(size_a, size_b):
+        return False
+    longer = np.flatnonzero((size_a > 8) & ((at_a != at_b) | (a is not b)))
+    n = size_a[longer]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.array_equal(a[np.repeat(at_a[longer], n) + step], b[np.repeat(at_b[longer], n) + step])
+
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
@@ -176,11 +206,15 @@ def _packed(capacity: int):
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int = 2048, group_rows: int = 4096, seed: int = 5) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Rows that repeat, or share a doc_id, are documents of their own. An empty table
-    gives no rows. Groups hold group_rows pieces on average (below 2^24 bins each), whatever the input's size.
+    A full piece is a sequence of its own (ids below 0), so groups hold at most one rest of each document: group_rows on
+    average (below 2^24 bins each), whatever the input's size and the texts' lengths. A null or empty text is the end id alone.
+    Rows that repeat, or share a doc_id, are documents of their own, and are dealt to groups each for itself. An empty table gives no
+    rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = max(1, -(-rows.count() // group_rows))
-    pieces = rows.mapInArrow(_pieces(tokenizer_path, end_id, sequence), PIECES)
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups))
-    return pieces.withColumn("part", part).groupBy("part").applyInPandas(_packed(sequence), PIECES + ", sequence_id long, offset long")
+    row = F.monotonically_increasing_id()
+    pieces = saved(rows.mapInArrow(_pieces(tokenizer_path, end_id, sequence), PIECES).withColumn("row", row), "pack-pieces")
+    full = pieces.filter(F.col("length") == sequence).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")}).drop("row")
+    rests = pieces.filter(F.col("length") < sequence).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups))).drop("row")
+    return full.unionByName(rests.groupBy("part").applyInPandas(_packed(sequence), PIECES + ", sequence_id long, offset long"))

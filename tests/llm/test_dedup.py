@@ -130,6 +130,26 @@ def test_spans_are_the_windows_that_start_earlier(spark):
     assert max(s.n_words for s in spans) > 45 and len(spans) < len(want) / 4
 
 
+def test_substrings_are_told_apart_by_their_words(spark, monkeypatch):
+    """Words whose sums of powers modulo 2^64 are equal differ, and so do texts that share a doc_id."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - b for b in bits]
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, "".join("ab"[b] for b in bits) + " " + tail), (2, "".join("ba"[b] for b in bits) + " " + tail), (None, tail + " end"), (None, "start " + tail + " end"), (None, "start " + tail + " end")]
+    got = sorted((r.doc_id or 0, r.n_removed) for r in Repeats(spark.createDataFrame(rows, "doc_id long, text string")).cut().collect())
+    assert got[3:] == [(1, 0), (2, 0)] and sorted(n for _, n in got[:3]) in ([0, 0, 20], [0, 20, 20])
+
+
+def test_spans_whose_words_differ_stay():
+    from parcelry.llm.substring_dedup import cut_words, digest
+
+    words = [b"%d" % i for i in range(40)]
+    text, good = " ".join(str(i) for i in range(40)), digest(words[5:26])
+    assert len(cut_words(text, [{"start": 5, "n": 2, "digest": good}], 20)[1]) == 19
+    assert len(cut_words(text, [{"start": 6, "n": 2, "digest": good}], 20)[1]) == 40
+
+
 def test_substrings_of_nasty_rows(spark, nasty, empty):
     assert Repeats(empty).cut().count() == 0
     got = Repeats(nasty).cut().collect()

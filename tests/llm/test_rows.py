@@ -41,6 +41,36 @@ def test_encoder_equals_the_tokenizer_on_whole_texts(documents):
     assert [g.tolist() for g in got] == [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
+def colliding():
+    """Two words of 1024 letters that sums of powers modulo 2^64 can't tell apart: the Thue-Morse word and its complement."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_are_not_linear():
+    x, y = colliding()
+    (c,) = chunks(pa.array([f"{x} {y}", " ".join(colliding()[0].replace("a", "on ").replace("b", "off ").split()), colliding()[1].replace("a", "on ").replace("b", "off ")]))
+    assert c.words[0] != c.words[1]
+    a, b = c.windows(c.word_bounds[1:3], 1024)
+    assert a != b
+    same = next(chunks(pa.array(["q w e r t y z u i o", "x q w e r t y z u i o"])))
+    assert same.windows(np.array([0]), 7)[0] == same.windows(np.array([11]), np.array([7]))[0] and len(set(same.words.tolist())) == 11
+
+
+def test_encoder_tells_parts_of_equal_hash_apart(monkeypatch):
+    import parcelry.llm.packing as packing
+
+    x, y = colliding()
+    texts = [f"so {x}", f"and {y} then", "a longerword", "a longestwords"]
+    want = [whole_ids(t) for t in texts]
+    encode = lambda e: [ids.tolist() for t in texts for c in chunks(pa.array([t])) for ids in e.encode(c)]
+    assert encode(Encoder(PATH, 1)) == want
+    monkeypatch.setattr(packing, "span_hashes", lambda data, starts, ends: (ends - starts > 8).astype(np.uint64) * np.uint64(7) + np.uint64(1) * (ends - starts <= 8) * (data[starts].astype(np.uint64) * np.uint64(512) + (ends - starts).astype(np.uint64)))
+    assert encode(Encoder(PATH, 1)) == want
+
+
 def naive_first_fit(lengths, capacity):
     bins, out = [], {}
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
