@@ -26,22 +26,39 @@ def test_rules(spark):
         RECORD,
     )
     parcels = spark.createDataFrame([(1, "A", "143", 3000.0), (1, "B", "144", 3100.0), (2, "C", None, None), (2, "", "a1", None), (2, "D", "a1", None)], PARCEL)
-    assert outcomes(rules.mandatory_fields(records, parcels)) == {(1, "owner_name", "error"): True, (1, "village", "error"): True, (1, "number", "error"): True, (2, "owner_name", "error"): False, (2, "village", "error"): False, (2, "number", "error"): False}
+    assert outcomes(rules.mandatory_fields(records, parcels)) == {(1, "owner_name", "error"): True, (1, "village", "error"): True, (1, None, "error"): True, (2, "owner_name", "error"): False, (2, "village", "error"): False, (2, None, "error"): False}
     assert outcomes(rules.area_range(records, parcels)) == {(1, "plot_area", "info"): True, (2, "plot_area", "warning"): False}
-    assert outcomes(rules.parcel_area_total(records, parcels)) == {(1, "total_area", "warning"): True, (2, "total_area", "warning"): False}
-    assert outcomes(rules.parcel_identifiers(records, parcels)) == {(1, "missing", "error"): True, (1, "twice", "error"): True, (1, "malformed", "warning"): True, (2, "missing", "error"): False, (2, "twice", "error"): False, (2, "malformed", "warning"): False}
+    assert outcomes(rules.parcel_area_total(records, parcels)) == {(1, "area", "warning"): True, (2, "area", "warning"): False}
+    assert sorted((r.document_id, r.severity, r.passed, r.field_name, r.message) for r in rules.parcel_identifiers(records, parcels).collect()) == [
+        (1, "error", True, "parcel_number", "Every parcel row has a number"), (1, "error", True, "parcel_number", "Parcel numbers are unique"), (1, "warning", True, "parcel_number", "Parcel numbers are well formed"),
+        (2, "error", False, "parcel_number", "Duplicate parcel numbers on this sheet: a1"), (2, "error", False, "parcel_number", "Parcel rows without a number: 1"), (2, "warning", False, "parcel_number", "Parcel numbers with unexpected characters: a1"),
+    ]
     assert outcomes(rules.irrigation_split(records, parcels)) == {(1, "irrigated_area", "warning"): True}
-    assert rules.validate(records, parcels).count() > 10
+    fields = spark.createDataFrame([(1, "mutation_date", "2020-01-02", 50.0), (1, "record_year", None, 90.0), (2, "record_date", "", 99.0), (2, "mutation_date", "1187", 99.0), (2, "registration_date", "abcd", 99.0)], "document_id int, field_name string, value string, confidence double")
+    assert outcomes(rules.plausible_dates(fields, 2024)) == {(1, "mutation_date", "warning"): True, (2, "mutation_date", "warning"): False, (2, "registration_date", "warning"): False}
+    hashes = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, None), (5, "y")], "document_id int, sha256 string")
+    assert {(r.document_id, r.passed, r.message) for r in rules.duplicate_document(hashes).collect()} == {
+        (1, False, "Exact duplicate of document 2"), (2, False, "Exact duplicate of document 1"), (3, False, "Exact duplicate of document 1"), (4, True, "No byte-identical duplicate"), (5, True, "No byte-identical duplicate"),
+    }
+    external = spark.createDataFrame([], "id int, source string, village string, khasra_number string, survey_number string, owner_name string, plot_area_sqm double, khata_number string")
+    got = rules.validate(records=records, parcels=parcels, fields=fields, hashes=hashes, external=external, this_year=2024)
+    assert tuple(got.columns) == rules.OUTCOME and {r.rule_id for r in got.collect()} == {f"R{i:02}" for i in range(1, 13)}
+    broken = rules.validate(records=records, parcels=parcels, fields=fields.drop("confidence"), hashes=hashes, external=external, this_year=2024).filter("rule_id = 'R05'").collect()
+    assert len(broken) == 2 and all(not r.passed and r.message.startswith("Rule crashed: ") for r in broken)
 
 
 def test_duplicate_and_external_records(spark):
-    records = spark.createDataFrame([(1, "Ram Prasad", "Rampur", "5", None, None, 100.0, None, None, None, None, None), (2, "Prasad Ram", "rampur", "5", None, None, 100.0, None, None, None, None, None), (3, "Other", "RAMPUR", "5", None, None, 1.0, None, None, None, None, None), (4, "X", None, "5", None, None, 1.0, None, None, None, None, None), (5, "Y", "Kolar", "9", "s1", "7", 1.0, None, None, None, None, None)], RECORD)
+    records = spark.createDataFrame([(1, "Ram Prasad", "Rampur", "5", None, None, 100.0, None, None, None, None, None), (2, "Prasad Ram", "Rampur", "5", None, None, 100.0, None, None, None, None, None), (3, "Other", "Rampur", "5", None, None, 1.0, None, None, None, None, None), (4, "X", None, "5", None, None, 1.0, None, None, None, None, None), (5, "Y", "Kolar", "9", "s1", "7", 1.0, None, None, None, None, None)], RECORD)
     got = {(r.document_id, r.severity, r.passed) for r in rules.duplicate_records(records).collect()}
     assert got == {(1, "error", False), (2, "error", False), (3, "warning", False), (5, "info", True)}
-    external = spark.createDataFrame([(1, "KOLAR", None, "s1", "Y", 1.02, "8"), (2, "Rampur", "5", None, "Ram Prasad", 200.0, None)], "id int, village string, khasra_number string, survey_number string, owner_name string, plot_area_sqm double, khata_number string")
+    external = spark.createDataFrame([(1, "LRMS", "KOLAR", None, "s1", "Y", 1.02, "8"), (2, "LRMS", "rampur", "5", None, "Ram Prasad", 200.0, None), (3, "LRMS", "Rampur", "5", None, "Z", 1.0, None), (4, "LRMS", "Else", "9", None, "Q", 1.0, None)], "id int, source string, village string, khasra_number string, survey_number string, owner_name string, plot_area_sqm double, khata_number string")
     got = outcomes(rules.cross_database(records, external))
     assert got[5, "owner_name", "warning"] and got[5, "plot_area", "warning"] and not got[5, "khata_number", "warning"]
     assert got[1, "owner_name", "warning"] and not got[1, "plot_area", "warning"] and not got[3, "owner_name", "warning"]
+    assert (4, "owner_name", "warning") in got  # no village: any village matches
+    lone = spark.createDataFrame([(7, "Ram", "Nowhere", "5", None, None, 1.0, None, None, None, None, None)], RECORD)
+    (only,) = rules.cross_database(lone, external).collect()
+    assert not only.passed and only.severity == "warning" and only.field_name is None and only.message.startswith("No matching record")
 
 
 def test_extraction(spark):
