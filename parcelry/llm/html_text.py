@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,7 +26,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never an article's.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas object head title button select textarea dialog menu math audio video".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas object head title button select textarea dialog menu audio video".split())
+#: Elements whose content is text up to their end tag, whatever it holds; all but xmp are dropped.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 #: Elements that can be a region.
 REGIONS = frozenset("article main".split())
 #: Words of class, id or role that mark what is not the article.
@@ -37,8 +40,83 @@ MARKS = frozenset(
 #: Elements that a new block of the same kind closes, where the page leaves them open.
 CLOSES = {"p": ("p",), "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
+#: Words that mark nothing inside an article or main, where they name its own heading.
+HEADING = frozenset(("header", "masthead", "banner"))
 _SPLIT = re.compile(r"[^a-z0-9]+")
-FEED = 1 << 16
+_STOP = re.compile(r"[>\"']")
+#: Marks within marks that are told apart; deeper ones go with the mark around them.
+DEEPEST = 32
+
+
+def marking(key: str, value: str, inside: bool) -> bool:
+    """Whether a class, id or role marks its element; an id within an article only by its last word, as others name sections."""
+    found = [w for w in _SPLIT.split(value.lower()) if w]
+    if inside:
+        found = [w for w in (found[-1:] if key == "id" else found) if w not in HEADING]
+    return not MARKS.isdisjoint(found)
+
+
+def tag_end(html: str, start: int, gone: set[str]) -> int:
+    """After the '>' that ends the tag at start, or -1; quoted values may hold '>'. gone: quotes that no later place closes."""
+    at = start + 1
+    while True:
+        stop = _STOP.search(html, at)
+        if stop is None or stop[0] == ">":
+            return -1 if stop is None else stop.end()
+        at, quote, before = stop.end(), stop[0], stop.start() - 1
+        while html[before].isspace():
+            before -= 1
+        if html[before] == "=" and quote not in gone:
+            close = html.find(quote, at)
+            if close < 0:
+                gone.add(quote)
+            else:
+                at = close + 1
+
+
+def feed_whole(parser: _Lines, html: str) -> None:
+    """Feeds a page in whole constructs, in one pass: the parser never meets an unfinished one, which it would read again and again.
+
+    Comments, declarations and processing instructions are left out, as is all that follows one (or a tag, or raw text) without
+    an end.
+    """
+    at, gone = 0, set()
+    while at < len(html):
+        start = html.find("<", at)
+        if start < 0:
+            parser.feed(html[at:])
+            return
+        if start > at:
+            parser.feed(html[at:start])
+        after = html[start + 1 : start + 2]
+        closing = after == "/" and html[start + 2 : start + 3].isalpha()
+        if closing or after.isascii() and after.isalpha():
+            at = tag_end(html, start, gone)
+            if at < 0:
+                return
+            parser.feed(html[start:at])
+            name = _NAME.match(html, start + 1)[0].lower() if not closing else ""
+            if name in RAW:
+                end = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(html, at)
+                if end is None:
+                    return
+                if name == "xmp":
+                    parser.feed(html[at : end.start()])
+                elif end.start() > at:
+                    parser.handle_data(html[at : end.start()])
+                at = end.start()
+        elif after in ("!", "?", "/") and after:
+            mark = "-->" if html.startswith("<!--", start) else ">"
+            end = html.find(mark, start + 2)
+            if end < 0:
+                return
+            at = end + len(mark)
+        else:
+            parser.feed("&lt;")
+            at = start + 1
+
+
+_NAME = re.compile(r"[^\s/>]+")
 
 
 class _Lines(HTMLParser):
@@ -55,6 +133,8 @@ class _Lines(HTMLParser):
         self.marks: tuple[int, ...] = ()
         self.around: list[tuple[int, ...]] = []
         self.held: list[list[int]] = []
+        self.blocks: list[int] = []  # where in open the blocks are
+        self.names: Counter[str] = Counter()
         self.dropping = 0
         self.regions: tuple[int, ...] = ()
         self.count = 0
@@ -69,7 +149,10 @@ class _Lines(HTMLParser):
         self.parts, self.hidden = [], False
 
     def pop(self) -> None:
-        _, drops, region, marked = self.open.pop()
+        name, drops, region, marked = self.open.pop()
+        self.names[name] -= 1
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
         self.dropping -= drops
         if region >= 0:
             self.regions = self.regions[:-1]
@@ -85,19 +168,20 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCKS:
             closed, scope = CLOSES.get(tag, ("p",)), SCOPE.get(tag, ())
-            for at in range(len(self.open) - 1, -1, -1):
+            keep = len(self.open)
+            for at in reversed(self.blocks):
                 name = self.open[at][0]
-                if name in scope or name in BLOCKS and name not in closed:
+                if name in scope or name not in closed:
                     break
-                if name in closed:
-                    while len(self.open) > at:
-                        self.pop()
+                keep = at
+            while len(self.open) > keep:
+                self.pop()
         inside = bool(self.regions)
         drops = tag in DROPPED or tag == "header" and not inside
         marked = False
         if not drops and not self.dropping and attrs and tag not in ("html", "body"):
             for key, value in attrs:
-                if key in ("class", "id", "role") and value and not MARKS.isdisjoint(_SPLIT.split(value.lower())):
+                if key in ("class", "id", "role") and value and len(self.marks) < DEEPEST and marking(key, value, inside):
                     marked = True
                     self.marks += (len(self.held),)
                     self.held.append([])
@@ -111,17 +195,20 @@ class _Lines(HTMLParser):
             for mark in self.marks:
                 self.held[mark].append(region)
         self.dropping += drops
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, drops, region, marked))
+        self.names[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
         else:
             self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                while len(self.open) > at:
-                    self.pop()
+        while self.names[tag] and self.open:
+            last = self.open[-1][0]
+            self.pop()
+            if last == tag:
                 return
 
     def handle_data(self, data: str) -> None:
@@ -187,15 +274,21 @@ def excluding(parser: _Lines) -> set[int]:
     limit = threshold(ratios)
     texts = [(len(" ".join(text.split())), marks, regions, r >= limit) for (pieces, regions, _, _), r in zip(lines, ratios, strict=True) for text, marks in pieces]
 
-    def per_region() -> dict[int, int]:
-        found: dict[int, int] = {}
-        for size, marks, regions, _ in texts:
+    clear: dict[int, int] = {}
+    by_text: dict[int, list[int]] = {mark: [] for mark in excluded}
+    for i, (_, marks, _, _) in enumerate(texts):
+        for mark in marks:
+            by_text[mark].append(i)
+
+    def count(which) -> None:
+        """Adds the texts in no excluded mark to their regions."""
+        for i in which:
+            size, marks, regions, _ = texts[i]
             if excluded.isdisjoint(marks):
                 for region in regions:
-                    found[region] = found.get(region, 0) + size
-        return found
+                    clear[region] = clear.get(region, 0) + size
 
-    clear = per_region()
+    count(range(len(texts)))
     largest = max(clear.values(), default=0)
     whole, by_mark, total = {}, dict.fromkeys(excluded, 0), 0
     for size, marks, regions, high in texts:
@@ -209,7 +302,7 @@ def excluding(parser: _Lines) -> set[int]:
         rival = max((clear.get(region, 0) for region in parser.around[mark]), default=0) or largest
         if best[mark] and best[mark] >= rival:
             excluded.discard(mark)
-            clear = per_region()
+            count(by_text[mark])
     if not any(clear.values()):
         excluded -= {mark for mark in excluded if 2 * by_mark[mark] > total}
     return excluded
@@ -220,8 +313,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    for at in range(0, len(html), FEED):
-        parser.feed(html[at : at + FEED])
+    feed_whole(parser, html)
     parser.close()
     parser.end_line()
     lines = read_lines(parser, excluding(parser))
