@@ -1,9 +1,10 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Each source's words form one stream, cut into blocks of a fixed number of words. The mix is a list of slots; a source
-holds as many slots as its target needs. Slot j of a source with N blocks belongs to pass j div N and takes the block that
-the pass's pseudorandom permutation of 0..N-1 gives for j mod N. Each slot goes to a pseudorandom output shard, so a shard's
-source counts are multinomial draws whose sums over the shards are the sources' totals. Blocks join by index.
+holds as many slots as its target needs. Its slots are thrown into the output shards like balls into bins, so a shard's source counts
+are a multinomial draw, under the condition that a source's counts add up to its slots. The drawn counts decide which of
+a source's slots a shard holds: the next so many in shard order. Slot j of a source with N blocks belongs to pass j div N and takes the block that
+the pass's pseudorandom permutation of 0..N-1 gives for j mod N. Blocks join by index.
 
 Nothing depends on partitioning or on the order in which rows are read: reruns agree.
 """
@@ -22,13 +23,13 @@ CHUNK, WALKS, TOP = 4096, 64, 65536
 
 
 def sized(docs: DataFrame, whole: bool) -> DataFrame:
-    """row (a key of its own for every row), doc_id, source and size (words; null text has none), as a saved table.
+    """row (a key of its own for every row), doc_id, source, size (words; null text has none) and text_key, as a saved table.
 
     whole: with the row itself as d, so that its columns can't clash.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     kept = [F.struct(*docs.columns).alias("d")] if whole else []
-    return saved(docs.select("doc_id", "source", size.alias("size"), *kept).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    return saved(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_key"), *kept).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -72,36 +73,52 @@ def _shuffled(x: Column, key: Column) -> Column:
     return x
 
 
-def slots(plan: DataFrame, seed: int, shard_slots: int) -> DataFrame:
-    """rank, pass, slot, block, shard: every slot of the mix.
+def draws(plan: DataFrame, seed: int, shard_slots: int) -> DataFrame:
+    """rank, shard, first, n: how many slots each shard draws from a source, and its first one; a saved table.
 
-    Indices are dealt out in chunks, so that a source's slots aren't one array. The permutation of 0..blocks-1 walks the
-    cycle of a bijection of 0..2^bits-1 (at most twice as many) until it is in range.
+    The number of shards grows with the mix, so that a shard has shard_slots slots on average. Slots are thrown in chunks, so that a
+    source's slots aren't one array, and counts are summed up before they are shuffled.
     """
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    p = plan.filter("slots > 0").select("rank", "blocks", "slots", "bits", "mask", F.lit(max(1, -(-total // shard_slots))).cast("long").alias("shards"))
-    p = p.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))).repartition(max(1, min(10_000, -(-total // (8 * CHUNK)))), "rank", "chunk")
+    shards = max(1, -(-total // shard_slots))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))
+    p = plan.filter("slots > 0").select("rank", "slots", chunk.alias("chunk")).repartition(max(1, min(10_000, -(-total // (8 * CHUNK)))), "rank", "chunk")
     last = F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1
-    p = p.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk")
+    balls = p.select("rank", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
+    drawn = balls.groupBy("rank", F.pmod(F.xxhash64(F.lit(seed + 1), "rank", "slot"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return saved(drawn.select("rank", "shard", before.alias("first"), "n"), "mix-draws")
+
+
+def slots(plan: DataFrame, drawn: DataFrame, seed: int) -> DataFrame:
+    """rank, shard, pass, slot, block: every slot of the mix, as drawn.
+
+    The permutation of 0..blocks-1 walks the cycle of a bijection of 0..2^bits-1 (at most twice as many, or four) until it is in
+    range. A walk that isn't after WALKS steps raises an error; none is lost.
+    """
+    p = drawn.join(plan.select("rank", "blocks", "bits", "mask"), "rank").repartition("rank", "shard")
+    p = p.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     p = p.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "rank", "pass"), 1))
     start = _shuffled(F.col("slot") % F.col("blocks"), F.col("key"))
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, lambda at, _: F.when(at < F.col("blocks"), at).otherwise(_shuffled(at, F.col("key"))))
-    return p.select("rank", "pass", "slot", walk.alias("block"), F.pmod(F.xxhash64(F.lit(seed + 1), "rank", "slot"), F.col("shards")).alias("shard"))
+    p = p.withColumn("walked", walk)
+    block = F.when(F.col("walked") < F.col("blocks"), F.col("walked")).otherwise(F.raise_error(F.lit("a slot's walk has not ended")).cast("long"))
+    return p.select("rank", "shard", "pass", "slot", block.alias("block"))
 
 
 def document_blocks(sizes: DataFrame, n_docs: int, block: int) -> DataFrame:
     """source, row, doc_id, size, block, first, words: which words (from first on) of a document lie in which block.
 
     A source's stream runs through buckets of documents by hash of doc_id; offsets are sums over earlier buckets plus a
-    running sum within the bucket, so no source is one task. Equal rows are interchangeable.
+    running sum within the bucket, so no source is one task, nor are texts that share a doc_id. Equal rows are interchangeable.
     """
     count = max(1, min(TOP, -(-n_docs // 512)))
-    d = sizes.select("row", "doc_id", "size", "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(count)))
+    d = sizes.select("row", "doc_id", "size", "source", "text_key").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(count)))
     key = ["source", "bucket"]
     per = d.groupBy(*key).agg(F.sum("size").alias("in_bucket"))
     before = F.coalesce(F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = saved(per.select(*key, before.alias("start")), "mix-starts")
-    running = F.coalesce(F.sum("size").over(W.partitionBy(*key).orderBy("doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    running = F.coalesce(F.sum("size").over(W.partitionBy(*key).orderBy("doc_id", "text_key", "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("within", running)
     s = starts.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), "start")
     d = d.join(s, d["source"].eqNullSafe(s["s_source"]) & (d["bucket"] == s["s_bucket"])).drop("s_source", "s_bucket", "bucket")
@@ -124,7 +141,8 @@ class Mix:
         self.columns = docs.columns
         self.sizes = sized(docs, whole)
         self.plan = saved(budget(targets(self.sizes, weights, cap), block, cap), "mix-plan")
-        self.slots = slots(self.plan, seed, shard_slots)
+        self.draws = draws(self.plan, seed, shard_slots)
+        self.slots = slots(self.plan, self.draws, seed)
         self.blocks = document_blocks(self.sizes, self.sizes.count(), block)
 
     def ranked(self, blocks: DataFrame) -> DataFrame:
