@@ -3,14 +3,16 @@
 Phrases (a few words, cut at punctuation) are the leaves; lines are paragraphs; a section ends at a blank line, or after
 a paragraph whose digest says so, so an edit moves no boundary but its own. A node's digest is that of its
 children's digests. Equal roots mean equal texts; from unequal roots, unequal branches lead to the edit. The printed
-fingerprint is the root with a sketch of the leaves (the smallest hashes), from which likeness is estimated in
-bounded space.
+fingerprint is the root and the whole tree with shortened leaves, so two fingerprints alone tell where texts differ and how
+much they share, whatever their length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from base64 import b64encode
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 
 _LEAF = re.compile(r"[^\s.,;:!?|]+(?:[^\S\n]+[^\s.,;:!?|]+){0,3}[^\S\n]*[.,;:!?|]*[^\S\n]*|[^\S\n]*[.,;:!?|]+[^\S\n]*|[^\S\n]+")
-SKETCH, DIGITS = 64, 6
+#: Characters of a leaf in a printed fingerprint, six bits each.
+DIGITS = 6
 FEWEST, SECTION = 3, 8
 LOWEST = -(1 << 63)
 
@@ -53,45 +56,72 @@ def tree(text: str) -> dict:
     return {"root": hashlib.sha256(b"r" + b"".join(d for d, _ in sections)).hexdigest(), "sections": sections}
 
 
-def differing(a: dict, b: dict) -> list[tuple[int, int]]:
-    """(section, paragraph) places of tree a that tree b has nowhere; [] if the roots are equal."""
-    if a["root"] == b["root"]:
-        return []
-    same = {d for d, _ in b["sections"]}
-    paragraphs = {d for _, ps in b["sections"] for d, _ in ps}
-    return [(i, j) for i, (d, ps) in enumerate(a["sections"]) if d not in same for j, (p, _) in enumerate(ps) if p not in paragraphs]
+def printed(t: dict) -> str:
+    """root:section;section..., a section being paragraph,paragraph..., a paragraph its leaves in a row."""
+    short = lambda leaf: b64encode(leaf[:6], b"-_")[:DIGITS].decode()
+    return t["root"] + ":" + ";".join(",".join("".join(map(short, leaves)) for _, leaves in ps) for _, ps in t["sections"])
 
 
-def sketch(t: dict) -> list[int]:
-    """The smallest leaf hashes, ascending."""
-    found = {int.from_bytes(leaf[:3], "big") for _, ps in t["sections"] for _, leaves in ps for leaf in leaves}
-    return sorted(found)[:SKETCH]
+def parsed(fingerprint: str) -> tuple[str, list[tuple[str, ...]]]:
+    """The root and the sections, each with its paragraphs as strings of leaves."""
+    root, _, rest = fingerprint.partition(":")
+    return root, [tuple(section.split(",")) for section in rest.split(";")]
+
 
+def likeness(a: str, b: str) -> float:
+    """The share of common leaves of two fingerprints, 1 if the roots are equal and else below.
 
-def likeness(root_a: str, a: list[int], root_b: str, b: list[int]) -> float:
-    """1 if the roots are equal, else below 1: the share of common leaves, estimated from both sketches."""
+    Equal branches are taken as a whole, from sections to paragraphs; only leaves under unequal ones are compared. Leaves and
+    branches count as often as they occur.
+    """
+    (root_a, sections_a), (root_b, sections_b) = parsed(a), parsed(b)
     if root_a == root_b:
         return 1.0
-    if not a or not b:
-        return 0.0
-    sa, sb = set(a), set(b)
-    joint = sorted(sa | sb)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        joint = joint[:SKETCH]
-    both = sa & sb
-    return min(sum(x in both for x in joint) / len(joint), 1 - 1 / (len(joint) + 1))
+    size = lambda paragraphs: sum(map(len, paragraphs)) // DIGITS
+    total = sum(map(size, sections_a)) + sum(map(size, sections_b))
+    common = 0
 
+    def matched(left: Counter, right: Counter, worth) -> tuple[Counter, Counter]:
+        nonlocal common
+        both = left & right
+        common += sum(worth(x) * n for x, n in both.items())
+        return left - both, right - both
 
-def printed(root: str, hashes: list[int]) -> str:
-    return root + ":" + "".join(f"{x:0{DIGITS}x}" for x in hashes)
+    flat = lambda groups: Counter(x for group in groups.elements() for x in group)
+    left, right = matched(Counter(sections_a), Counter(sections_b), size)
+    left, right = matched(flat(left), flat(right), lambda p: len(p) // DIGITS)
+    leaves = lambda groups: Counter(p[i : i + DIGITS] for p in groups.elements() for i in range(0, len(p), DIGITS))
+    matched(leaves(left), leaves(right), lambda leaf: 1)
+    return min(common / (total - common), 1 - 1 / (total + 1)) if total else 0.0
 
 
-def parsed(fingerprint: str) -> tuple[str, list[int]]:
-    root, _, rest = fingerprint.partition(":")
-    return root, [int(rest[i : i + DIGITS], 16) for i in range(0, len(rest), DIGITS)]
+def differing(a: str, b: str) -> tuple[int, int, int]:
+    """Where fingerprint a departs from b: the first unequal section and paragraph of a, and how many of its paragraphs lie up to the
+    last unequal one; (0, 0, 0) if the roots are equal.
+
+    Branches are compared by place from both ends, so a repeated, moved or removed paragraph shows, too.
+    """
+    (root_a, sections_a), (root_b, sections_b) = parsed(a), parsed(b)
+    if root_a == root_b:
+        return 0, 0, 0
+
+    def between(x: list, y: list) -> tuple[int, int]:
+        """How many at the start are equal, and how many more at the end."""
+        n = min(len(x), len(y))
+        start = next((i for i in range(n) if x[i] != y[i]), n)
+        return start, next((i for i in range(n - start) if x[-1 - i] != y[-1 - i]), n - start)
+
+    start, end = between(sections_a, sections_b)
+    inner_a, inner_b = ([p for s in x[start : len(x) - end] for p in s] for x in (sections_a, sections_b))
+    first, last = between(inner_a, inner_b)
+    section, paragraph = start, first
+    while section < len(sections_a) - 1 and paragraph >= len(sections_a[section]):
+        paragraph -= len(sections_a[section])
+        section += 1
+    return section, paragraph, len(inner_a) - first - last
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_section long, edit_paragraph long, edit_paragraphs long"
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,19 +133,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, extra, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
             text = text.as_py()
             t = tree(text)
-            now = (bucket, extra, doc_id, text, t["root"], sketch(t))
+            now = (bucket, extra, doc_id, text, printed(t))
             if before is not None and before[0] == bucket and not before[1]:
-                _, _, was_id, was, root, hashes = before
+                _, _, was_id, was, fingerprint = before
                 k = len(was) // 4
                 edited = was[: len(was) - k] + text[:k]
-                e = tree(edited)
-                es = sketch(e)
-                rows.append(
-                    (None if was_id == LOWEST else was_id, len(was), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), printed(root, hashes), printed(e["root"], es), likeness(root, hashes, e["root"], es), likeness(root, hashes, t["root"], now[5]))
-                )
+                other = printed(tree(edited))
+                sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((None if was_id == LOWEST else was_id, len(was), sha, fingerprint, other, likeness(fingerprint, other), likeness(fingerprint, now[4]), *differing(fingerprint, other)))
             before = now
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
