@@ -1,6 +1,6 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives and unlabelled texts, with an estimated share p of positives among the latter, give the non-negative
+Trusted positives and unlabelled texts, with a share p of positives among the latter that is estimated from both, give the non-negative
 unbiased risk p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]) (logistic loss l), which is minimised by gradient steps; where
 the second part falls below zero, the step goes against it. The scorer adds up weights of binned text statistics: shares
 of character classes, words, repeats and lines, none of which depends on the language.
@@ -125,34 +125,53 @@ def _score(model: Model | None):
     return run
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 40, delta: float = 0.1, rounds: int = 3) -> float:
+    """The share of positives among the unlabelled, from both samples alone; within 0.05 and 0.95.
+
+    The unlabelled are a mixture that holds the positives with share p, so the share of unlabelled above any score is at least p times
+    that of positives, and equal where no negative scores so high. A scorer is fitted on half of the rows, with the estimate so far as
+    prior; on the other half, the ratio of the two shares is taken at the score where its upper confidence bound is smallest. Each
+    round does so on either half, and the next one starts from the mean. Below `least` rows of a kind nothing can be estimated: 0.5.
+    """
+    prior = 0.5
+    for _ in range(rounds if min(len(positive), len(unlabelled)) >= least else 0):
+        found = []
+        for half in (0, 1):
+            ranking = fit(positive[half::2], unlabelled[half::2], prior, steps=150)
+            p, u = np.sort(ranking.score(positive[1 - half :: 2])), np.sort(ranking.score(unlabelled[1 - half :: 2]))
+            at = np.unique(p)
+            above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+            slack = np.sqrt(np.log(4 / delta) / (2 * len(p))) + np.sqrt(np.log(4 / delta) / (2 * len(u)))
+            best = int(np.argmin((above_u + slack) / above_p))
+            found.append(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
+        prior = float(np.mean(found))
+    return prior
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id, quality); None without positives or documents.
 
-    At most `sample` positives and as many unlabelled documents are used: those with the smallest hashes of doc_id. The
-    class prior is the share of positives among all labelled rows, kept within 0.05 and 0.95.
+    At most `sample` different texts of positives and as many unlabelled ones are used: those with the smallest hashes of doc_id and text.
+    Labels other than 1 aren't used; the class prior is estimated from positives and unlabelled rows.
     """
-    label = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counted = label.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long"))).first()
-    n = docs.count()
-    if not n or not counted[1]:
-        return None
-    prior = min(0.95, max(0.05, counted[1] / counted[0]))
-
-    def smallest(ids: DataFrame, total: int, positive: bool) -> DataFrame:
-        place = F.xxhash64("doc_id", F.lit(positive))
-        some = ids.select("doc_id", place.alias("place"))
-        if total > 2 * sample:  # twice the expected share always holds enough
-            some = some.filter(F.col("place") < F.lit(int(-(2**63) + 2**64 * min(1.0, 2 * sample / total))))
-        return some.orderBy("place").limit(sample).withColumn("positive", F.lit(positive))
-
-    chosen = smallest(label.filter("quality = 1"), counted[1], True).union(smallest(docs.select("doc_id"), n, False))
-    # At most 2 * sample ids.
-    found = docs.join(F.broadcast(chosen), "doc_id").select("place", "positive", "text").mapInArrow(_stats, "place long, positive boolean, x array<double>").toPandas()
+    trusted = labels.filter("quality = 1").select("doc_id").distinct()
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
+
+    def smallest(rows: DataFrame, positive: bool) -> DataFrame:
+        place = F.xxhash64("doc_id", "text_key", F.lit(positive))
+        return rows.distinct().select("doc_id", "text_key", place.alias("place")).orderBy("place").limit(sample).withColumn("positive", F.lit(positive))
+
+    chosen = smallest(keyed.join(trusted, "doc_id", "left_semi"), True).union(smallest(keyed, False))
+    # At most 2 * sample keys; rows that are equal in both give one.
+    found = docs.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "text_key"]).select("place", "positive", "text")
+    found = found.mapInArrow(_stats, "place long, positive boolean, x array<double>").dropDuplicates(["place", "positive"]).toPandas()
     found = found.sort_values(["positive", "place"], ignore_index=True)
+    if not len(found):
+        return None
     x, positive = np.array(found["x"].tolist()), found["positive"].to_numpy()
     if not positive.any() or positive.all():
         return None
-    return fit(x[positive], x[~positive], prior)
+    return fit(x[positive], x[~positive], estimated_prior(x[positive], x[~positive]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, **parameters) -> DataFrame:
