@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from parcelry.llm.language_id import accepted, calibrated, identify, softmax
-from parcelry.llm.quality_model import fit, score_quality
+from parcelry.llm.quality_model import estimated_prior, fit, score_quality
 from parcelry.llm.shared import fold
 
 
@@ -73,3 +73,29 @@ def test_positive_unlabelled_learning_splits_a_mixture():
     m = fit(good[:1200], np.concatenate([good[1200:2700], bad[:300]]), 1500 / 1800)
     p, n = m.score(good[2700:]), m.score(bad[300:])
     assert (p >= 0.5).mean() > 0.97 and (n >= 0.5).mean() < 0.3 and (p[:, None] > n[None]).mean() > 0.99
+
+
+def test_prior_comes_from_positives_and_unlabelled_rows():
+    r = np.random.default_rng(5)
+    for share in (0.3, 0.6, 0.9):
+        n = int(3000 * share)
+        good, bad = r.normal(0, 1, (3000 + n, 4)), r.normal(2.5, 1, (3000 - n, 4))
+        assert abs(estimated_prior(good[:3000], r.permutation(np.concatenate([good[3000:], bad]))) - share) < 0.08
+    assert estimated_prior(good[:9], bad[:9]) == 0.5
+
+
+def test_risk_gradient_and_language_step_equal_brute_force():
+    """One step of the learners by plain loops: FTRL over one example, and the sign of the first quality step."""
+    from parcelry.llm.language_id import ftrl
+
+    bucket, v = np.array([3, 8]), np.array([0.6, 0.8])
+    w, b = ftrl([(bucket, v, 1)], 2, 1, alpha=0.5, beta=1.0, l1=0.02, l2=0.01)
+    for i, k in enumerate(bucket):
+        for c, d in enumerate((0.5, -0.5)):
+            z, n = v[i] * d, (v[i] * d) ** 2
+            want = 0.0 if abs(z) <= 0.02 else -(z - np.sign(z) * 0.02) / ((1.0 + n**0.5) / 0.5 + 0.01)
+            assert abs(w[k, c] - want) < 1e-12
+    assert (b > 0).tolist() == [False, True]
+    x = np.array([[0.0], [1.0], [2.0], [3.0]] * 30)
+    m = fit(x[:60] * 0, x, 0.25, bins=4, steps=60)
+    assert m.score(np.array([[0.0]]))[0] > 0.5 > m.score(np.array([[3.0]]))[0]
