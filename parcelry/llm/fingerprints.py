@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelry.llm.shared import small_batches
 
 _LEAF = re.compile(r"[^\s.,;:!?|]+(?:[^\S\n]+[^\s.,;:!?|]+){0,3}[^\S\n]*[.,;:!?|]*[^\S\n]*|[^\S\n]*[.,;:!?|]+[^\S\n]*|[^\S\n]+")
 #: Characters of a leaf in a printed fingerprint, six bits each.
@@ -158,6 +159,7 @@ def fingerprint_edits(docs: DataFrame, bucket_rows: int = 1024, buckets_max: int
     successor. An empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     n = rows.count()
     if n == 0:
         return docs.sparkSession.createDataFrame([], OUT)

@@ -19,6 +19,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parcelry.llm.shared import small_batches
+
 #: Elements that start and end a line.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -362,5 +364,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     A null or empty html, or one without content, gives an empty text. An empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     rows = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

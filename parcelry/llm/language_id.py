@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parcelry.llm.shared import small_batches
 from parcelry.llm.tokens import chunks
 
 BITS, ORDERS = 15, (2, 3)
@@ -156,6 +157,7 @@ def train(labelled: DataFrame, sample: int = 4000, passes: int = 3, alpha: float
     the smallest hashes of doc_id: its share of `sample` rows, rounded up, or `least` (all, if it has fewer) where that is more.
     Every fifth row of a language is left to the calibration.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.llm.components import components, relabelled
-from parcelry.llm.shared import discard, saved
+from parcelry.llm.shared import discard, saved, small_batches
 from parcelry.llm.tokens import CHUNK_DOCS, CHUNKBYTES, Chunk, chunks, mix, signed
 
 #: Buckets of the word frequency table; weights are fixed-point numbers, so that sums don't depend on order.
@@ -285,6 +285,7 @@ def classified(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int =
     doc_id comes after all others. An empty table gives no rows.
     """
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     idf = word_weights(rows_in)
     keys = (F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     sketched = rows_in.select("doc_id", *keys, "text").mapInArrow(_bands(idf, width, bands, rows), "doc_id long, k1 long, k2 long, bands array<long>")

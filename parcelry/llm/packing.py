@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.shared import saved
+from parcelry.llm.shared import saved, small_batches
 from parcelry.llm.tokens import Chunk, chunks, span_hashes
 
 #: Distinct parts that a worker remembers; beyond, it starts anew.
@@ -212,6 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
     rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     groups = max(1, -(-rows.count() // group_rows))
     row = F.monotonically_increasing_id()
     pieces = saved(rows.mapInArrow(_pieces(tokenizer_path, end_id, sequence), PIECES).withColumn("row", row), "pack-pieces")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelry.llm.shared import small_batches
 from parcelry.llm.tokens import Chunk, chunks
 
 #: Classes of bytes: lower, upper, digit, space, newline, then single signs, symbols, other signs, bytes of other alphabets.
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model | Non
     At most `sample` different texts of positives and as many unlabelled ones are used: those with the smallest hashes of doc_id and text.
     Labels other than 1 aren't used; the class prior is estimated from positives and unlabelled rows.
     """
+    small_batches(docs.sparkSession)
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
 

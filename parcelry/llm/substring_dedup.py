@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from parcelry.llm.shared import discard, renewed, saved
+from parcelry.llm.shared import discard, renewed, saved, small_batches
 from parcelry.llm.tokens import Chunk, chunks, signed
 
 LOWEST = -(1 << 63)
@@ -200,6 +200,7 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, k: int = 20, m: int = 8):
         self.k, self.given = k, docs
+        small_batches(docs.sparkSession)
         text = F.col("text").cast("string")
         self.keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
         self.docs = docs.select(*self.keys)
