@@ -96,7 +96,8 @@ def slots(plan: DataFrame, drawn: DataFrame, seed: int) -> DataFrame:
     The permutation of 0..blocks-1 walks the cycle of a bijection of 0..2^bits-1 (at most twice as many, or four) until it is in
     range. A walk that isn't after WALKS steps raises an error; none is lost.
     """
-    p = drawn.join(plan.select("rank", "blocks", "bits", "mask"), "rank").repartition("rank", "shard")
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    p = drawn.join(plan.select("rank", "blocks", "bits", "mask"), "rank").repartition(max(1, min(10_000, -(-total // (8 * CHUNK)))), "rank", "shard")
     p = p.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     p = p.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "rank", "pass"), 1))
     start = _shuffled(F.col("slot") % F.col("blocks"), F.col("key"))
