@@ -129,23 +129,24 @@ def _score(model: Model | None):
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 40, delta: float = 0.1, rounds: int = 3) -> float:
     """The share of positives among the unlabelled, from both samples alone; within 0.05 and 0.95.
 
-    The unlabelled are a mixture that holds the positives with share p, so the share of unlabelled above any score is at least p times
-    that of positives, and equal where no negative scores so high. A scorer is fitted on half of the rows, with the estimate so far as
-    prior; on the other half, the ratio of the two shares is taken at the score where its upper confidence bound is smallest. Each
-    round does so on either half, and the next one starts from the mean. Below `least` rows of a kind nothing can be estimated: 0.5.
+    The unlabelled are a mixture that holds the positives with share p, so for any scorer, the share of unlabelled above any score is at
+    least p times that of positives, and equal where no negative scores so high. A scorer is fitted on half of the rows, with the estimate so
+    far as prior; on the other half, the ratio of the two shares is bounded from above at each score. Each round does so on either half.
+    As every ratio bounds p, the one with the smallest bound of all scorers and scores is the estimate. Below `least` rows of a kind
+    nothing can be estimated: 0.5.
     """
-    prior = 0.5
+    prior, tightest = 0.5, np.inf
     for _ in range(rounds if min(len(positive), len(unlabelled)) >= least else 0):
-        found = []
-        for half in (0, 1):
-            ranking = fit(positive[half::2], unlabelled[half::2], prior, steps=150)
+        rankings = [fit(positive[half::2], unlabelled[half::2], prior, steps=150) for half in (0, 1)]
+        for half, ranking in enumerate(rankings):
             p, u = np.sort(ranking.score(positive[1 - half :: 2])), np.sort(ranking.score(unlabelled[1 - half :: 2]))
             at = np.unique(p)
             above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
             slack = np.sqrt(np.log(4 / delta) / (2 * len(p))) + np.sqrt(np.log(4 / delta) / (2 * len(u)))
-            best = int(np.argmin((above_u + slack) / above_p))
-            found.append(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
-        prior = float(np.mean(found))
+            bound = (above_u + slack) / above_p
+            best = int(np.argmin(bound))
+            if bound[best] < tightest:
+                prior, tightest = float(np.clip(above_u[best] / above_p[best], 0.05, 0.95)), bound[best]
     return prior
 
 
