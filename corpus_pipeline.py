@@ -48,7 +48,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither the trained model nor the sampled sketches; tests/llm holds the stages against brute force.
+#: SQL expresses neither the trained model nor the sampled sketches; tests/llm holds substring removal, mixing and packing against brute force, the
+#: others by similarity, held-out rows and columns.
 ORACLE_SQL = None
 
 
