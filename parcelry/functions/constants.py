@@ -62,6 +62,12 @@ NUMBER_FIELDS = ("survey_number", "khasra_number", "khata_number", "mutation_num
 NORMALISED_NAMES = ("owner_name", "father_or_husband_name", "village", "tehsil", "district", "state")
 DATE_FIELDS = ("mutation_date", "registration_date")
 
+# Fields whose reading must hold a digit.
+DIGIT_ONLY = (
+    "khata_number", "khasra_number", "survey_number", "record_year", "record_date", "mutation_date", "registration_date",
+    "total_area", "irrigated_area", "unirrigated_area", "plot_area",
+)
+
 # Closed vocabularies of two table columns.
 VOCABULARIES = {
     "land_classification": (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelry.functions.constants import AUTO_ACCEPT, COLUMNS, EMBEDDED_LABELS, LABELS, LAND_CLASSES, OWNERSHIP_TYPES, STATE_MENTIONS, TITLE_NOISE, VOCABULARIES
+from parcelry.functions.constants import AUTO_ACCEPT, COLUMNS, DIGIT_ONLY, EMBEDDED_LABELS, LABELS, LAND_CLASSES, OWNERSHIP_TYPES, STATE_MENTIONS, TITLE_NOISE, VOCABULARIES
 from parcelry.functions.fuzzy import best_match, ratio_of
 from parcelry.functions.text import ascii_digits, blank_to_null, comparable, first_term, has_shape, is_gibberish
 from parcelry.operators.sequences import argmax_per_key
@@ -212,25 +212,80 @@ def heading_column(text: Column) -> Column:
     return F.coalesce(whole(t)["name"], part(t)["name"])
 
 
+def numeric_score(column: Column, cleaned: Column) -> Column:
+    """How well a cleaned figure fits its column's shape: parcel numbers, areas with decimals, other figures; 0 for none."""
+    bare = F.replace(cleaned, F.lit("."), F.lit(""))
+    number = F.when(cleaned.rlike(r"^\d{1,5}(/\d{1,4})*$"), 100.0).otherwise(20.0)
+    area = F.when(cleaned.rlike(r"^\d+\.\d+$"), 100.0).when(bare.rlike(r"^\d+$"), 55.0).otherwise(20.0)
+    other = F.when(cleaned.rlike(r"\p{Nd}"), 60.0).otherwise(10.0)
+    return F.when(F.coalesce(cleaned, F.lit("")) == "", 0.0).when(column == "parcel_number", number).when(column == "area", area).otherwise(other)
+
+
+def claimed_columns(found: DataFrame) -> DataFrame:
+    """Greedy one-to-one assignment of (table_id, place, name, score), one name per place: the best place of each name.
+
+    As a heading names one column at most, the greedy order by score is the argmax per name; equal scores go to the left.
+    """
+    return argmax_per_key(found.filter("name is not null"), ["table_id", "name"], "score", ["place"])
+
+
+def synthesised_parcels(texts: DataFrame) -> DataFrame:
+    """Parcels of (document_id, text) without a table: two or more numbers at the heads of rows give one parcel each, at 65."""
+    numbers = texts.select("document_id", khasra_numbers(F.col("text")).alias("numbers")).filter(F.size("numbers") >= 2)
+    return numbers.select("document_id", F.posexplode("numbers").alias("row_index", "parcel_number")).withColumn("confidence", F.lit(65.0))
+
+
+def with_digits(readings: DataFrame) -> DataFrame:
+    """readings without those of number fields that hold no digit."""
+    return readings.filter(~F.col("field_name").isin(*DIGIT_ONLY) | F.coalesce(F.col("value").rlike(r"\p{Nd}"), F.lit(False)))
+
+
+def agreement_summary(states: DataFrame) -> DataFrame:
+    """Per document the counts of states (document_id, field_name, source, state) and the share that agrees, in percent; metadata doesn't count."""
+    count = lambda s: F.count_if(F.coalesce("state", F.lit("only_primary")) == s).alias(s)
+    per = states.filter(~F.col("source").eqNullSafe("metadata")).groupBy("document_id").agg(*map(count, ("agree", "disagree", "only_primary", "only_shadow")), F.count("*").alias("compared"))
+    return per.withColumn("verification_rate", F.round(100 * F.col("agree") / F.col("compared"), 1))
+
+
+def _pieces(text: Column, cutoff: float) -> Column:
+    """A text in so many pieces that one of them stands unchanged in every text of at least the cutoff's ratio.
+
+    A ratio of c needs (1 - c / 100) of both lengths at most to be inserted or deleted; the other is at most
+    c / (200 - c) times longer, so n characters see at most n * 2 * (100 - c) / c edits.
+    """
+    n = F.length(text)
+    many = F.floor(n * (2 * (100 - cutoff) / cutoff)).cast("int") + 1
+    return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring(text, F.floor(i * n / many).cast("int") + 1, F.floor((i + 1) * n / many).cast("int") - F.floor(i * n / many).cast("int")))
+
+
+def _parts(text: Column, sizes: Column) -> Column:
+    """All different parts of a text whose lengths are in sizes."""
+    one = lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, k))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda k: (k > 0) & (k <= F.length(text))), one)))
+
+
 def corrected(values: DataFrame, lexicon: DataFrame, cutoff: float = 92) -> DataFrame:
     """values (field_name, value, ...) with learned: the reviewers' correction of an equal reading, else of a similar one.
 
-    Equal readings meet in an equi-join; only the rest is compared by similarity, with readings of the same field whose
-    length allows the cutoff (an exact filter).
+    Equal readings meet in an equi-join. Of the rest each distinct reading is compared once, with those readings of the lexicon of
+    which it holds a piece that no similar reading can lack (exact: no link goes), and whose length allows the cutoff.
     """
     from parcelry.functions.fuzzy import ratio, within_length
 
     lex = lexicon.select(F.col("field_name"), F.lower(F.trim("ocr_value")).alias("seen"), "corrected_value", "id")
     latest = lex.groupBy("field_name", "seen").agg(F.max_by("corrected_value", "id").alias("learned"), F.max("id").alias("id"))
-    v = values.withColumn("reading", F.lower(F.trim("value"))).withColumn("_row", F.monotonically_increasing_id())
+    v = values.withColumn("reading", F.lower(F.trim("value")))
     exact = v.join(latest.select("field_name", F.col("seen").alias("reading"), "learned"), ["field_name", "reading"], "left")
-    rest = exact.filter("learned is null").drop("learned").join(latest, "field_name").filter(within_length(F.col("reading"), F.col("seen"), cutoff))
-    near = rest.withColumn("s", ratio("reading", "seen")).filter(F.col("s") >= cutoff).groupBy("_row").agg(F.max_by("learned", F.struct("s", -F.col("id"))).alias("near"))
-    return exact.join(near, "_row", "left").withColumn("learned", F.coalesce("learned", "near")).drop("_row", "near", "reading")
+    open_ = exact.filter("learned is null and reading <> ''").select("field_name", "reading").distinct()
+    pieces = latest.filter("seen <> ''").select("field_name", "seen", "learned", "id", F.explode(F.array_distinct(_pieces(F.col("seen"), cutoff))).alias("piece"))
+    sizes = pieces.groupBy("field_name").agg(F.collect_set(F.length("piece")).alias("sizes"))  # a few numbers per field
+    parts = open_.join(sizes, "field_name").select("field_name", "reading", F.explode(_parts(F.col("reading"), F.col("sizes"))).alias("piece"))
+    met = parts.join(pieces, ["field_name", "piece"]).filter(within_length(F.col("reading"), F.col("seen"), cutoff))
+    pairs = met.select("field_name", "reading", "seen", "learned", "id").distinct()
+    near = pairs.withColumn("s", ratio("reading", "seen")).filter(F.col("s") >= cutoff).groupBy("field_name", "reading").agg(F.max_by("learned", F.struct("s", -F.col("id"))).alias("near"))
+    return exact.join(near, ["field_name", "reading"], "left").withColumn("learned", F.coalesce("learned", "near")).drop("near", "reading")
 
 
 def auto_accepted(failed_errors: Column, disagreements: Column, confidence: Column) -> Column:
     """auto_verified without failed errors and disagreements at 85 or more, else pending_review."""
     return F.when((failed_errors == 0) & (disagreements == 0) & (confidence >= AUTO_ACCEPT), "auto_verified").otherwise("pending_review")
-
-

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelry.operators.aggregates import histogram, mean_nonzero, percent, pivoted, progress, recent_values, reliability, zero_filled
@@ -53,9 +52,9 @@ def value_histogram(t: Tables) -> DataFrame:
 
 @plan("""
 SELECT lang, count(*) AS fields, count(*) FILTER (quality = 0) AS corrections, round((1 - count(*) FILTER (quality = 0) / count(*)) * 100, 1) AS accuracy
-FROM labels JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') GROUP BY lang""")
+FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
 def field_accuracy(t: Tables) -> DataFrame:
-    j = t.labels.join(t.documents.filter(F.col("lang").isin("en", "de")).select("doc_id", "lang"), "doc_id")
+    j = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
     per = j.groupBy("lang").agg(F.count("*").alias("fields"), F.count_if(F.col("quality") == 0).alias("corrections"))
     return per.withColumn("accuracy", F.round((1 - F.col("corrections") / F.col("fields")) * 100, 1))
 
@@ -113,15 +112,13 @@ def suggestions_recency(t: Tables) -> DataFrame:
 
 
 @plan("""
-SELECT o_orderkey, count(l_orderkey) AS parcels, round(coalesce(sum(l_quantity), 0), 2) AS area, CASE count(DISTINCT l_partkey) WHEN 0 THEN NULL WHEN 1 THEN CAST(min(l_partkey) AS VARCHAR) ELSE CAST(arg_min(l_partkey, l_linenumber) AS VARCHAR) || '-' || CAST(arg_max(l_partkey, l_linenumber) AS VARCHAR) END AS khasra,
+SELECT o_orderkey, count(l_orderkey) AS parcels, round(coalesce(sum(l_quantity), 0), 2) AS area, CASE count(DISTINCT l_partkey) WHEN 0 THEN NULL WHEN 1 THEN CAST(min(l_partkey) AS VARCHAR) ELSE CAST(arg_min(l_partkey, (l_linenumber, l_partkey)) AS VARCHAR) || '-' || CAST(arg_max(l_partkey, (l_linenumber, l_partkey)) AS VARCHAR) END AS khasra,
   CASE count(DISTINCT l_suppkey) WHEN 0 THEN NULL WHEN 1 THEN CAST(min(l_suppkey) AS VARCHAR) ELSE count(DISTINCT l_suppkey) || ' owners' END AS owner
-FROM orders LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1) l ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def village_derived_header(t: Tables) -> DataFrame:
     """What a record's header takes from its parcels: the only number or first-last, the only owner or how many, the sum."""
-    w = W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
-    parcels = t.lineitem.withColumn("p", F.row_number().over(w)).filter("p = 1")
-    j = t.orders.join(parcels, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey")
-    first, last = (f("l_partkey", "l_linenumber").cast("string") for f in (F.min_by, F.max_by))
+    j = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey")
+    first, last = (f("l_partkey", F.struct("l_linenumber", "l_partkey")).cast("string") for f in (F.min_by, F.max_by))
     numbers, owners = F.count_distinct("l_partkey"), F.count_distinct("l_suppkey")
     khasra = F.when(numbers == 1, F.min("l_partkey").cast("string")).when(numbers > 1, F.concat(first, F.lit("-"), last))
     owner = F.when(owners == 1, F.min("l_suppkey").cast("string")).when(owners > 1, F.concat(owners.cast("string"), F.lit(" owners")))
@@ -169,9 +166,18 @@ def mode_unit(t: Tables) -> DataFrame:
 
 
 @plan("""
-SELECT o_orderkey, max(CASE WHEN l_linenumber = 1 THEN flags END) AS line_1, max(CASE WHEN l_linenumber = 2 THEN flags END) AS line_2, max(CASE WHEN l_linenumber = 3 THEN flags END) AS line_3
+SELECT o_orderkey, max(CASE WHEN l_linenumber = 1 THEN flags END) AS line_1, max(CASE WHEN l_linenumber = 2 THEN flags END) AS line_2, max(CASE WHEN l_linenumber = 3 THEN flags END) AS line_3,
+  max(CASE WHEN l_linenumber = 4 THEN flags END) AS line_4, max(CASE WHEN l_linenumber = 5 THEN flags END) AS line_5, max(CASE WHEN l_linenumber = 6 THEN flags END) AS line_6, max(CASE WHEN l_linenumber = 7 THEN flags END) AS line_7
 FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, min(l_returnflag || '/' || l_linestatus) AS flags FROM lineitem GROUP BY 1, 2) GROUP BY o_orderkey""")
 def eav_pivot(t: Tables) -> DataFrame:
     """Name and value rows as one wide row per record; the names are given, so no pass collects them."""
     rows = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("line_"), F.col("l_linenumber").cast("string")).alias("name"), F.concat_ws("/", "l_returnflag", "l_linestatus").alias("value"))
-    return pivoted(rows, "o_orderkey", "name", "value", ["line_1", "line_2", "line_3"])
+    return pivoted(rows, "o_orderkey", "name", "value", [f"line_{i}" for i in range(1, 8)])
+
+
+@plan("SELECT n_name, count(*) AS records, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*))::DOUBLE AS coverage FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def village_coverage(t: Tables) -> DataFrame:
+    """The verified share of each place's records, in whole percent."""
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    per = j.groupBy("n_name").agg(F.count("*").alias("records"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    return per.select("n_name", "records", F.round(100 * F.col("done") / F.col("records")).alias("coverage"))

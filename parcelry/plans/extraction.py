@@ -14,21 +14,21 @@ from parcelry.sources.tables import Tables
 
 
 @plan("""
-WITH a AS (SELECT doc_id, lang, trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[^\\pL\\pN\\s]', '', 'g'), '\\s+', ' ', 'g')) AS v FROM documents)
-SELECT lang, CASE WHEN doc_id % 9 = 0 THEN 'only_primary' WHEN doc_id % 10 = 0 THEN 'disagree' ELSE 'agree' END AS state, count(*) AS n FROM a GROUP BY 1, 2""")
+WITH r AS (SELECT doc_id, lang, text AS p, CASE WHEN doc_id % 9 <> 0 THEN '  ' || replace(text, ' ', '  ') || CASE WHEN doc_id % 10 = 0 THEN ' misread' ELSE '!' END END AS s FROM documents),
+c AS (SELECT lang, trim(regexp_replace(regexp_replace(lower(p), '[^\\pL\\pN\\s]', '', 'g'), '\\s+', ' ', 'g')) AS p, trim(regexp_replace(regexp_replace(lower(s), '[^\\pL\\pN\\s]', '', 'g'), '\\s+', ' ', 'g')) AS s FROM r)
+SELECT lang, CASE WHEN s IS NULL THEN 'only_primary' WHEN p IS NULL THEN 'only_shadow' WHEN p = s THEN 'agree' ELSE 'disagree' END AS state, count(*) AS n FROM c GROUP BY 1, 2""")
 def shadow_compare(t: Tables) -> DataFrame:
     """A first reading against a re-cased one that misses some documents and misreads others."""
-    head = F.substring("text", 1, 200)
-    primary = t.documents.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("field_name"), head.alias("value"))
-    other = F.concat(F.lit("  "), F.replace(head, F.lit(" "), F.lit("  ")), F.when(F.col("doc_id") % 10 == 0, " misread").otherwise("!"))
+    primary = t.documents.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("field_name"), F.col("text").alias("value"))
+    other = F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("  ")), F.when(F.col("doc_id") % 10 == 0, " misread").otherwise("!"))
     shadow = t.documents.filter("doc_id % 9 <> 0").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("field_name"), other.alias("value"))
     return ex.agreement(primary, shadow).groupBy(F.col("field_name").alias("lang"), "state").agg(F.count("*").alias("n"))
 
 
-@plan("SELECT doc_id, CAST((SELECT count(*) FROM unnest(string_split_regex(trim(text), '[:;|]')) t(x) WHERE trim(x) <> '') AS INT) AS parts FROM documents WHERE lang = 'en'")
+@plan("SELECT doc_id, CAST((SELECT count(*) FROM unnest(string_split_regex(trim(text), '[:;|]')) t(x) WHERE trim(x) <> '') AS INT) AS parts FROM documents")
 def split_parts(t: Tables) -> DataFrame:
     parts = F.filter(F.split(F.trim("text"), "[:;|]"), lambda x: F.trim(x) != "")
-    return t.documents.filter("lang = 'en'").select("doc_id", F.size(parts).alias("parts"))
+    return t.documents.select("doc_id", F.size(parts).alias("parts"))
 
 
 @plan()
@@ -105,3 +105,33 @@ def header_columns(t: Tables) -> DataFrame:
     """Headings to the table columns that they name."""
     heading = F.get(F.array(*map(F.lit, ("Khasra No.", "Owner Name", "land type / class", "remark", "qqqq"))), (F.col("p_partkey") % 5).cast("int"))
     return t.part.select("p_partkey", ex.heading_column(heading).alias("column_name"))
+
+
+@plan("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'parcel_number' WHEN 1 THEN 'area' ELSE 'share' END AS k, CASE l_partkey % 4 WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN l_partkey || '.' || l_suppkey WHEN 2 THEN l_returnflag ELSE '' END AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v = '' THEN 0 WHEN k = 'parcel_number' THEN CASE WHEN regexp_full_match(v, '[0-9]{1,5}') THEN 100 ELSE 20 END
+  WHEN k = 'area' THEN CASE WHEN regexp_full_match(v, '[0-9]+[.][0-9]+') THEN 100 WHEN regexp_full_match(v, '[0-9]+') THEN 55 ELSE 20 END WHEN regexp_matches(v, '[0-9]') THEN 60 ELSE 10 END::DOUBLE AS score FROM c""")
+def numeric_score_q(t: Tables) -> DataFrame:
+    n, p = F.col("l_linenumber") % 3, F.col("l_partkey").cast("string")
+    column = F.when(n == 0, "parcel_number").when(n == 1, "area").otherwise("share")
+    kind = F.col("l_partkey") % 4
+    value = F.when(kind == 0, p).when(kind == 1, F.concat(p, F.lit("."), F.col("l_suppkey").cast("string"))).when(kind == 2, F.col("l_returnflag")).otherwise("")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", ex.numeric_score(column, value).alias("score"))
+
+
+@plan("SELECT o_custkey AS table_id, o_orderpriority AS name, o_orderkey AS place FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def claimed_columns(t: Tables) -> DataFrame:
+    found = t.orders.select(F.col("o_custkey").alias("table_id"), F.col("o_orderkey").alias("place"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("score"))
+    return ex.claimed_columns(found).select("table_id", "name", "place")
+
+
+@plan("""
+WITH s AS (SELECT user_id AS document_id, CASE event_id % 5 WHEN 0 THEN 'agree' WHEN 1 THEN 'disagree' WHEN 2 THEN 'only_shadow' WHEN 3 THEN 'agree' END AS state FROM events WHERE event_id % 7 <> 0)
+SELECT document_id, count(*) FILTER (state = 'agree') AS agree, count(*) FILTER (state = 'disagree') AS disagree, count(*) FILTER (state IS NULL) AS only_primary, count(*) FILTER (state = 'only_shadow') AS only_shadow, count(*) AS compared,
+  round(100.0 * count(*) FILTER (state = 'agree') / count(*), 1) AS verification_rate FROM s GROUP BY document_id""")
+def agreement_summary(t: Tables) -> DataFrame:
+    """Field states of events: every fifth has none, every seventh is metadata, which doesn't count."""
+    n = F.col("event_id") % 5
+    state = F.when(n.isin(0, 3), "agree").when(n == 1, "disagree").when(n == 2, "only_shadow")
+    rows = t.events.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("field_name"), F.when(F.col("event_id") % 7 == 0, "metadata").otherwise("rule").alias("source"), state.alias("state"))
+    return ex.agreement_summary(rows)

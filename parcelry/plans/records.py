@@ -50,13 +50,13 @@ _SNIPPET = "CASE WHEN strpos(lower({c}), 'the') > 0 THEN substr({c}, greatest(st
 @plan(f"""
 WITH u AS (SELECT 1 AS branch, 'record' AS kind, p_partkey AS id, p_name AS snippet FROM part WHERE p_name ILIKE '%the%' OR p_type ILIKE '%the%' OR p_brand ILIKE '%the%'
 UNION ALL SELECT 2, 'ocr', doc_id, {_SNIPPET.format(c="text")} FROM documents WHERE text ILIKE '%the%'
-UNION ALL SELECT 3, 'field', conv_id, {_SNIPPET.format(c="text")} FROM conversations WHERE text ILIKE '%the%' AND turn = 0)
+UNION ALL SELECT 3, 'field', conv_id, {_SNIPPET.format(c="text")} FROM conversations WHERE text ILIKE '%the%')
 SELECT kind, id, snippet FROM u QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY branch, snippet) = 1""")
 def search_union(t: Tables) -> DataFrame:
     """Hits of three branches, each row once per kind."""
     parts = t.part.filter(any_contains([F.col("p_name"), F.col("p_type"), F.col("p_brand")], "the")).select(F.lit(1).alias("branch"), F.lit("record").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("snippet"))
     docs = t.documents.filter(any_contains([F.col("text")], "the")).select(F.lit(2).alias("branch"), F.lit("ocr").alias("kind"), F.col("doc_id").alias("id"), snippet(F.col("text"), "the").alias("snippet"))
-    turns = t.conversations.filter((F.col("turn") == 0) & any_contains([F.col("text")], "the")).select(F.lit(3).alias("branch"), F.lit("field").alias("kind"), F.col("conv_id").alias("id"), snippet(F.col("text"), "the").alias("snippet"))
+    turns = t.conversations.filter(any_contains([F.col("text")], "the")).select(F.lit(3).alias("branch"), F.lit("field").alias("kind"), F.col("conv_id").alias("id"), snippet(F.col("text"), "the").alias("snippet"))
     hits = parts.unionByName(docs).unionByName(turns)
     return first_per_key(hits, ["kind", "id"], [F.col("branch"), F.col("snippet")]).select("kind", "id", "snippet")
 
@@ -182,10 +182,15 @@ def geojson_features(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", feature(F.lit(None).cast("struct<type:string,coordinates:array<double>>"), ["c_name", "c_mktsegment"]).alias("feature"))
 
 
-@plan("SELECT o_orderstatus, CAST(count(*) AS VARCHAR) AS total, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (o_orderkey <= 100) AS items FROM orders GROUP BY o_orderstatus")
+@plan("SELECT o_orderstatus, CAST(count(*) AS VARCHAR) AS total, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (place <= 50) AS items FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS place FROM orders) GROUP BY o_orderstatus")
 def json_page(t: Tables) -> DataFrame:
-    items = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("o_orderkey") <= 100, F.col("o_orderkey")))), lambda k: k.cast("string")), ",")
-    return t.orders.groupBy("o_orderstatus").agg(F.count("*").cast("string").alias("total"), F.nullif(items, F.lit("")).alias("items"))
+    """Of each status the count and the first page, 50 orders: only those are gathered."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderkey"))
+    pages = t.orders.select("o_orderstatus", "o_orderkey", place.alias("place")).filter("place <= 50").groupBy("o_orderstatus").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    totals = t.orders.groupBy("o_orderstatus").agg(F.count("*").cast("string").alias("total"))
+    return totals.join(pages, "o_orderstatus").select("o_orderstatus", "total", F.array_join(F.transform("k", lambda k: k.cast("string")), ",").alias("items"))
 
 
 @plan("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, json_extract_string(props, '$.absent') AS absent FROM events")

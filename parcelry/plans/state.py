@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelry.operators.extraction import auto_accepted, corrected
 from parcelry.operators.relational import changes, replace_children
+from parcelry.operators.verify import correction_log, decided, edited_parcels, parcel_log, verified_fields
 from parcelry.plans.registry import plan
 from parcelry.sources.tables import Tables
 
@@ -25,13 +26,79 @@ def verify_merge(t: Tables) -> DataFrame:
     return changes(o, edited.unionByName(new), "o_orderkey", ["o_orderpriority"])
 
 
-@plan("""
-WITH b AS (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1), a AS (SELECT l_orderkey, sum(CASE WHEN l_linenumber = 2 THEN l_quantity + 1 ELSE l_quantity END) AS q FROM lineitem GROUP BY 1)
-SELECT change, count(*) AS n FROM (SELECT CASE WHEN a.q IS DISTINCT FROM b.q THEN 'update' ELSE 'same' END AS change FROM a JOIN b USING (l_orderkey)) GROUP BY change""")
+_FIELDS = """WITH f AS (SELECT o_orderkey AS document_id, 'remarks' AS field_name, o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, 'record_year', CAST(year(o_orderdate) AS VARCHAR) FROM orders),
+c AS (SELECT o_orderkey AS document_id, 'remarks' AS field_name, 1 AS place, ' EDITED ' AS v FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 'remarks', 2, 'EDITED twice' FROM orders WHERE o_orderkey % 20 = 0
+  UNION ALL SELECT o_orderkey, 'record_year', 1, CAST(year(o_orderdate) AS VARCHAR) FROM orders WHERE o_orderkey % 10 = 1 UNION ALL SELECT o_orderkey, 'crop', 1, 'wheat' FROM orders WHERE o_orderkey % 50 = 3)"""
+
+
+def _fields(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Two fields of each order as readings; corrections of some, twice of a few, and of fields not read."""
+    o, year = t.orders, F.year("o_orderdate").cast("string")
+    kinds = F.inline(F.array(F.struct(F.lit("remarks").alias("field_name"), F.col("o_orderpriority").alias("value")), F.struct(F.lit("record_year").alias("field_name"), year.alias("value"))))
+    fields = o.select(F.col("o_orderkey").alias("document_id"), kinds).withColumn("normalized_value", F.col("value")).withColumn("confidence", F.lit(70.0)).withColumn("source", F.lit("rule"))
+
+    def made(when: str, name: str, place: int, value) -> DataFrame:
+        return o.filter(when).select(F.col("o_orderkey").alias("document_id"), F.lit(name).alias("field_name"), F.lit(place).alias("place"), value.alias("corrected_value"))
+
+    fixes = made("o_orderkey % 10 = 0", "remarks", 1, F.lit(" EDITED ")).unionByName(made("o_orderkey % 20 = 0", "remarks", 2, F.lit("EDITED twice")))
+    return fields, fixes.unionByName(made("o_orderkey % 10 = 1", "record_year", 1, year)).unionByName(made("o_orderkey % 50 = 3", "crop", 1, F.lit("wheat")))
+
+
+@plan(f"""{_FIELDS}, l AS (SELECT document_id, field_name, arg_max(v, place) AS v FROM c GROUP BY 1, 2)
+SELECT document_id, field_name, f.value, l.v AS corrected_value, CASE WHEN l.v IS NULL THEN f.value ELSE trim(l.v) END AS normalized_value, CASE WHEN l.v IS NULL THEN 70.0 ELSE 100.0 END::DOUBLE AS confidence, CASE WHEN l.v IS NULL THEN 'rule' ELSE 'human' END AS source
+FROM f FULL JOIN l USING (document_id, field_name)""")
+def verify_fields(t: Tables) -> DataFrame:
+    return verified_fields(*_fields(t))
+
+
+@plan(f"""{_FIELDS}, s AS (SELECT document_id, field_name, place, f.value AS ocr_value, CASE WHEN row_number() OVER w = 1 THEN f.value ELSE lag(trim(v)) OVER w END AS old, v AS corrected_value
+  FROM c LEFT JOIN f USING (document_id, field_name) WINDOW w AS (PARTITION BY document_id, field_name ORDER BY place))
+SELECT * FROM s WHERE coalesce(old, '') <> corrected_value""")
+def verify_log(t: Tables) -> DataFrame:
+    return correction_log(*_fields(t))
+
+
+@plan("SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 2, 3, 4) THEN CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'rejected' END END AS status FROM orders")
+def verify_decision(t: Tables) -> DataFrame:
+    states = F.array(*map(F.lit, ("uploaded", "extracted", "pending_review", "auto_verified", "verified", "failed")))
+    before = F.get(states, (F.col("o_orderkey") % 6).cast("int"))
+    return t.orders.select("o_orderkey", decided(before, F.when(F.col("o_orderstatus") == "F", "approve").otherwise("reject")).alias("status"))
+
+
+_PARCELS = """WITH p AS (SELECT o_custkey AS document_id, o_orderkey AS parcel_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_index, o_orderpriority AS parcel_number, o_orderstatus AS owner_name,
+  CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 7 || ' ha' WHEN 1 THEN o_orderkey % 7 || ' acre' END AS area_text, CASE o_orderkey % 3 WHEN 0 THEN 'ha' WHEN 1 THEN 'acre' END AS area_unit FROM orders),
+e AS (SELECT document_id, parcel_id, row_index AS place, CASE WHEN parcel_id % 4 = 1 THEN 'EDITED' ELSE parcel_number END AS parcel_number, owner_name, CASE WHEN parcel_id % 6 = 0 THEN CAST(parcel_id % 9 AS VARCHAR) ELSE area_text END AS area_text FROM p WHERE document_id % 5 = 0 AND parcel_id % 7 <> 3
+  UNION ALL SELECT DISTINCT document_id, NULL, 1000000, 'NEW', NULL, '3' FROM p WHERE document_id % 5 = 0)"""
+
+
+def _parcels(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders as the parcels of their customers; every fifth customer's are edited: cells, bare areas, a row more, rows less."""
+    from pyspark.sql import Window as W
+
+    k, unit = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, "ha").when(F.col("o_orderkey") % 3 == 1, "acre")
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    p = t.orders.select(F.col("o_custkey").alias("document_id"), k.alias("parcel_id"), place.alias("row_index"), F.lit("table").alias("source"), unit.alias("area_unit"), F.concat((k % 7).cast("string"), F.lit(" "), unit).alias("area_text"), F.col("o_orderpriority").alias("parcel_number"), F.col("o_orderstatus").alias("owner_name"))
+    some, i = p.filter("document_id % 5 = 0"), F.col("parcel_id")
+    e = some.filter("parcel_id % 7 <> 3").select("document_id", "parcel_id", F.col("row_index").alias("place"), F.when(i % 4 == 1, "EDITED").otherwise(F.col("parcel_number")).alias("parcel_number"), "owner_name", F.when(i % 6 == 0, (i % 9).cast("string")).otherwise(F.col("area_text")).alias("area_text"))
+    more = some.select("document_id").distinct().select("document_id", F.lit(None).cast("long").alias("parcel_id"), F.lit(1000000).alias("place"), F.lit("NEW").alias("parcel_number"), F.lit(None).cast("string").alias("owner_name"), F.lit("3").alias("area_text"))
+    return p, e.unionByName(more)
+
+
+@plan(f"""{_PARCELS}, u AS (SELECT document_id, area_unit AS unit FROM p WHERE area_unit IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, area_unit) = 1),
+a AS (SELECT e.document_id, e.parcel_id, place AS row_index, e.parcel_number, e.area_text,
+  CASE WHEN max(CASE WHEN p.parcel_id IS NULL OR e.parcel_number IS DISTINCT FROM p.parcel_number OR e.area_text IS DISTINCT FROM p.area_text THEN 1 ELSE 0 END) OVER (PARTITION BY e.document_id ORDER BY place) = 1 THEN 'human' ELSE 'table' END AS source
+  FROM e LEFT JOIN p ON e.document_id = p.document_id AND e.parcel_id = p.parcel_id UNION ALL SELECT document_id, parcel_id, row_index, parcel_number, area_text, 'table' FROM p WHERE document_id % 5 <> 0),
+n AS (SELECT a.*, CAST(split_part(area_text, ' ', 1) AS DOUBLE) AS area_value, CASE WHEN area_text IS NOT NULL THEN coalesce(nullif(split_part(area_text, ' ', 2), ''), unit) END AS area_unit FROM a LEFT JOIN u USING (document_id))
+SELECT document_id, parcel_id, row_index, parcel_number, area_text, source, area_value, area_unit, round(area_value * CASE area_unit WHEN 'ha' THEN 10000 WHEN 'acre' THEN 4046.86 END, 2)::DOUBLE AS area_sqm FROM n""")
 def parcel_edit_merge(t: Tables) -> DataFrame:
-    before = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
-    after = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_linenumber") == 2, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).alias("q"))
-    return changes(before, after, "l_orderkey", ["q"]).groupBy("change").agg(F.count("*").alias("n"))
+    return edited_parcels(*_parcels(t)).select("document_id", "parcel_id", "row_index", "parcel_number", "area_text", "source", "area_value", "area_unit", "area_sqm")
+
+
+@plan(f"""{_PARCELS}, j AS (SELECT e.document_id, place + 1 AS parcel_row, p.parcel_number AS n0, e.parcel_number AS n1, p.area_text AS a0, e.area_text AS a1 FROM e LEFT JOIN p ON e.document_id = p.document_id AND e.parcel_id = p.parcel_id)
+SELECT document_id, parcel_row, 'parcel_number' AS field, n0 AS old, n1 AS new FROM j WHERE n0 IS DISTINCT FROM n1 UNION ALL SELECT document_id, parcel_row, 'area', a0, a1 FROM j WHERE a0 IS DISTINCT FROM a1
+UNION ALL SELECT document_id, row_index + 1, 'row', parcel_number, NULL FROM p WHERE document_id % 5 = 0 AND parcel_id % 7 = 3""")
+def parcel_edit_log(t: Tables) -> DataFrame:
+    return parcel_log(*_parcels(t))
 
 
 @plan("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey % 20 <> 3 UNION ALL SELECT DISTINCT l_orderkey, 99, 'Z' FROM lineitem WHERE l_orderkey % 20 = 3")
@@ -111,6 +178,7 @@ def append_external(t: Tables) -> DataFrame:
 @plan()
 def learned_corrections(t: Tables) -> DataFrame:
     """Reviewers' corrections applied to later readings, equal ones first, then similar ones."""
-    c = t.customer.filter("c_custkey <= 40").select(F.lit("owner_name").alias("field_name"), F.col("c_name").alias("ocr_value"), F.concat(F.lit("Corrected "), F.col("c_custkey").cast("string")).alias("corrected_value"), F.col("c_custkey").alias("id"))
-    v = t.customer.select(F.lit("owner_name").alias("field_name"), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.concat(F.col("c_name"), F.lit("x"))).alias("value"))
+    seen, k = F.md5(F.col("c_custkey").cast("string").cast("binary")), F.col("c_custkey")
+    c = t.customer.select(F.lit("owner_name").alias("field_name"), seen.alias("ocr_value"), F.concat(F.lit("Corrected "), k.cast("string")).alias("corrected_value"), k.alias("id"))
+    v = t.customer.select(F.lit("owner_name").alias("field_name"), F.when(k % 2 == 0, F.upper(seen)).otherwise(F.concat(F.substring(seen, 2, 40), F.lit("x"))).alias("value"))
     return corrected(v, c)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from parcelry.operators import extraction as ex
-from parcelry.operators import rules
+from parcelry.operators import rules, verify
 from parcelry.operators import sequences as seq
 from parcelry.operators.aggregates import recent_values
 from parcelry.operators.relational import changes, page, scoped
@@ -142,3 +142,57 @@ def test_streams(spark, tmp_path):
     q = daily_counts(spark, str(tmp_path / "ev"), "ts timestamp_ntz").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((str(r.day), r.n) for r in spark.table("days").collect()) == [("2024-01-01", 2), ("2024-01-03", 1)]
+
+
+def test_corrections_lose_no_similar_reading(spark):
+    """Against every pair, over short and long readings with edits at all places."""
+    import random
+
+    from parcelry.functions.fuzzy import ratio_of
+
+    rng = random.Random(3)
+    seen = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 40))).strip() for _ in range(60)} - {""})
+    read = []
+    for s in seen:
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(s))
+            s = rng.choice((s[:i] + s[i + 1 :], s[:i] + "z" + s[i:], s[:i] + "z" + s[i + 1 :]))
+            if not s:
+                break
+        read.append(s)
+    lex = spark.createDataFrame([("f", s, f"c{i}", i) for i, s in enumerate(seen)], "field_name string, ocr_value string, corrected_value string, id int")
+    got = {r.value: r.learned for r in ex.corrected(spark.createDataFrame([("f", r) for r in sorted(set(read))], "field_name string, value string"), lex).collect()}
+    for r in set(read):
+        key = r.strip().lower()
+        best = max(((ratio_of(key, s), -i) for i, s in enumerate(seen)), default=(0, 0))
+        assert got[r] == (f"c{seen.index(key)}" if key in seen else f"c{-best[1]}" if key and best[0] >= 92 else None), r
+
+
+def test_verified_fields_and_log(spark):
+    fields = spark.createDataFrame([(1, "owner_name", "ram lal", "Ram Lal", 60.0, "rule"), (1, "remarks", "x", "x", 60.0, "rule")], "document_id int, field_name string, value string, normalized_value string, confidence double, source string")
+    fixes = spark.createDataFrame([(1, "owner_name", 1, "Ram Lal"), (1, "owner_name", 2, "SHYAM"), (1, "crop", 3, "wheat"), (1, "village", 4, "")], "document_id int, field_name string, place int, corrected_value string")
+    got = {r.field_name: r for r in verify.verified_fields(fields, fixes).collect()}
+    assert got["owner_name"].normalized_value == "Shyam" and got["owner_name"].value == "ram lal" and got["owner_name"].source == "human" and got["owner_name"].confidence == 100
+    assert got["remarks"].source == "rule" and got["crop"].value is None and got["crop"].normalized_value == "wheat"
+    assert {(r.field_name, r.old, r.corrected_value) for r in verify.correction_log(fields, fixes).collect()} == {("owner_name", "Ram Lal", "SHYAM"), ("crop", None, "wheat")}
+    status = spark.createDataFrame([("pending_review", "approve"), ("verified", "reject"), ("uploaded", "approve")], "s string, d string")
+    assert [r.v for r in status.select(verify.decided(F.col("s"), F.col("d")).alias("v")).collect()] == ["verified", "rejected", None]
+
+
+def test_parcel_edits(spark):
+    parcels = spark.createDataFrame([(1, "a", 0, "table", "acre", "2 acre", "10"), (1, "b", 1, "table", "acre", "3 acre", "11"), (1, "c", 2, "table", None, None, "12"), (2, "d", 0, "table", None, "5", "13")], "document_id int, parcel_id string, row_index int, source string, area_unit string, area_text string, parcel_number string")
+    edits = spark.createDataFrame([(1, "a", 0, "2 acre", "10"), (1, "b", 1, "4", "11"), (1, None, 2, "1", "99")], "document_id int, parcel_id string, place int, area_text string, parcel_number string")
+    got = {(r.document_id, r.parcel_id): r for r in verify.edited_parcels(parcels, edits).collect()}
+    assert set(got) == {(1, "a"), (1, "b"), (1, None), (2, "d")}
+    assert got[1, "a"].source == "table" and got[1, "b"].source == "human" and got[1, "b"].area_unit == "acre" and got[1, "b"].area_sqm == 16187.44
+    assert got[1, None].row_index == 2 and got[2, "d"].area_sqm is None
+    assert {tuple(r) for r in verify.parcel_log(parcels, edits).collect()} == {(1, 2, "area", "3 acre", "4"), (1, 3, "parcel_number", None, "99"), (1, 3, "area", None, "1"), (1, 3, "row", "12", None)}
+
+
+def test_table_helpers(spark):
+    texts = spark.createDataFrame([(1, "१०४ बीघा १०५ बीघा"), (2, "१०४ बीघा"), (3, None)], "document_id int, text string")
+    assert {(r.document_id, r.row_index, r.parcel_number, r.confidence) for r in ex.synthesised_parcels(texts).collect()} == {(1, 0, "104", 65.0), (1, 1, "105", 65.0)}
+    readings = spark.createDataFrame([("khasra_number", "abc"), ("khasra_number", "१२"), ("record_year", None), ("owner_name", "abc")], "field_name string, value string")
+    assert {(r.field_name, r.value) for r in ex.with_digits(readings).collect()} == {("khasra_number", "१२"), ("owner_name", "abc")}
+    scores = spark.createDataFrame([("parcel_number", "12/3"), ("area", "2.5"), ("area", "25"), ("share", "x"), ("share", None)], "c string, v string")
+    assert [r.s for r in scores.select(ex.numeric_score(F.col("c"), F.col("v")).alias("s")).collect()] == [100.0, 100.0, 55.0, 10.0, 0.0]
