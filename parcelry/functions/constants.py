@@ -141,6 +141,16 @@ COLUMNS = {
     "map": ("खसरा मानचित्र", "मानचित्र", "नक्शा", "नक़्शा", "map", "sketch", "नकाशा", "आकृति"),
 }
 
+# Words after which no name goes on, roles that follow a name, words between a person and their father, units before a name.
+NAME_STOPS = (
+    "आत्मज", "आत्मज़", "वलद", "पुत्र", "पिता", "मालिक", "स्वामी", "काश्तकार", "कब्जेदार", "कब्ज़ेदार",
+    "भूमि", "भूस्वामी", "कृषक", "खातेदार", "फ़सल", "फसल", "खसरा", "खाता", "क्षेत्रफल",
+)
+OWNER_ROLES = ("मालिक", "स्वामी", "malik", "swami")
+CULTIVATOR_ROLES = ("काश्तकार", "कब्जेदार", "कब्ज़ेदार", "kashtkar", "kabjedar")
+FATHER_MARKS = ("आत्मज", "आत्मज़", "वलद", "पुत्र", r"पिता\s*पुत्र")
+LEADING_UNITS = ("बीघा", "बिस्वा", "बिंस्वा", "बिंस्वे", "हेक्टेयर", "हे", "एकड़", "एकड", "गुंठा", "ha", "hectare", "acre")
+
 # State names in title bars, and how they are written in records.
 STATE_MENTIONS = (
     ("HARYANA", "Haryana"), ("हरियाणा", "हरियाणा"), ("UTTAR PRADESH", "Uttar Pradesh"), ("उत्तर प्रदेश", "उत्तर प्रदेश"),

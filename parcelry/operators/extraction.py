@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelry.functions.constants import AUTO_ACCEPT, COLUMNS, DIGIT_ONLY, EMBEDDED_LABELS, LABELS, LAND_CLASSES, OWNERSHIP_TYPES, STATE_MENTIONS, TITLE_NOISE, VOCABULARIES
+from parcelry.functions.constants import (
+    AUTO_ACCEPT, COLUMNS, CULTIVATOR_ROLES, DIGIT_ONLY, EMBEDDED_LABELS, FATHER_MARKS, LABELS, LAND_CLASSES, LEADING_UNITS, NAME_STOPS, OWNER_ROLES,
+    OWNERSHIP_TYPES, STATE_MENTIONS, TITLE_NOISE, VOCABULARIES,
+)
 from parcelry.functions.fuzzy import best_match, ratio_of
-from parcelry.functions.text import ascii_digits, blank_to_null, comparable, first_term, has_shape, is_gibberish
+from parcelry.functions.text import ascii_digits, blank_to_null, collapse, comparable, first_term, has_shape, is_gibberish, looks_like_person
 from parcelry.operators.sequences import argmax_per_key
 
 SEPARATOR = r"\s*[:;|：ः]\s*|\s+[-–—=]+\s*|\s{3,}"
@@ -167,16 +170,52 @@ def khasra_numbers(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda n: ~n.cast("int").between(1800, 2100)))
 
 
+#: A word's edge, where vowel signs count as no part of a word.
+_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
+
+def _name(more: int) -> str:
+    """A name of one Devanagari word and up to so many more, none of which ends names."""
+    return rf"[ऀ-ॿ]+(?:\s+(?!(?:{'|'.join(NAME_STOPS)}){_EDGE})[ऀ-ॿ]+){{0,{more}}}"
+
+
+def _tidy(name: Column) -> Column:
+    return F.btrim(collapse(name), F.lit(" ,।-–—"))
+
+
+def _is_name(name: Column) -> Column:
+    return (F.length(name) >= 3) & F.coalesce(looks_like_person(name), F.lit(False))
+
+
+def role_name(text: Column, roles: tuple[str, ...]) -> Column:
+    """The first name of up to four words before a dash or colon and one of the roles, or null."""
+    pattern = rf"(?iu)({_name(3)})\s*[-–—:]\s*(?:{'|'.join(roles)}){_EDGE}"
+    return F.get(F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), _tidy), _is_name), F.lit(0))
+
+
+def person_and_father(text: Column) -> Column:
+    """struct(owner, father) of the first pair of names with a word for "son of" between them, or null; figures and units before the first go."""
+    pattern = F.lit(rf"({_name(3)})\s+(?:{'|'.join(FATHER_MARKS)})\s+({_name(1)})")
+    unit = rf"^(?:(?:{'|'.join(LEADING_UNITS)})(?:\s+|$))+"
+    owner = lambda x: F.trim(F.regexp_replace(F.trim(F.element_at(F.split(_tidy(x), "[०-९0-9]+"), -1)), unit, ""))
+    father = lambda x: F.trim(F.split(_tidy(x), "[|/,;।]")[0])
+    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda a, b: F.struct(owner(a).alias("owner"), father(b).alias("father")))
+    return F.get(F.filter(pairs, lambda p: _is_name(p["owner"]) & _is_name(p["father"])), F.lit(0))
+
+
 def structural_fields(texts: DataFrame) -> DataFrame:
-    """Fields that stand in patterns rather than after labels, from (document_id, text): area, khasra list, state."""
+    """Fields that stand in patterns rather than after labels, from (document_id, text): names by role or relation, area, khasra list, state."""
     text = F.col("text")
+    owner, both = role_name(text, OWNER_ROLES), person_and_father(text)
     bigha, biswa = (F.regexp_extract(text, r"([0-9०-९]+)\s*बीघा\s*([0-9०-९]+)?\s*(?:बिस्वा|बिस्वे)?", i) for i in (1, 2))
     area = F.when(bigha != "", F.concat_ws(" ", bigha, F.lit("बीघा"), F.when(biswa != "", F.concat(biswa, F.lit(" बिस्वा")))))
     numbers = khasra_numbers(text)
     khasra = F.when(F.size(numbers) == 1, numbers[0]).when(F.size(numbers) > 1, F.concat(numbers[0], F.lit("-"), F.element_at(numbers, -1)))
     state = F.coalesce(*[F.when(F.contains(F.upper(text), F.lit(word)) | F.contains(text, F.lit(word)), F.lit(name)) for word, name in STATE_MENTIONS])
-    kinds = (("plot_area", area, 72.0, "pattern-area"), ("khasra_number", khasra, 74.0, "pattern-rowlist"), ("state", state, 90.0, "pattern-title"))
-    found = F.array(*[F.struct(F.lit(n).alias("field_name"), v.alias("value"), F.lit(c).alias("confidence"), F.lit(s).alias("source")) for n, v, c, s in kinds])
+    role = owner.isNotNull()
+    kinds = (("owner_name", F.coalesce(owner, both["owner"]), F.when(role, 78.0).otherwise(82.0), F.when(role, "pattern-role").otherwise("pattern-relation")), ("possessor_name", role_name(text, CULTIVATOR_ROLES), 76.0, "pattern-role"), ("father_or_husband_name", both["father"], 78.0, "pattern-relation"))
+    kinds += (("plot_area", area, 72.0, "pattern-area"), ("khasra_number", khasra, 74.0, "pattern-rowlist"), ("state", state, 90.0, "pattern-title"))
+    found = F.array(*[F.struct(F.lit(n).alias("field_name"), v.alias("value"), (c if isinstance(c, Column) else F.lit(c)).alias("confidence"), (s if isinstance(s, Column) else F.lit(s)).alias("source")) for n, v, c, s in kinds])
     return texts.select("document_id", F.explode(found).alias("f")).filter("f.value is not null").select("document_id", F.lit(None).cast("int").alias("line_no"), "f.*")
 
 

@@ -196,3 +196,11 @@ def test_table_helpers(spark):
     assert {(r.field_name, r.value) for r in ex.with_digits(readings).collect()} == {("khasra_number", "१२"), ("owner_name", "abc")}
     scores = spark.createDataFrame([("parcel_number", "12/3"), ("area", "2.5"), ("area", "25"), ("share", "x"), ("share", None)], "c string, v string")
     assert [r.s for r in scores.select(ex.numeric_score(F.col("c"), F.col("v")).alias("s")).collect()] == [100.0, 100.0, 55.0, 10.0, 0.0]
+
+
+def test_names_by_role_and_relation(spark):
+    rows = [(1, "राम लाल - मालिक. श्याम लाल : काश्तकार"), (2, "१०४ ५ बिस्वा राम लाल आत्मज हरि सिंह मोहन"), (3, "plain"), (4, None), (5, "राम आत्मज गेहूं")]
+    got = {(r.document_id, r.field_name): (r.value, r.confidence, r.source) for r in ex.structural_fields(spark.createDataFrame(rows, "document_id int, text string")).collect()}
+    assert got[1, "owner_name"] == ("राम लाल", 78.0, "pattern-role") and got[1, "possessor_name"] == ("श्याम लाल", 76.0, "pattern-role")
+    assert got[2, "owner_name"] == ("राम लाल", 82.0, "pattern-relation") and got[2, "father_or_husband_name"] == ("हरि सिंह", 78.0, "pattern-relation")
+    assert not any(k[0] in (3, 4, 5) for k in got)
