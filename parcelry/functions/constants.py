@@ -68,6 +68,10 @@ DIGIT_ONLY = (
     "total_area", "irrigated_area", "unirrigated_area", "plot_area",
 )
 
+# The columns one of which a parcel table must have, the share of ink below which a cell is blank, and what a digit reading must gain.
+IDENTIFYING = ("parcel_number", "owner_name")
+BLANK_INK, REREAD_GAIN, REREAD_TOP = 0.015, 5.0, 99.0
+
 # Closed vocabularies of two table columns.
 VOCABULARIES = {
     "land_classification": (

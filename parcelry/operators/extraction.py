@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelry.functions.constants import (
-    AUTO_ACCEPT, COLUMNS, CULTIVATOR_ROLES, DIGIT_ONLY, EMBEDDED_LABELS, FATHER_MARKS, LABELS, LAND_CLASSES, LEADING_UNITS, NAME_STOPS, OWNER_ROLES,
-    OWNERSHIP_TYPES, STATE_MENTIONS, TITLE_NOISE, VOCABULARIES,
+    AUTO_ACCEPT, BLANK_INK, COLUMNS, CULTIVATOR_ROLES, DIGIT_ONLY, EMBEDDED_LABELS, FATHER_MARKS, IDENTIFYING, LABELS, LAND_CLASSES, LEADING_UNITS, NAME_STOPS,
+    OWNER_ROLES, OWNERSHIP_TYPES, REREAD_GAIN, REREAD_TOP, SHAPES, STATE_MENTIONS, TITLE_NOISE, VOCABULARIES,
 )
 from parcelry.functions.fuzzy import best_match, ratio_of
 from parcelry.functions.text import ascii_digits, blank_to_null, collapse, comparable, first_term, has_shape, is_gibberish, looks_like_person
@@ -279,6 +279,31 @@ def with_digits(readings: DataFrame) -> DataFrame:
     return readings.filter(~F.col("field_name").isin(*DIGIT_ONLY) | F.coalesce(F.col("value").rlike(r"\p{Nd}"), F.lit(False)))
 
 
+def identifies_parcels(columns: Column) -> Column:
+    """Whether an array of column names holds one that tells parcels or owners; null counts as no columns."""
+    return F.coalesce(F.arrays_overlap(columns, F.array(*map(F.lit, IDENTIFYING))), F.lit(False))
+
+
+def blank_cell(ink: Column) -> Column:
+    """Whether a table cell is blank, by its share of ink; a cell without an inside (null) is."""
+    return F.coalesce(ink < BLANK_INK, F.lit(True))
+
+
+def reread(field: Column, value: Column, confidence: Column, source: Column, again: Column, again_confidence: Column) -> Column:
+    """value, confidence and source of a reading after a second one of its digits alone.
+
+    The second one counts only in fields of digits and if it holds a digit itself. It is taken if clearly more confident,
+    or if it has the field's shape and the first one hasn't.
+    """
+    shaped = lambda v: ~field.isin(*SHAPES) | F.coalesce(has_shape(field, v), F.lit(False))
+    new = trimmed(again)
+    rescues = shaped(new) & ~shaped(value)
+    taken = field.isin(*DIGIT_ONLY) & new.rlike(r"\p{Nd}") & ((again_confidence >= confidence + REREAD_GAIN) | rescues)
+    sure = F.round(F.least(F.lit(REREAD_TOP), F.when(shaped(new), F.greatest(again_confidence, confidence)).otherwise(again_confidence)), 1)
+    kept = F.struct(value.alias("value"), confidence.alias("confidence"), source.alias("source"))
+    return F.when(taken, F.struct(new.alias("value"), sure.alias("confidence"), F.lit("rule+digits").alias("source"))).otherwise(kept)
+
+
 def agreement_summary(states: DataFrame) -> DataFrame:
     """Per document the counts of states (document_id, field_name, source, state) and the share that agrees, in percent; metadata doesn't count."""
     count = lambda s: F.count_if(F.coalesce("state", F.lit("only_primary")) == s).alias(s)

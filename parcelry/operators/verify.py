@@ -7,12 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelry.functions.area import parse_area
+from parcelry.functions.constants import STATUSES
 from parcelry.functions.text import blank_to_null, normalize_field, python_float
+from parcelry.operators.extraction import auto_accepted
 
 # The cells of a parcel that a verifier may edit (beside its area), and the states a decision may start from.
 EDITABLE = ("parcel_number", "land_classification", "crop", "owner_name", "possessor_name", "father_name", "share", "remarks")
 DECIDABLE = ("pending_review", "auto_verified", "extracted", "verified")
 
+#: Which states may follow which: processing starts from any, a decision from the decidable ones.
+TRANSITIONS = (
+    *((s, "processing") for s in STATUSES), ("processing", "extracted"), ("processing", "failed"), ("extracted", "auto_verified"), ("extracted", "pending_review"),
+    ("extracted", "failed"), *((s, d) for s in DECIDABLE for d in ("verified", "rejected")),
+)
+
 
 def verified_fields(fields: DataFrame, corrections: DataFrame) -> DataFrame:
     """fields (document_id, field_name, value, normalized_value, confidence, source) after corrections (document_id, field_name, place, corrected_value).
@@ -92,3 +100,23 @@ def parcel_log(parcels: DataFrame, edits: DataFrame) -> DataFrame:
 def decided(status: Column, decision: Column) -> Column:
     """The status after a verifier's decision: verified by approve, rejected by anything else; null where the status allows none."""
     return F.when(status.isin(*DECIDABLE), F.when(decision == "approve", "verified").otherwise("rejected"))
+
+
+def moved(status: Column, wanted: Column) -> Column:
+    """The wanted status where it may follow the present one, else null."""
+    pair = F.concat_ws(">", status, wanted)
+    return F.when(status.isNotNull() & wanted.isNotNull() & pair.isin(*(f"{a}>{b}" for a, b in TRANSITIONS)), wanted)
+
+
+def reprocessed(documents: DataFrame, reruns: DataFrame) -> DataFrame:
+    """documents (document_id, status, is_verified) after some of them were processed again.
+
+    reruns (document_id, crashed, failed_errors, disagreements, confidence) has one row per document; a null confidence means that nothing
+    was read. Verification is set by automatic acceptance and otherwise stays as it was, also where the document goes back to review: it
+    remains in exports until a verifier rejects it.
+    """
+    r = reruns.select("document_id", F.lit(True).alias("again"), "crashed", "failed_errors", "disagreements", "confidence")
+    after = F.when(F.coalesce("crashed", F.lit(False)), "failed").otherwise(auto_accepted(F.col("failed_errors"), F.col("disagreements"), F.col("confidence")))
+    j = documents.join(r, "document_id", "left").withColumn("status", F.when(F.col("again"), after).otherwise(F.col("status")))
+    verified = F.col("is_verified") | (F.coalesce("again", F.lit(False)) & (F.col("status") == "auto_verified"))
+    return j.withColumn("is_verified", verified).drop("again", "crashed", "failed_errors", "disagreements", "confidence")

@@ -135,3 +135,38 @@ def agreement_summary(t: Tables) -> DataFrame:
     state = F.when(n.isin(0, 3), "agree").when(n == 1, "disagree").when(n == 2, "only_shadow")
     rows = t.events.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("field_name"), F.when(F.col("event_id") % 7 == 0, "metadata").otherwise("rule").alias("source"), state.alias("state"))
     return ex.agreement_summary(rows)
+
+
+_NAMES = ("parcel_number", "owner_name", "area", "crop", "share", "remarks", "khata_number", "possessor_name")
+
+
+@plan("SELECT l_orderkey, bool_or(l_partkey % 8 IN (0, 1)) AS identified FROM lineitem GROUP BY l_orderkey")
+def table_identifies(t: Tables) -> DataFrame:
+    """Whether a table's columns tell parcels or owners (each line stands for a column)."""
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("l_partkey") % 8).cast("int"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.collect_set(name).alias("columns")).select("l_orderkey", ex.identifies_parcels(F.col("columns")).alias("identified"))
+
+
+@plan("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = 50 THEN true ELSE l_quantity::DOUBLE / 2000 < 0.015 END AS blank FROM lineitem")
+def blank_cells(t: Tables) -> DataFrame:
+    """Cells by their share of ink; some have no inside."""
+    ink = F.when(F.col("l_quantity") != 50, F.col("l_quantity").cast("double") / 2000)
+    return t.lineitem.select("l_orderkey", "l_linenumber", ex.blank_cell(ink).alias("blank"))
+
+
+@plan("""
+WITH r AS (SELECT o_orderkey AS k, ['record_year', 'khata_number', 'owner_name'][o_orderkey % 3 + 1] AS field_name, CASE o_custkey % 3 WHEN 0 THEN CAST(year(o_orderdate) AS VARCHAR) WHEN 1 THEN 'l' || o_custkey ELSE NULL END AS value, (60 + o_custkey % 40)::DOUBLE AS conf,
+  CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '--' WHEN 2 THEN o_custkey || '.' ELSE ' ' || year(o_orderdate) || '. ' END AS again, (55 + o_orderkey % 50)::DOUBLE AS conf2 FROM orders),
+n AS (SELECT *, trim(again, ' ./-') AS new FROM r),
+s AS (SELECT *, CASE field_name WHEN 'record_year' THEN regexp_full_match(new, '(19|20)[0-9]{2}') WHEN 'khata_number' THEN regexp_full_match(new, '[0-9]{1,6}') ELSE true END AS ok2,
+  coalesce(CASE field_name WHEN 'record_year' THEN regexp_full_match(value, '(19|20)[0-9]{2}') WHEN 'khata_number' THEN regexp_full_match(value, '[0-9]{1,6}') ELSE true END, false) AS ok FROM n),
+d AS (SELECT *, field_name <> 'owner_name' AND regexp_matches(new, '[0-9]') AND (conf2 >= conf + 5 OR (ok2 AND NOT ok)) AS taken FROM s)
+SELECT k AS o_orderkey, field_name, CASE WHEN taken THEN new ELSE value END AS value, CASE WHEN taken THEN least(99.0, CASE WHEN ok2 THEN greatest(conf, conf2) ELSE conf2 END) ELSE conf END::DOUBLE AS confidence, CASE WHEN taken THEN 'rule+digits' ELSE 'rule' END AS source FROM d""")
+def digit_rereads(t: Tables) -> DataFrame:
+    """Readings of three fields and their second reading by digits alone."""
+    k, c, year = F.col("o_orderkey"), F.col("o_custkey"), F.year("o_orderdate").cast("string")
+    field = F.get(F.array(*map(F.lit, ("record_year", "khata_number", "owner_name"))), (k % 3).cast("int"))
+    value = F.when(c % 3 == 0, year).when(c % 3 == 1, F.concat(F.lit("l"), c.cast("string")))
+    again = F.when(c % 5 == 0, "").when(c % 5 == 1, "--").when(c % 5 == 2, F.concat(c.cast("string"), F.lit("."))).otherwise(F.concat(F.lit(" "), year, F.lit(". ")))
+    got = ex.reread(field, value, (60 + c % 40).cast("double"), F.lit("rule"), again, (55 + k % 50).cast("double"))
+    return t.orders.select("o_orderkey", field.alias("field_name"), got.alias("r")).select("o_orderkey", "field_name", "r.*")

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelry.functions.constants import STATUSES
 from parcelry.operators.extraction import auto_accepted, corrected
 from parcelry.operators.relational import changes, replace_children
-from parcelry.operators.verify import correction_log, decided, edited_parcels, parcel_log, verified_fields
+from parcelry.operators.verify import correction_log, decided, edited_parcels, moved, parcel_log, reprocessed, verified_fields
 from parcelry.plans.registry import plan
 from parcelry.sources.tables import Tables
 
-#: Which states may follow which.
-TRANSITIONS = (("uploaded", "processing"), ("processing", "extracted"), ("extracted", "auto_verified"), ("extracted", "pending_review"), ("processing", "failed"), ("pending_review", "verified"), ("pending_review", "rejected"))
-
 
 @plan("""
 WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'EDITED' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 13 <> 0 UNION ALL SELECT -o_orderkey, 'NEW' FROM orders WHERE o_orderkey % 50 = 1)
@@ -114,6 +112,32 @@ def cascade_delete(t: Tables) -> DataFrame:
     return t.lineitem.join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
+@plan("""
+WITH s AS (SELECT o_orderkey, ['uploaded', 'processing', 'extracted', 'auto_verified', 'pending_review', 'verified', 'rejected', 'failed'][o_orderkey % 8 + 1] AS before, ['uploaded', 'processing', 'extracted', 'auto_verified', 'pending_review', 'verified', 'rejected', 'failed'][o_custkey % 8 + 1] AS wanted FROM orders)
+SELECT *, CASE WHEN wanted = 'processing' OR (before = 'processing' AND wanted IN ('extracted', 'failed')) OR (before = 'extracted' AND wanted IN ('auto_verified', 'pending_review', 'failed'))
+  OR (before IN ('pending_review', 'auto_verified', 'extracted', 'verified') AND wanted IN ('verified', 'rejected')) THEN wanted END AS after FROM s""")
+def state_machine(t: Tables) -> DataFrame:
+    """Status changes that are allowed, and null for those that aren't."""
+    states = F.array(*map(F.lit, STATUSES))
+    s = t.orders.select("o_orderkey", F.get(states, (F.col("o_orderkey") % 8).cast("int")).alias("before"), F.get(states, (F.col("o_custkey") % 8).cast("int")).alias("wanted"))
+    return s.withColumn("after", moved(F.col("before"), F.col("wanted")))
+
+
+@plan("""
+WITH n AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'R') AS e, count(*) FILTER (l_tax > 0.07) AS d, CASE WHEN max(l_quantity) > 5 THEN max(l_quantity) * 2 END AS c, bool_or(l_linenumber = 7) AS x FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1),
+j AS (SELECT o_orderkey AS document_id, k, CASE WHEN k IS NULL THEN CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'pending_review' END WHEN x THEN 'failed' WHEN e = 0 AND d = 0 AND c >= 85 THEN 'auto_verified' ELSE 'pending_review' END AS status, o_orderstatus = 'F' AS v FROM orders LEFT JOIN n ON k = o_orderkey)
+SELECT document_id, status, v OR (k IS NOT NULL AND status = 'auto_verified') AS is_verified FROM j""")
+def reprocess(t: Tables) -> DataFrame:
+    """Orders as documents; those with lines, but for every third, are processed again."""
+    most = F.max("l_quantity").cast("double")
+    reruns = t.lineitem.filter("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("document_id")).agg(
+        F.bool_or(F.col("l_linenumber") == 7).alias("crashed"), F.count_if(F.col("l_returnflag") == "R").alias("failed_errors"),
+        F.count_if(F.col("l_tax") > 0.07).alias("disagreements"), F.when(most > 5, most * 2).alias("confidence"),
+    )
+    done = F.col("o_orderstatus") == "F"
+    return reprocessed(t.orders.select(F.col("o_orderkey").alias("document_id"), F.when(done, "verified").otherwise("pending_review").alias("status"), done.alias("is_verified")), reruns)
+
+
 @plan("""
 SELECT event_type AS before, lead_type AS after, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lead_type FROM events) WHERE lead_type IS NOT NULL GROUP BY 1, 2""")
 def state_transitions(t: Tables) -> DataFrame:

@@ -60,6 +60,13 @@ def json_page(items: DataFrame, number: int, size: int, total: int) -> DataFrame
     return got.select(F.to_json(F.struct("items", F.lit(total).alias("total"), F.lit(number).alias("page"), F.lit(size).alias("size"))).alias("page"))
 
 
+def sync_external(rows: DataFrame, path: str) -> None:
+    """Appends a pushed snapshot as it comes, without merging; an empty push is refused."""
+    if rows.isEmpty():
+        raise ValueError("nothing to append: the snapshot has no rows")
+    append(rows, path)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Append-only state: audit entries, corrections, external snapshots (no upsert)."""
     rows.write.mode("append").parquet(path)

@@ -1,5 +1,6 @@
 """Operators on small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelry.operators import extraction as ex
@@ -204,3 +205,35 @@ def test_names_by_role_and_relation(spark):
     assert got[1, "owner_name"] == ("राम लाल", 78.0, "pattern-role") and got[1, "possessor_name"] == ("श्याम लाल", 76.0, "pattern-role")
     assert got[2, "owner_name"] == ("राम लाल", 82.0, "pattern-relation") and got[2, "father_or_husband_name"] == ("हरि सिंह", 78.0, "pattern-relation")
     assert not any(k[0] in (3, 4, 5) for k in got)
+
+
+def test_state_machine_and_reprocessing(spark):
+    moves = spark.createDataFrame([("failed", "processing"), ("uploaded", "verified"), ("extracted", "pending_review"), ("rejected", "verified"), (None, "processing"), ("uploaded", None)], "a string, b string")
+    assert [r.v for r in moves.select(verify.moved(F.col("a"), F.col("b")).alias("v")).collect()] == ["processing", None, "pending_review", None, None, None]
+    docs = spark.createDataFrame([(i, "verified" if i % 2 else "pending_review", bool(i % 2), "x") for i in range(6)], "document_id int, status string, is_verified boolean, note string")
+    reruns = spark.createDataFrame([(0, False, 0, 0, 90.0), (1, False, 1, 0, 90.0), (2, True, 0, 0, 90.0), (3, False, 0, 0, None), (4, None, 0, 1, 99.0)], "document_id int, crashed boolean, failed_errors int, disagreements int, confidence double")
+    got = {r.document_id: (r.status, r.is_verified, r.note) for r in verify.reprocessed(docs, reruns).collect()}
+    assert got == {0: ("auto_verified", True, "x"), 1: ("pending_review", True, "x"), 2: ("failed", False, "x"), 3: ("pending_review", True, "x"), 4: ("pending_review", False, "x"), 5: ("verified", True, "x")}
+
+
+def test_cells_and_second_readings(spark):
+    cells = spark.createDataFrame([(0.0149,), (0.015,), (None,)], "ink double")
+    assert [r.v for r in cells.select(ex.blank_cell(F.col("ink")).alias("v")).collect()] == [True, False, True]
+    tables = spark.createDataFrame([(["area", "owner_name"],), (["area"],), ([],), (None,)], "c array<string>")
+    assert [r.v for r in tables.select(ex.identifies_parcels(F.col("c")).alias("v")).collect()] == [True, False, False, False]
+    rows = [("record_year", "19b7", 90.0, "1987.", 60.0), ("record_year", "1987", 80.0, "1988", 84.9), ("record_year", "1987", 80.0, "1988", 85.0), ("owner_name", "Ram", 10.0, "1988", 99.0), ("khata_number", "12", 10.0, "--", 99.0), ("khata_number", "12", 97.0, "13", 104.0), ("khata_number", None, 50.0, "13", 20.0), ("khata_number", "12", 50.0, None, 99.0)]
+    d = spark.createDataFrame(rows, "f string, v string, c double, w string, x double")
+    got = [tuple(r.r) for r in d.select(ex.reread(F.col("f"), F.col("v"), F.col("c"), F.lit("rule"), F.col("w"), F.col("x")).alias("r")).collect()]
+    assert got[:4] == [("1987", 90.0, "rule+digits"), ("1987", 80.0, "rule"), ("1988", 85.0, "rule+digits"), ("Ram", 10.0, "rule")]
+    assert got[4:] == [("12", 10.0, "rule"), ("13", 99.0, "rule+digits"), ("13", 50.0, "rule+digits"), ("12", 50.0, "rule")]
+
+
+def test_external_snapshots_append(spark, tmp_path):
+    from parcelry.sources.files import sync_external
+
+    rows = spark.range(3)
+    for _ in range(2):
+        sync_external(rows, str(tmp_path / "external"))
+    assert spark.read.parquet(str(tmp_path / "external")).count() == 6
+    with pytest.raises(ValueError):
+        sync_external(rows.limit(0), str(tmp_path / "external"))
