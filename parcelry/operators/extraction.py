@@ -296,12 +296,15 @@ def reread(field: Column, value: Column, confidence: Column, source: Column, aga
     or if it has the field's shape and the first one hasn't.
     """
     shaped = lambda v: ~field.isin(*SHAPES) | F.coalesce(has_shape(field, v), F.lit(False))
-    new = trimmed(again)
-    rescues = shaped(new) & ~shaped(value)
-    taken = field.isin(*DIGIT_ONLY) & new.rlike(r"\p{Nd}") & ((again_confidence >= confidence + REREAD_GAIN) | rescues)
-    sure = F.round(F.least(F.lit(REREAD_TOP), F.when(shaped(new), F.greatest(again_confidence, confidence)).otherwise(again_confidence)), 1)
-    kept = F.struct(value.alias("value"), confidence.alias("confidence"), source.alias("source"))
-    return F.when(taken, F.struct(new.alias("value"), sure.alias("confidence"), F.lit("rule+digits").alias("source"))).otherwise(kept)
+    once = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # noqa: E731  (c is computed once, however often f uses it)
+
+    def better(new: Column, fits: Column) -> Column:
+        taken = field.isin(*DIGIT_ONLY) & new.rlike(r"\p{Nd}") & ((again_confidence >= confidence + REREAD_GAIN) | (fits & ~shaped(value)))
+        sure = F.round(F.least(F.lit(REREAD_TOP), F.when(fits, F.greatest(again_confidence, confidence)).otherwise(again_confidence)), 1)
+        kept = F.struct(value.alias("value"), confidence.alias("confidence"), source.alias("source"))
+        return F.when(taken, F.struct(new.alias("value"), sure.alias("confidence"), F.lit("rule+digits").alias("source"))).otherwise(kept)
+
+    return once(trimmed(again), lambda new: once(shaped(new), lambda fits: better(new, fits)))
 
 
 def agreement_summary(states: DataFrame) -> DataFrame:
