@@ -170,3 +170,24 @@ def digit_rereads(t: Tables) -> DataFrame:
     again = F.when(c % 5 == 0, "").when(c % 5 == 1, "--").when(c % 5 == 2, F.concat(c.cast("string"), F.lit("."))).otherwise(F.concat(F.lit(" "), year, F.lit(". ")))
     got = ex.reread(field, value, (60 + c % 40).cast("double"), F.lit("rule"), again, (55 + k % 50).cast("double"))
     return t.orders.select("o_orderkey", field.alias("field_name"), got.alias("r")).select("o_orderkey", "field_name", "r.*")
+
+
+@plan("SELECT l_orderkey, l_linenumber, round((10 * (l_quantity % 10))::DOUBLE * (0.85::DOUBLE + 0.15::DOUBLE * (20 * (l_partkey % 6))::DOUBLE / 100) * (CASE WHEN l_returnflag = 'R' THEN 0.8 ELSE 1.0 END)::DOUBLE, 1) AS confidence FROM lineitem")
+def page_quality(t: Tables) -> DataFrame:
+    """Confidences of readings, lowered on poor pages and for unreliable fields; the figures are such that none lies half-way, where the engines round apart."""
+    confidence = ex.quality_factor((10 * (F.col("l_quantity") % 10)).cast("double"), (20 * (F.col("l_partkey") % 6)).cast("double"), F.when(F.col("l_returnflag") == "R", 0.8).otherwise(1.0))
+    return t.lineitem.select("l_orderkey", "l_linenumber", confidence.alias("confidence"))
+
+
+@plan("""
+WITH r AS (SELECT o_orderkey, ['khata_number', 'khasra_number', 'record_year', 'mutation_date', 'remarks'][o_orderkey % 5 + 1] AS field_name,
+  [CAST(o_custkey AS VARCHAR), o_custkey || '/' || o_orderkey, CAST(year(o_orderdate) AS VARCHAR), strftime(o_orderdate, '%d-%m-%Y'), 'no ' || o_custkey, ''][o_custkey % 6 + 1] AS value FROM orders)
+SELECT *, CASE field_name WHEN 'khata_number' THEN length(value) BETWEEN 1 AND 6 AND regexp_full_match(value, '[0-9]+') WHEN 'khasra_number' THEN regexp_full_match(value, '[0-9]{1,5}(/[0-9]{1,4})?')
+  WHEN 'record_year' THEN length(value) = 4 AND coalesce(try_cast(value AS INT) BETWEEN 1900 AND 2099, false) WHEN 'mutation_date' THEN contains(value, '-') END AS shaped FROM r""")
+def field_shapes(t: Tables) -> DataFrame:
+    """Whether values have their field's shape; fields without one have no answer."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    field = F.get(F.array(*map(F.lit, ("khata_number", "khasra_number", "record_year", "mutation_date", "remarks"))), (k % 5).cast("int"))
+    kinds = F.array(c.cast("string"), F.concat_ws("/", c, k), F.year("o_orderdate").cast("string"), F.date_format("o_orderdate", "dd-MM-yyyy"), F.concat(F.lit("no "), c.cast("string")), F.lit(""))
+    r = t.orders.select("o_orderkey", field.alias("field_name"), F.get(kinds, (c % 6).cast("int")).alias("value"))
+    return r.withColumn("shaped", tx.has_shape(F.col("field_name"), F.col("value")))
