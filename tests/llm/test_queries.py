@@ -9,7 +9,7 @@ from tests.oracle import compare, connect
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -18,7 +18,7 @@ def test_same_rows_as_sql(spark, data, name):
     assert compare(queries()[name](spark, data), connect(data), oracle_sql()[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["op8_mixing", "op9_host_rules"])
+@pytest.mark.parametrize("name", ["op8_mixing", "op9_host_rules", "op10_url_reputation"])
 def test_native_queries_run_no_python(spark, data, name):
     plan = queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
