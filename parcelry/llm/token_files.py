@@ -45,6 +45,11 @@ class ByteEncoder(Encoder):
         """Bytes, beginnings and ends of the pieces."""
         _, at, stop = super().parts(c)
         data, (starts, ends) = c.data, c.spans
+        digit = (data >= 48) & (data <= 57)
+        first = np.ones(len(at), bool)
+        first[1:] = ~(digit[at[1:]] & digit[at[1:] - 1] & (stop[:-1] == at[1:]))  # figures in a row are one piece; words meet no others
+        first[np.searchsorted(at, starts)] = True
+        at, stop = at[first], stop[np.append(np.flatnonzero(first)[1:] - 1, len(stop) - 1)] if len(at) else stop
         of_word = np.searchsorted(c.bounds, starts, side="right") - 1
         gap = np.maximum(np.append(0, ends[:-1])[: len(starts)], c.bounds[of_word])  # where the white space before each word begins
         spaced = (starts > gap) & (data[np.maximum(starts - 1, 0)] == 0x20)
