@@ -163,5 +163,37 @@ STATE_MENTIONS = (
     ("PUNJAB", "Punjab"), ("पंजाब", "पंजाब"), ("GUJARAT", "Gujarat"), ("गुजरात", "गुजरात"),
 )
 
+# What stands between label and value, and what ends or leaves a value: rules of dots, seals at the end, punctuation at the edges.
+SEPARATOR = r"\s*[:;|：ः]\s*|\s+[-–—=]+\s*|\s{3,}"
+FILL_IN = "[_.\\-–—~`'\"]{2,}"
+SEALS = r"\s+[*×★•·`'" + '"' + r"“”‘’]+.*$"
+EDGES = " .,;:_-–—|\"'()*×★•·“”‘’`"
+LATIN_WORD = "^[A-Za-z]+$"
+
+# Fields whose value is a figure with a unit, or a date; units after a figure; strokes that are a figure one read wrongly.
+FIGURE_FIELDS = ("total_area", "irrigated_area", "unirrigated_area", "plot_area")
+DATE_VALUES = ("record_date", "mutation_date", "registration_date")
+FIGURE_UNIT = r"(?i)(हेक्टेयर|हे|एकड़|बीघा|बिस्वा|गुंठा|ha|acre|bigha|biswa)\.?"
+STROKES = "|[]()!lI/\\।ा"
+
+# Columns of the record export, the size limit of an upload, how many go up at once, and their kinds.
+RECORD_COLUMNS = (
+    "document_id", "state", "district", "tehsil", "village", "survey_number", "khasra_number", "khata_number", "owner_name", "father_or_husband_name",
+    "plot_area_value", "plot_area_unit", "plot_area_sqm", "land_classification", "ownership_type", "mutation_number", "mutation_date",
+    "registration_number", "registration_date", "record_year", "is_verified", "verified_by", "verified_at",
+)
+MAX_BYTES, MAX_FILES = 25 * 1024 * 1024, 20
+UPLOAD_KINDS = ("png", "jpg", "jpeg", "tif", "tiff", "webp", "pdf")
+
+# Fields of a record that come from readings, and those that only its extra map holds.
+RECORD_FIELDS = (
+    "state", "district", "tehsil", "village", "survey_number", "khasra_number", "khata_number", "land_classification", "owner_name", "father_or_husband_name",
+    "ownership_type", "mutation_number", "mutation_date", "registration_number", "registration_date", "record_year",
+)
+EXTRA_FIELDS = ("pargana", "total_area", "irrigated_area", "unirrigated_area", "record_date", "encumbrance")
+
+# Text columns of parcels that learned corrections apply to.
+PARCEL_TEXTS = ("parcel_number", "owner_name", "possessor_name", "father_name", "land_classification", "crop", "remarks")
+
 # Thresholds of confidence and similarity.
 AUTO_ACCEPT, REVIEW, DUPLICATE_SIMILARITY, OWNER_SIMILARITY = 85.0, 60.0, 90.0, 85.0

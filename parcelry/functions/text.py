@@ -7,7 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcelry.functions.constants import ASCII_DIGITS, DATE_FIELDS, DEVANAGARI_DIGITS, DOC_TYPES, NAME_FIELDS, NORMALISED_NAMES, NUMBER_FIELDS, SHAPES, VOCABULARIES
+from parcelry.functions.constants import ASCII_DIGITS, DATE_FIELDS, DEVANAGARI_DIGITS, DOC_TYPES, NAME_FIELDS, NORMALISED_NAMES, NUMBER_FIELDS, SHAPES, UPLOAD_KINDS, VOCABULARIES
+
+
+def once(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -144,6 +149,11 @@ def is_identifier(c: Column) -> Column:
     return core.rlike(r"^[\p{L}\p{N}]+$") & core.rlike(r"\p{Nd}")
 
 
+def squeezed_words(c: Column) -> Column:
+    """The words of a text between any white space; none for an empty text."""
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+
+
 def label_candidate(c: Column) -> Column:
     """Whether a fragment can be a label: two characters, and if Latin only then four letters and a vowel."""
     s = F.btrim(F.lower(F.trim(c)), F.lit(".:()"))
@@ -165,7 +175,7 @@ def snippet(text: Column, query: str, reach: int = 60) -> Column:
     return F.when(at > 0, F.substring(text, start, end - start)).otherwise(F.substring(text, 1, 2 * reach))
 
 
-def safe_extension(name: Column, allowed: tuple[str, ...] = ("png", "jpg", "jpeg", "tif", "tiff", "webp", "pdf")) -> Column:
+def safe_extension(name: Column, allowed: tuple[str, ...] = UPLOAD_KINDS) -> Column:
     """The lower-cased extension if it is allowed, else '.bin'."""
     ext = F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))
     return F.when(ext.isin(*["." + a for a in allowed]), ext).otherwise(F.lit(".bin"))

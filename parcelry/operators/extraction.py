@@ -3,34 +3,20 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parcelry.functions.constants import (
-    AUTO_ACCEPT, BLANK_INK, COLUMNS, CULTIVATOR_ROLES, DIGIT_ONLY, EMBEDDED_LABELS, FATHER_MARKS, IDENTIFYING, LABELS, LAND_CLASSES, LEADING_UNITS, NAME_STOPS,
-    OWNER_ROLES, OWNERSHIP_TYPES, REREAD_GAIN, REREAD_TOP, SHAPES, STATE_MENTIONS, TITLE_NOISE, VOCABULARIES,
+    AUTO_ACCEPT, BLANK_INK, COLUMNS, CULTIVATOR_ROLES, DATE_VALUES, DIGIT_ONLY, EDGES, EMBEDDED_LABELS, FATHER_MARKS, FIGURE_FIELDS, FIGURE_UNIT, FILL_IN, IDENTIFYING,
+    LAND_CLASSES, LATIN_WORD, LEADING_UNITS, NAME_STOPS, OWNER_ROLES, OWNERSHIP_TYPES, REREAD_GAIN, REREAD_TOP, SEALS, SEPARATOR, SHAPES, STATE_MENTIONS, STROKES,
+    TITLE_NOISE, VOCABULARIES,
 )
-from parcelry.functions.fuzzy import best_match, ratio_of
-from parcelry.functions.text import ascii_digits, blank_to_null, collapse, comparable, first_term, has_shape, is_gibberish, looks_like_person
+from parcelry.functions.fuzzy import best_match
+from parcelry.functions.text import ascii_digits, blank_to_null, collapse, comparable, first_term, has_shape, is_gibberish, looks_like_person, once, squeezed_words
+from parcelry.operators.labels import label_values
 from parcelry.operators.sequences import argmax_per_key
 
-SEPARATOR = r"\s*[:;|：ः]\s*|\s+[-–—=]+\s*|\s{3,}"
-LABEL_WORDS = 4
-
-
-def _letters(text: str) -> int:
-    """The characters of a text as a set of 61 bits; a bit may stand for several characters."""
-    bits = 0
-    for ch in text:
-        bits |= 1 << ord(ch) % 61
-    return bits
-
-
-_TERMS = [(key, name, len(key), _letters(key)) for name, keys in LABELS.items() for key in keys]
 
 
 def score(key_score: Column, ocr_conf: Column, valid: Column) -> Column:
@@ -61,59 +47,6 @@ def needs_review(confidence: Column, agreement: Column) -> Column:
     return (confidence < AUTO_ACCEPT) | F.coalesce(agreement == "disagree", F.lit(False))
 
 
-@lru_cache(100_000)
-def label_of(fragment: str) -> tuple[str | None, float]:
-    """The field whose label a fragment is, and the match's score; (None, 0) if none is at 85."""
-    text = fragment.strip().lower().strip(".:()")
-    if len(text) < 2:
-        return None, 0.0
-    if not any("ऀ" <= ch <= "ॿ" for ch in text) and (sum(ch.isalpha() for ch in text) < 4 or not set(text) & set("aeiou")):
-        return None, 0.0
-    best: tuple[str | None, float] = (None, 0.0)
-    size, letters = len(text), _letters(text)
-    for key, name, n, bits in _TERMS:
-        # No more than the key's letters that the text has can be common: an exact bound.
-        if 200 * min(size, n - (bits & ~letters).bit_count()) >= 85 * (size + n) and (s := ratio_of(text, key)) >= 85 and s > best[1]:
-            best = (name, s)
-    return best
-
-
-def _labels(words: list[str], suffix: bool) -> tuple[str | None, float, int]:
-    """The best label at the end of words: field, score and number of words.
-
-    At the head of a line (suffix) a word more counts four points, within a line half a point.
-    """
-    weight, best = (4.0 if suffix else 0.5), (None, 0.0, 0)
-    for n in range(1, min(LABEL_WORDS, len(words)) + 1):
-        name, s = label_of(" ".join(words[-n:]))
-        if name and s + weight * n > best[1] + weight * best[2]:
-            best = (name, s, n)
-    return best
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("field_name", T.StringType()), T.StructField("key_score", T.DoubleType()), T.StructField("raw", T.StringType())])))
-def label_values(segments: pd.Series) -> pd.Series:
-    """Label and value pairs of a line's segments: a segment ends with the label of the next one's value."""
-
-    def one(parts) -> list[dict]:
-        parts = list(parts) if parts is not None else []
-        if len(parts) < 2:
-            return []
-        found = []
-        name, s, _ = _labels(parts[0].split(), True)
-        for part in parts[1:-1]:
-            words = part.split()
-            next_name, next_s, n = _labels(words, False)
-            if name:
-                found.append({"field_name": name, "key_score": s, "raw": " ".join(words[: len(words) - n])})
-            name, s = next_name, next_s
-        if name:
-            found.append({"field_name": name, "key_score": s, "raw": parts[-1]})
-        return found
-
-    return segments.map(one)
-
-
 def segments(line: Column) -> Column:
     """A line cut at separators; one without any, at the last word if that begins with a figure."""
     parts = F.filter(F.transform(F.split(F.trim(line), SEPARATOR), F.trim), lambda p: p != "")
@@ -124,32 +57,55 @@ def segments(line: Column) -> Column:
 
 def trimmed(value: Column) -> Column:
     """A value up to the first title phrase or embedded label, without rules of dots and edge punctuation."""
-    v = F.trim(value)
-    title = F.regexp_instr(v, F.lit("(?iu)(?<=.)(" + "|".join(map(re.escape, TITLE_NOISE)) + ")"))
-    label = F.regexp_instr(v, F.lit(r"(?<=[^\p{L}\p{N}ऀँंः])(" + "|".join(map(re.escape, EMBEDDED_LABELS)) + ")"))
-    v = F.substring(v, F.lit(1), F.coalesce(F.least(F.nullif(title, F.lit(0)), F.nullif(label, F.lit(0))) - 1, F.length(v)))
-    v = F.regexp_replace(v, "[_.\\-–—~`'\"]{2,}", " ")
-    v = F.regexp_replace(v, r"\s+[*×★•·`'" + '"' + r"“”‘’]+.*$", "")
-    return F.btrim(F.regexp_replace(v, r"\s{2,}", " "), F.lit(" .,;:_-–—|\"'()*×★•·“”‘’`"))
+    title = lambda v: F.regexp_instr(v, F.lit("(?iu)(?<=.)(" + "|".join(map(re.escape, TITLE_NOISE)) + ")"))
+    label = lambda v: F.regexp_instr(v, F.lit(r"(?<=[^\p{L}\p{N}ऀँंः])(" + "|".join(map(re.escape, EMBEDDED_LABELS)) + ")"))
+    cut = once(F.trim(value), lambda v: F.substring(v, F.lit(1), F.coalesce(F.least(F.nullif(title(v), F.lit(0)), F.nullif(label(v), F.lit(0))) - 1, F.length(v))))
+    bare = F.regexp_replace(F.regexp_replace(cut, FILL_IN, " "), SEALS, "")
+    return F.btrim(F.regexp_replace(bare, r"\s{2,}", " "), F.lit(EDGES))
+
+
+def without_latin(value: Column) -> Column:
+    """A Devanagari value without the Latin words in it, which are misreadings; one that has no other words stays."""
+    kept = lambda v: F.array_join(F.filter(squeezed_words(v), lambda w: ~w.rlike(LATIN_WORD)), " ")
+    return once(value, lambda v: F.when(v.rlike("[\\u0900-\\u097F]"), F.coalesce(blank_to_null(kept(v)), v)).otherwise(v))
 
 
 def figure_of(value: Column) -> Column:
     """The first figure of a numeric value, with its unit word if it has one."""
     v = F.substring_index(value, "(", 1)
     figure = F.replace(F.regexp_extract(ascii_digits(v), r"([0-9]+(?:[.,][0-9]+)?)", 1), F.lit(","), F.lit("."))
-    unit = F.regexp_extract(v, r"(?i)(हेक्टेयर|हे|एकड़|बीघा|बिस्वा|गुंठा|ha|acre|bigha|biswa)\.?", 1)
-    return F.when(figure == "", v).otherwise(F.concat_ws(" ", figure, blank_to_null(unit)))
+    return F.when(figure == "", v).otherwise(F.concat_ws(" ", figure, blank_to_null(F.regexp_extract(v, FIGURE_UNIT, 1))))
+
+
+def _strokes(value: Column) -> Column:
+    return F.translate(ascii_digits(value), STROKES, "1" * len(STROKES))
+
+
+def date_of(value: Column) -> Column:
+    """The first date of a value with dots between its figures, white space dropped and strokes read as ones; the value if there is none."""
+    found = F.regexp_extract(F.regexp_replace(_strokes(value), r"(?U)\s+", ""), r"([0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4})", 1)
+    return F.when(found == "", value).otherwise(F.translate(found, "-/", ".."))
+
+
+def year_of(value: Column) -> Column:
+    """The first year or pair of years of a value, strokes read as ones; the value if there is none."""
+    found = F.trim(F.regexp_extract(_strokes(value), r"(?U)(\d{4}\s*[-/]?\s*(?:\d{2,4})?)", 1))
+    return F.when(found == "", value).otherwise(found)
+
+
+def value_of(field: Column, raw: Column) -> Column:
+    """What a field's raw text says: trimmed, without misread words, and of figures, dates and years only these."""
+    kind = lambda v: F.when(field.isin(*FIGURE_FIELDS), figure_of(v)).when(field.isin(*DATE_VALUES), date_of(v)).when(field == "record_year", year_of(v)).otherwise(v)
+    return once(without_latin(trimmed(raw)), kind)
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """(document_id, line_no, field_name, value, confidence, source) from lines (document_id, line_no, line, conf).
 
-    Only lines with two segments reach Python, for the label search.
+    A line without a confidence has 50. Equal lines of the same number count once.
     """
-    cut = lines.withColumn("segments", segments(F.col("line"))).filter(F.size("segments") >= 2)
-    pairs = cut.select("document_id", "line_no", F.coalesce("conf", F.lit(50.0)).alias("conf"), F.explode(label_values("segments")).alias("p")).select("document_id", "line_no", "conf", "p.*")
-    numeric = F.col("field_name").isin("total_area", "irrigated_area", "unirrigated_area", "plot_area")
-    v = pairs.withColumn("value", trimmed(F.col("raw"))).withColumn("value", F.when(numeric, figure_of(F.col("value"))).otherwise(F.col("value")))
+    pairs = label_values(lines.select("document_id", "line_no", F.coalesce("conf", F.lit(50.0)).alias("conf"), segments(F.col("line")).alias("segments")))
+    v = pairs.select("*", F.explode(F.array(value_of(F.col("field_name"), F.col("raw")))).alias("value"))  # explode: else filters repeat the whole expression
     good = v.filter((F.col("value") != "") & ~is_gibberish(F.col("field_name"), F.col("value")))
     return good.select("document_id", "line_no", "field_name", "value", score(F.col("key_score"), F.col("conf"), validity(F.col("field_name"), F.col("value"))).alias("confidence"), F.lit("rule").alias("source"))
 
@@ -296,7 +252,6 @@ def reread(field: Column, value: Column, confidence: Column, source: Column, aga
     or if it has the field's shape and the first one hasn't.
     """
     shaped = lambda v: ~field.isin(*SHAPES) | F.coalesce(has_shape(field, v), F.lit(False))
-    once = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # noqa: E731  (c is computed once, however often f uses it)
 
     def better(new: Column, fits: Column) -> Column:
         taken = field.isin(*DIGIT_ONLY) & new.rlike(r"\p{Nd}") & ((again_confidence >= confidence + REREAD_GAIN) | (fits & ~shaped(value)))

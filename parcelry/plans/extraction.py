@@ -9,6 +9,7 @@ from parcelry.functions import fuzzy
 from parcelry.functions import text as tx
 from parcelry.functions.constants import ASCII_DIGITS, DEVANAGARI_DIGITS, LAND_CLASSES
 from parcelry.operators import extraction as ex
+from parcelry.operators.labels import TERMS, cleaned, label_matches
 from parcelry.plans.registry import plan
 from parcelry.sources.tables import Tables
 
@@ -39,10 +40,44 @@ def split_label_value(t: Tables) -> DataFrame:
     return ex.candidates(t.orders.select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("line_no"), line.alias("line"), F.lit(90.0).alias("conf")))
 
 
+def _label_sql() -> str:
+    """Every fragment against every label: the longest common subsequence by rows of its table, one bit per letter of the label."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    terms = ", ".join(f"({i}, {quoted(label)}, '{field}')" for i, (label, field) in enumerate(TERMS))
+    return rf"""
+WITH l(o, label, field_name) AS (VALUES {terms}),
+m AS (SELECT p_partkey, p_size % 6 AS kind, label AS x, p_size % length(label) + 1 AS k FROM part JOIN l ON o = p_partkey % {len(TERMS)}),
+r AS (SELECT p_partkey, CASE kind WHEN 0 THEN x WHEN 1 THEN substr(x, 1, (k - 1)::INT) || substr(x, (k + 1)::INT) WHEN 2 THEN substr(x, 1, k::INT) || 'q' || substr(x, (k + 1)::INT) WHEN 3 THEN '(' || upper(x) || ' .:' WHEN 4 THEN x || substr(x, k::INT) ELSE substr(x, 1, (k - 1)::INT) || 'zq' || substr(x, (k + 2)::INT) END AS fragment FROM m),
+c AS (SELECT *, trim(lower(trim(fragment)), '.:()') AS t FROM r),
+d AS (SELECT DISTINCT t FROM c WHERE length(t) >= 2 AND (regexp_matches(t, '[\x{{0900}}-\x{{097F}}]') OR (length(regexp_replace(t, '[^\pL]', '', 'g')) >= 4 AND regexp_matches(t, '[aeiou]')))),
+s AS (SELECT t, field_name, o, 200.0::DOUBLE * (length(label) - bit_count(list_reduce(list_prepend((1::BIGINT << length(label)) - 1, [list_sum([CASE WHEN substr(label, i::INT + 1, 1) = substr(t, j::INT, 1) THEN 1::BIGINT << i::INT ELSE 0 END for i in range(length(label))])::BIGINT for j in range(1, length(t) + 1)]),
+  lambda v, h: ((v + (v & h)) | (v - (v & h))) & ((1::BIGINT << length(label)) - 1)))) / (length(label) + length(t)) AS score FROM d, l),
+b AS (SELECT t, arg_max(field_name, (score, -o)) AS field_name, max(score) AS key_score FROM s WHERE score >= 85 GROUP BY t)
+SELECT p_partkey, fragment, field_name, round(key_score, 6) AS key_score FROM c LEFT JOIN b USING (t)"""
+
+
+@plan(_label_sql())
+def label_search(t: Tables) -> DataFrame:
+    """Labels with a letter lost, added or doubled, in capitals or torn, back to their fields; some no longer are any label."""
+    labels = t.spark.createDataFrame([(i, label) for i, (label, _) in enumerate(TERMS)], "o int, label string")
+    x, at = F.col("label"), F.col("p_size") % F.length("label") + 1
+    edited = F.array(
+        x, F.concat(F.substring(x, F.lit(1), at - 1), F.substring(x, at + 1, F.length(x))), F.concat(F.substring(x, F.lit(1), at), F.lit("q"), F.substring(x, at + 1, F.length(x))),
+        F.concat(F.lit("("), F.upper(x), F.lit(" .:")), F.concat(x, F.substring(x, at, F.length(x))), F.concat(F.substring(x, F.lit(1), at - 1), F.lit("zq"), F.substring(x, at + 2, F.length(x))),
+    )
+    read = t.part.join(F.broadcast(labels), F.col("p_partkey") % len(TERMS) == F.col("o")).select("p_partkey", F.get(edited, (F.col("p_size") % 6).cast("int")).alias("read"))  # labels are fixed
+    c = read.withColumn("fragment", cleaned(F.col("read")))
+    found = c.join(label_matches(c.select("fragment").distinct()), "fragment", "left")
+    return found.select("p_partkey", F.col("read").alias("fragment"), "field_name", F.round("key_score", 6).alias("key_score"))
+
+
 @plan()
 def conversation_fields(t: Tables) -> DataFrame:
-    """Fields of whole conversations by labels, vocabulary and patterns."""
-    lines = t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("line_no"), F.col("text").alias("line"), F.lit(50.0).alias("conf"))
+    """Fields of whole conversations by labels, vocabulary and patterns: each turn's first words stand on a line of a form, with labels as they are misread."""
+    words = F.split("text", " ")
+    label = F.when(F.col("turn") % 3 == 0, "Ovner Name").when(F.col("turn") % 3 == 1, "Villlage").otherwise("Tehsi1")
+    line = F.concat(label, F.lit(" : "), F.get(words, F.lit(0)), F.lit("   Khata No - "), (F.col("conv_id") % 97 + 1).cast("string"), F.lit("   "), "text")
+    lines = t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("line_no"), line.alias("line"), F.lit(50.0).alias("conf"))
     texts = t.conversations.groupBy(F.col("conv_id").alias("document_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return ex.extracted(lines, texts)
 
@@ -80,10 +115,18 @@ def khasra_rows(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(ex.khasra_numbers(F.concat(n, F.lit(" क बीघा १०५ बीघा"))), ",").alias("khasras"))
 
 
-@plan("SELECT p_partkey, 'Value ' || p_size AS v FROM part")
+@plan("""
+WITH r AS (SELECT o_orderkey, o_orderkey % 6 AS kind, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, o_custkey % 900 + 100 AS n, o_orderpriority AS p FROM orders)
+SELECT o_orderkey, CASE kind WHEN 0 THEN n || '.5 acre' WHEN 1 THEN d || '.' || m || '.' || y WHEN 2 THEN y || '-' || right(CAST(y + 1 AS VARCHAR), 2) WHEN 3 THEN 'रामपुर' || n WHEN 4 THEN trim(p, ' .,;:_-') ELSE 'no year' END AS value FROM r""")
 def trim_value(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit(" Value "), F.col("p_size").cast("string"), F.lit(" .. Record of Rights form "), F.col("p_name"))
-    return t.part.select("p_partkey", ex.trimmed(raw).alias("v"))
+    """Raw values as they stand on forms: a figure with commentary, a date with strokes and spaces, a pair of years, misread words, a title behind the value."""
+    k, n, day = F.col("o_orderkey") % 6, (F.col("o_custkey") % 900 + 100).cast("string"), F.col("o_orderdate")
+    strokes = lambda c: F.replace(c, F.lit("1"), F.lit("l"))
+    dated = F.concat_ws(" - ", *[strokes(f(day).cast("string")) for f in (F.dayofmonth, F.month, F.year)])
+    years = F.concat(F.lit("सन "), F.translate(F.year(day).cast("string"), ASCII_DIGITS, DEVANAGARI_DIGITS), F.lit("-"), F.right((F.year(day) + 1).cast("string"), F.lit(2)), F.lit(" ...."))
+    raw = F.array(F.concat(n, F.lit(",5 acre. (in words) ")), F.concat(dated, F.lit(" signed")), years, F.concat(F.lit("OM रामपुर"), n, F.lit(" ta  ____ ")), F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" .. Record of Rights 5")), F.lit(" no year * seal"))
+    field = F.array(*map(F.lit, ("total_area", "mutation_date", "record_year", "village", "remarks", "record_year")))
+    return t.orders.select("o_orderkey", ex.value_of(F.get(field, k.cast("int")), F.get(raw, k.cast("int"))).alias("value"))
 
 
 @plan()

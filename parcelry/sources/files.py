@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelry.functions.constants import MAX_BYTES, RECORD_COLUMNS
 from parcelry.functions.text import safe_extension, safe_filename
 
-MAX_BYTES = 25 * 1024 * 1024
-RECORD_COLUMNS = (
-    "document_id", "state", "district", "tehsil", "village", "survey_number", "khasra_number", "khata_number", "owner_name", "father_or_husband_name",
-    "plot_area_value", "plot_area_unit", "plot_area_sqm", "land_classification", "ownership_type", "mutation_number", "mutation_date",
-    "registration_number", "registration_date", "record_year", "is_verified", "verified_by", "verified_at",
-)
-
 
 def empty_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of a folder's files without a byte, from the store's listing: Spark's file sources leave them out."""
