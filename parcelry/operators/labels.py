@@ -84,13 +84,14 @@ def label_matches(fragments: DataFrame, terms: list[tuple[str, str]] | None = No
     m = F.length("fragment")
     part = lambda k: F.transform(F.sequence(F.lit(0), m - k), lambda i: F.struct(F.substring(F.col("fragment"), i + 1, k).alias("piece"), i.alias("place")))
     parts = F.flatten(F.array(*[F.when(m >= k, part(k)).otherwise(F.array().cast("array<struct<piece:string,place:int>>")) for k in sizes]))
-    some = fragments.filter(label_candidate(F.col("fragment")) & (m <= longest)).withColumn("letters", _letters(F.col("fragment")))
-    cut = some.select("fragment", "letters", _bits(F.col("letters")).alias("own"), F.explode(parts).alias("p")).select("fragment", "letters", "own", "p.*")
-    met = cut.join(F.broadcast(label_index(spark, used, cutoff)), "piece").filter(F.abs(F.col("place") - F.col("at")) <= F.col("edits"))  # the index is fixed
-    both = F.size("letters") + F.col("n")
-    at_most = F.least(F.size("letters"), F.col("n") - F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("own"))))
-    once = met.filter(200 * at_most >= cutoff * both).groupBy("fragment", "label_order").agg(*[F.first(c).alias(c) for c in ("letters", "field_name", "n", "places")])
-    scored = once.withColumn("key_score", 200.0 * _common(F.col("letters"), F.col("places"), F.col("n")) / both).filter(F.col("key_score") >= cutoff)
+    fit = fragments.filter(label_candidate(F.col("fragment")) & (m <= longest))
+    cut = fit.select("fragment", _bits(_letters(F.col("fragment"))).alias("own"), F.explode(parts).alias("p")).select("fragment", "own", "p.*")
+    size, both = F.length("fragment"), F.length("fragment") + F.col("n")
+    near = (F.abs(F.col("place") - F.col("at")) <= F.col("edits")) & (200 * F.least(size, F.col("n")) >= cutoff * both)
+    met = cut.join(F.broadcast(label_index(spark, used, cutoff)), "piece").filter(near)  # the index is fixed
+    at_most = F.least(size, F.col("n") - F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("own"))))
+    some = met.filter(200 * at_most >= cutoff * both).select("fragment", "field_name", "label_order", (200.0 * _common(_letters(F.col("fragment")), F.col("places"), F.col("n")) / both).alias("key_score"))
+    scored = some.filter(F.col("key_score") >= cutoff)
     return scored.groupBy("fragment").agg(F.max_by(F.struct("field_name", "key_score"), F.struct("key_score", -F.col("label_order"))).alias("m")).select("fragment", "m.*")
 
 
@@ -107,7 +108,8 @@ def label_values(lines: DataFrame) -> DataFrame:
     words = squeezed_words(F.col("segment"))
     tails = F.transform(F.sequence(F.lit(1), F.least(F.lit(WORDS), F.size(words))), lambda n: F.struct(n.alias("words"), cleaned(F.array_join(F.slice(words, F.size(words) - n + 1, n), " ")).alias("fragment")))
     each = at.select(*key, "i", F.explode(tails).alias("t")).select(*key, "i", "t.*")
-    hits = each.join(label_matches(each.select("fragment").distinct()), "fragment")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work each: by size they would go to few tasks
+    hits = each.join(label_matches(each.select("fragment").distinct().repartition(tasks, "fragment")), "fragment")
     rank = F.struct((F.col("key_score") + F.col("words") * F.when(F.col("i") == 0, 4.0).otherwise(0.5)).alias("s"), F.when(F.col("i") == 0, -F.col("words")).otherwise(F.col("words")).alias("w"))
     best = hits.groupBy(*key, "i").agg(F.max_by(F.struct("i", "field_name", "key_score", "words"), rank).alias("label"))
     labels = best.groupBy(*key).agg(F.collect_list("label").alias("labels"))  # at most the segments of a line

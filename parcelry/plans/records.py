@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.functions.text import snippet
+from parcelry.operators import search
 from parcelry.operators import sequences as seq
 from parcelry.operators.relational import any_contains, duplicates_of, fan_out, first_per_key, optional_filters, outside_band, page, same_text, scoped
 from parcelry.plans.registry import plan
 from parcelry.sources.files import feature
+from parcelry.sources.stored import new_path
 from parcelry.sources.tables import Tables
 
 
@@ -44,21 +45,43 @@ def lookup_point(t: Tables) -> DataFrame:
     return c.join(t.orders.filter("o_orderkey % 100 = 7 and o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
 
 
-_SNIPPET = "CASE WHEN strpos(lower({c}), 'the') > 0 THEN substr({c}, greatest(strpos(lower({c}), 'the') - 60, 1), strpos(lower({c}), 'the') + 63 - greatest(strpos(lower({c}), 'the') - 60, 1)) ELSE substr({c}, 1, 120) END"
+_HITS = """
+WITH docs AS (SELECT doc_id AS document_id, text AS ocr_text FROM documents),
+r AS (SELECT p_partkey AS document_id, p_name AS owner_name, p_type AS village, p_brand AS khasra_number FROM part),
+p AS (SELECT l_orderkey * 8 + l_linenumber AS parcel_id, l_orderkey AS document_id, l_linenumber AS row_index, c_name AS owner_name, CAST(l_partkey AS VARCHAR) AS parcel_number, c_mktsegment AS crop, p_name AS land_classification FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
+f AS (SELECT o_orderkey AS field_id, o_custkey AS document_id, o_orderstatus AS field_name, o_orderpriority AS value FROM orders),
+h AS (SELECT document_id, 1 AS branch, 'record' AS kind, village || ' · ' || owner_name || ' · khasra ' || khasra_number AS snippet, NULL AS parcel_row FROM r JOIN docs USING (document_id) WHERE owner_name ILIKE '%{q}%' OR village ILIKE '%{q}%' OR khasra_number ILIKE '%{q}%'
+  UNION ALL (SELECT document_id, 2, 'parcel', 'parcel ' || parcel_number || ' · owner ' || owner_name || ' · ' || crop, row_index FROM p JOIN docs USING (document_id) WHERE owner_name ILIKE '%{q}%' OR parcel_number ILIKE '%{q}%' OR crop ILIKE '%{q}%' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY row_index, parcel_id, parcel_number) = 1)
+  UNION ALL (SELECT document_id, 3, 'field', field_name || ' = ' || value, NULL FROM f JOIN docs USING (document_id) WHERE value ILIKE '%{q}%' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY field_id) = 1)),
+n AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY branch, snippet) = 1),
+t AS (SELECT document_id, ocr_text, strpos(lower(ocr_text), '{q}') AS spot FROM docs WHERE ocr_text ILIKE '%{q}%'),
+u AS (SELECT * FROM n UNION ALL SELECT document_id, 4, 'ocr', '…' || trim(substr(ocr_text, greatest(spot - 60, 1)::INT, (spot + {n} + 60 - greatest(spot - 60, 1))::INT), ' ' || chr(9) || chr(10) || chr(13)) || '…', NULL FROM t)
+"""
+
+
+def _searched(t: Tables, query: str, indexed: bool) -> DataFrame:
+    """Parts as records, order lines as parcels, orders as fields of their customers, documents as texts."""
+    docs = t.documents.select(F.col("doc_id").alias("document_id"), F.col("text").alias("ocr_text"))
+    none = F.lit(None).cast("string")
+    records = t.part.select(F.col("p_partkey").alias("document_id"), F.col("p_name").alias("owner_name"), F.col("p_type").alias("village"), F.col("p_brand").alias("khasra_number"), *[none.alias(c) for c in search.RECORD_TEXTS if c not in ("owner_name", "village", "khasra_number")])
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    parcels = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("parcel_id"), F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("row_index"), F.col("c_name").alias("owner_name"), F.col("l_partkey").cast("string").alias("parcel_number"), F.col("c_mktsegment").alias("crop"), F.col("p_name").alias("land_classification"))
+    fields = t.orders.select(F.col("o_orderkey").alias("field_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("field_name"), F.col("o_orderpriority").alias("value"))
+    kinds = (("records", records, "document_id", list(search.RECORD_TEXTS)), ("parcels", parcels, "parcel_id", list(search.PARCEL_TEXTS)), ("fields", fields, "field_id", ["value"]), ("documents", docs, "document_id", ["ocr_text"]))
+    indexes = {name: search.write_postings(rows, key, columns, new_path(t.spark, f"trigrams-{name}")) for name, rows, key, columns in kinds} if indexed else None
+    return search.hits(docs, records, parcels, fields, query, indexes)
+
+
+@plan(_HITS.format(q="low", n=3) + "SELECT document_id, kind, left(snippet, 180) AS snippet, parcel_row FROM u")
+def search_union(t: Tables) -> DataFrame:
+    """All hits of four branches by the tables of trigrams: records, parcels and fields joined to their documents, and texts."""
+    return _searched(t, "low", True).drop("branch")
 
 
-@plan(f"""
-WITH u AS (SELECT 1 AS branch, 'record' AS kind, p_partkey AS id, p_name AS snippet FROM part WHERE p_name ILIKE '%the%' OR p_type ILIKE '%the%' OR p_brand ILIKE '%the%'
-UNION ALL SELECT 2, 'ocr', doc_id, {_SNIPPET.format(c="text")} FROM documents WHERE text ILIKE '%the%'
-UNION ALL SELECT 3, 'field', conv_id, {_SNIPPET.format(c="text")} FROM conversations WHERE text ILIKE '%the%')
-SELECT kind, id, snippet FROM u QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY branch, snippet) = 1""")
-def search_union(t: Tables) -> DataFrame:
-    """Hits of three branches, each row once per kind."""
-    parts = t.part.filter(any_contains([F.col("p_name"), F.col("p_type"), F.col("p_brand")], "the")).select(F.lit(1).alias("branch"), F.lit("record").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("snippet"))
-    docs = t.documents.filter(any_contains([F.col("text")], "the")).select(F.lit(2).alias("branch"), F.lit("ocr").alias("kind"), F.col("doc_id").alias("id"), snippet(F.col("text"), "the").alias("snippet"))
-    turns = t.conversations.filter(any_contains([F.col("text")], "the")).select(F.lit(3).alias("branch"), F.lit("field").alias("kind"), F.col("conv_id").alias("id"), snippet(F.col("text"), "the").alias("snippet"))
-    hits = parts.unionByName(docs).unionByName(turns)
-    return first_per_key(hits, ["kind", "id"], [F.col("branch"), F.col("snippet")]).select("kind", "id", "snippet")
+@plan(_HITS.format(q="er", n=2) + "SELECT document_id, kind, left(snippet, 180) AS snippet, parcel_row, (SELECT count(*) FROM u) AS total FROM u ORDER BY branch, document_id LIMIT 120")
+def search_first(t: Tables) -> DataFrame:
+    """The first hits and how many there are in all, for a query too short for trigrams."""
+    return search.first_hits(_searched(t, "er", False), 120)
 
 
 @plan("""
