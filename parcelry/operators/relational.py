@@ -45,6 +45,28 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size).join(F.broadcast(total))  # total: one row
 
 
+def cursor(rows: DataFrame, order: list[tuple[str, bool]]) -> tuple | None:
+    """The sort key of a page's last row, for page_after; null of an empty page. A page fits in the driver."""
+    keys = [tuple(r) for r in rows.select(*[c for c, _ in order]).collect()]
+    return keys[-1] if keys else None
+
+
+def page_after(df: DataFrame, order: list[tuple[str, bool]], size: int, after: tuple | None = None) -> DataFrame:
+    """The first rows (1 to 200) behind a sort key, or from the beginning; order has columns and whether they ascend, and ends with a unique key.
+
+    What lies before is left out by a filter that the scan takes, instead of being counted off, so late pages cost no more than early ones and rows that come or go
+    meanwhile shift none. Columns of the order hold no nulls.
+    """
+    if after is not None:
+        beyond = lambda c, up, v: F.col(c) > F.lit(v) if up else F.col(c) < F.lit(v)
+        behind = F.lit(False)
+        for (c, up), v in reversed(list(zip(order, after, strict=True))):
+            behind = beyond(c, up, v) | ((F.col(c) == F.lit(v)) & behind)
+        first, up = order[0]
+        df = df.filter((F.col(first) >= F.lit(after[0])) if up else (F.col(first) <= F.lit(after[0]))).filter(behind)
+    return df.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order]).limit(max(1, min(size, 200)))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; Spark keeps one row per key and task before it shuffles."""
     w = W.partitionBy(*keys).orderBy(*order)

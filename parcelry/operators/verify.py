@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelry.functions.area import parse_area
 from parcelry.functions.constants import STATUSES
-from parcelry.functions.text import blank_to_null, normalize_field, python_float
+from parcelry.functions.text import blank_to_null, normalize_field, once, python_float
 from parcelry.operators.extraction import auto_accepted
 
 # The cells of a parcel that a verifier may edit (beside its area), and the states a decision may start from.
@@ -76,9 +76,8 @@ def edited_parcels(parcels: DataFrame, edits: DataFrame) -> DataFrame:
     changed = F.col("_was").isNull() | F.exists(F.array(*map(_differs, cells)), lambda x: x)
     w = W.partitionBy("document_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     rows = both.filter("_is").withColumn("_human", F.max(changed.cast("int")).over(w) == 1).join(unit, "document_id", "left")
-    own = parse_area(F.col("area_text"))
-    bare = own["value"].isNotNull() & own["sqm"].isNull() & F.col("_unit").isNotNull()
-    area = F.when(bare, parse_area(F.concat_ws(" ", python_float(own["value"]), F.col("_unit")))).otherwise(own)
+    inherited = lambda own: F.when(own["value"].isNotNull() & own["sqm"].isNull() & F.col("_unit").isNotNull(), parse_area(F.concat_ws(" ", python_float(own["value"]), F.col("_unit")))).otherwise(own)
+    area = once(parse_area(F.col("area_text")), inherited)
     rows = rows.withColumn("_area", area)
     done = rows.select("document_id", "parcel_id", F.col("place").alias("row_index"), F.when(F.col("_human"), "human").otherwise(F.col("source")).alias("source"), F.col("_area.unit").alias("area_unit"), *cells, F.col("_area.value").alias("area_value"), F.col("_area.sqm").alias("area_sqm"))
     kept = parse_area(F.col("area_text"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelry.functions.constants import STATUSES
 from parcelry.operators import search
 from parcelry.operators import sequences as seq
-from parcelry.operators.relational import any_contains, duplicates_of, fan_out, first_per_key, optional_filters, outside_band, page, same_text, scoped
+from parcelry.operators.histories import histories
+from parcelry.operators.relational import any_contains, cursor, duplicates_of, fan_out, optional_filters, outside_band, page, page_after, same_text, scoped
+from parcelry.operators.verify import TRANSITIONS
 from parcelry.plans.registry import plan
 from parcelry.sources.files import feature
 from parcelry.sources.stored import new_path
@@ -132,10 +135,35 @@ def ordered_distinct(t: Tables) -> DataFrame:
     return seq.first_occurrences(t.events, ["user_id"], "event_type", "event_id")
 
 
-@plan()
+@plan("""
+WITH RECURSIVE e AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY round(value * 100)) AS n FROM events),
+f AS (SELECT user_id, n, v AS middle, 1 AS g FROM e WHERE n = 1 UNION ALL SELECT f.user_id, e.n, CASE WHEN e.v - f.middle >= 40 THEN e.v ELSE (f.middle + e.v) // 2 END, CASE WHEN e.v - f.middle >= 40 THEN g + 1 ELSE g END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, max(middle) AS middle FROM f GROUP BY user_id, g""")
 def collapse_close(t: Tables) -> DataFrame:
-    """Values of each user, those within 5 of the running mean joined (a fold; SQL here has none)."""
-    return t.events.groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", F.size(seq.collapse_close(F.col("v"), 5.0)).alias("groups"))
+    """Amounts of each user, in hundredths, those closer than 40 to the last result averaged with it."""
+    e = t.events.select("user_id", F.round(F.col("value") * 100).cast("long").alias("middle"))
+    return seq.collapse_close(e, ["user_id"], "middle", 40)
+
+
+@plan(f"""
+WITH RECURSIVE s AS (SELECT {list(STATUSES)} AS names), e AS (SELECT user_id, event_id, names[(event_id * 5 + user_id) % 9 + 1] AS wanted, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events, s),
+a(before, wanted) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in TRANSITIONS)}),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'uploaded' AS status, 0 AS refused FROM e UNION ALL
+  SELECT f.user_id, e.n, CASE WHEN a.before IS NULL THEN f.status ELSE e.wanted END, CASE WHEN a.before IS NULL THEN f.refused + 1 ELSE f.refused END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1 LEFT JOIN (SELECT DISTINCT * FROM a) a ON a.before = f.status AND a.wanted = e.wanted)
+SELECT user_id, arg_max(status, n) AS status, max(n) AS attempts, max(refused) AS refused FROM f GROUP BY user_id""")
+def status_histories(t: Tables) -> DataFrame:
+    """Events as attempts to change their user's status, in order of time; some name none."""
+    wanted = F.get(F.array(*map(F.lit, STATUSES)), ((F.col("event_id") * 5 + F.col("user_id")) % 9).cast("int"))
+    return histories(t.events.select("user_id", "ts", "event_id", wanted.alias("wanted")), "user_id", ["ts", "event_id"], "wanted")
+
+
+@plan("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus FROM orders WHERE (o_orderdate, o_orderkey) < (SELECT (o_orderdate, o_orderkey) FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 199) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def list_after(t: Tables) -> DataFrame:
+    """The third page of 100 by cursors: each page begins behind the last row of the one before."""
+    order, at = [("o_orderdate", False), ("o_orderkey", False)], None
+    for _ in range(2):
+        at = cursor(page_after(t.orders, order, 100, at), order)
+    return page_after(t.orders, order, 100, at).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderstatus")
 
 
 @plan("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS row_index FROM events")

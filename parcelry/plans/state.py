@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from parcelry.operators.extraction import auto_accepted, corrected
 from parcelry.operators.relational import changes, replace_children
 from parcelry.operators.verify import correction_log, decided, edited_parcels, moved, parcel_log, reprocessed, verified_fields
 from parcelry.plans.registry import plan
+from parcelry.sources.files import appended, sync_external
+from parcelry.sources.stored import Stored, delete_with_children, new_path
 from parcelry.sources.tables import Tables
 
 
@@ -106,10 +110,29 @@ def replace_children_(t: Tables) -> DataFrame:
     return replace_children(rows, new, "l_orderkey")
 
 
-@plan("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+_KEYED = (("documents", "orders", "o_orderkey"), ("fields", "events", "event_id"), ("parcels", "lineitem", "l_orderkey"), ("results", "customer", "c_custkey"), ("records", "part", "p_partkey"))
+
+
+@plan(" UNION ALL ".join(f"SELECT '{name}' AS name, {key} AS document_id, count(*) AS n FROM {table} WHERE {key} NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY {key}" for name, table, key in _KEYED))
 def cascade_delete(t: Tables) -> DataFrame:
-    gone = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    """Documents and four tables of what belongs to them, stored, less those of one status: how many rows are left of each."""
+    parent, *children = [Stored(t.spark, new_path(t.spark, name), key, 16).write(getattr(t, table).select(key)) for name, table, key in _KEYED]
+    delete_with_children(t.orders.filter("o_orderstatus = 'P'").select("o_orderkey"), parent, children)
+    left = [x.read().groupBy(F.col(x.key).alias("document_id")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "document_id", "n") for x, (name, *_) in zip((parent, *children), _KEYED, strict=True)]
+    return reduce(DataFrame.unionAll, left)
+
+
+@plan(f"""{_PARCELS}, u AS (SELECT document_id, area_unit AS unit FROM p WHERE area_unit IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, area_unit) = 1),
+a AS (SELECT document_id, parcel_id, place AS row_index, parcel_number, owner_name, area_text FROM e UNION ALL SELECT document_id, parcel_id, row_index, parcel_number, owner_name, area_text FROM p WHERE document_id % 5 <> 0)
+SELECT a.*, CASE WHEN area_text IS NOT NULL THEN coalesce(nullif(split_part(area_text, ' ', 2), ''), unit) END AS area_unit FROM a LEFT JOIN u USING (document_id)""")
+def stored_edit(t: Tables) -> DataFrame:
+    """Parcels in a stored table after their edits were written back: only the partitions of edited documents are read and rewritten."""
+    parcels, edits = _parcels(t)
+    table = Stored(t.spark, new_path(t.spark, "parcels"), "document_id", 16).write(parcels)
+    keys = edits.select("document_id").distinct()
+    old = table.read().join(keys, "document_id", "left_semi")
+    table.replace(keys, edited_parcels(old, edits))
+    return table.read().select("document_id", "parcel_id", "row_index", "parcel_number", "owner_name", "area_text", "area_unit")
 
 
 @plan("""
@@ -192,11 +215,14 @@ def ingest_anti(t: Tables) -> DataFrame:
     return d.filter("doc_id % 2 = 1").join(d.filter("doc_id % 2 = 0").select("sha"), "sha", "left_anti").select("doc_id", "sha")
 
 
-@plan("SELECT source, count(*) AS n FROM (SELECT 'A' AS source FROM supplier UNION ALL SELECT 'B' FROM supplier UNION ALL SELECT 'A' FROM nation) GROUP BY source")
+@plan("SELECT source, count(*) AS n, round(sum(balance), 2) AS balance FROM (SELECT 'A' AS source, s_acctbal AS balance FROM supplier UNION ALL SELECT 'B', s_acctbal FROM supplier UNION ALL SELECT 'A', c_acctbal FROM customer) GROUP BY source")
 def append_external(t: Tables) -> DataFrame:
-    """Snapshots are appended as they come, without merging."""
-    parts = [t.supplier.select(F.lit("A").alias("source")), t.supplier.select(F.lit("B").alias("source")), t.nation.select(F.lit("A").alias("source"))]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("source").agg(F.count("*").alias("n"))
+    """Snapshots are appended as they come, without merging; one that is pushed twice counts once."""
+    path = new_path(t.spark, "external")
+    a, b, c = t.supplier.select(F.lit("A").alias("source"), F.col("s_acctbal").alias("balance")), t.supplier.select(F.lit("B").alias("source"), F.col("s_acctbal").alias("balance")), t.customer.select(F.lit("A").alias("source"), F.col("c_acctbal").alias("balance"))
+    for push, rows in ((1, a), (2, b), (3, c), (2, b)):
+        sync_external(rows, path, push)
+    return appended(t.spark, path).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
 
 
 @plan()

@@ -54,13 +54,24 @@ def json_page(items: DataFrame, number: int, size: int, total: int) -> DataFrame
     return got.select(F.to_json(F.struct("items", F.lit(total).alias("total"), F.lit(number).alias("page"), F.lit(size).alias("size"))).alias("page"))
 
 
-def sync_external(rows: DataFrame, path: str) -> None:
-    """Appends a pushed snapshot as it comes, without merging; an empty push is refused."""
+def sync_external(rows: DataFrame, path: str, push: str | int | None = None) -> None:
+    """Appends a pushed snapshot as it comes, without merging; an empty push is refused. A push with a name replaces itself when it is sent again."""
     if rows.isEmpty():
         raise ValueError("nothing to append: the snapshot has no rows")
-    append(rows, path)
+    append(rows, path, push)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Append-only state: audit entries, corrections, external snapshots (no upsert)."""
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Append-only state: audit entries, corrections, external snapshots (no upsert).
+
+    With a batch id the rows go to a folder of that id alone, and writing them again replaces it; so a batch that was written half-way, or twice, counts once.
+    """
+    if batch is None:
+        rows.write.mode("append").parquet(f"{path}/batch=-")
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """All that was appended to a path."""
+    return spark.read.parquet(path).drop("batch")

@@ -32,6 +32,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 @dataclass
 class Stored:
     """A table in a folder, in `parts` partitions by key (null keys have one, too)."""
@@ -69,7 +74,7 @@ class Stored:
             return hit
         old = self.spark.read.parquet(self.path).filter(F.col("part").isin(hit))  # only these partitions are read
         kept = old.join(keys.select(F.col(self.key).alias("_key")).distinct(), F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
-        after = kept if rows is None else kept.unionByName(rows.select(*[c for c in old.columns if c != "part"]).withColumn("part", self.part))
+        after = kept if rows is None else kept.unionByName(rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in old.dtypes if c != "part"]).withColumn("part", self.part))
         aside = new_path(self.spark, "aside")
         after.repartition("part").write.partitionBy("part").parquet(aside)
         self._put(hit, aside, old)

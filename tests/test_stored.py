@@ -94,3 +94,67 @@ def test_hits_by_branch(spark):
     assert [(r.document_id, r.kind, r.total) for r in first] == [(1, "record", 5), (3, "parcel", 5)]
     with pytest.raises(ValueError):
         search.hits(docs, records, parcels, fields, " r ")
+
+
+def test_batches_that_are_replayed_replace_themselves(spark, tmp_path):
+    from parcelry.sources.files import append, appended, sync_external
+
+    path = str(tmp_path / "log")
+    for batch in (0, 1, 1, 0):
+        append(spark.range(10 * batch, 10 * batch + 3), path, batch)
+    assert sorted(r.id for r in appended(spark, path).collect()) == [0, 1, 2, 10, 11, 12]
+    append(spark.range(100, 102), path)
+    append(spark.range(100, 102), path)  # without a name each append counts
+    assert appended(spark, path).count() == 10
+    sync_external(spark.range(5), str(tmp_path / "e"), "monday")
+    sync_external(spark.range(4), str(tmp_path / "e"), "monday")
+    assert appended(spark, str(tmp_path / "e")).count() == 4
+
+
+def test_ingestion_survives_replays_and_half_written_batches(spark, tmp_path):
+    from parcelry.sources.files import appended
+    from parcelry.streaming.ingest import append_stream, new_documents
+
+    target = str(tmp_path / "t")
+    sink, docs = new_documents(target), lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    sink(docs((2, "a"), (1, "a"), (3, "b"), (4, None)), 0)
+    sink(docs((5, "b"), (6, "c")), 1)
+    want = {(1, "a"), (3, "b"), (4, None), (6, "c")}
+    rows = lambda: [(r.doc_id, r.text) for r in appended(spark, target).select("doc_id", "text").collect()]
+    assert set(rows()) == want and len(rows()) == 4
+    sink(docs((5, "b"), (6, "c")), 1)
+    assert set(rows()) == want and len(rows()) == 4
+    failing = docs((7, "d"), (8, "boom")).repartition(2).withColumn("doc_id", F.expr("if(text = 'boom', raise_error('lost'), doc_id)"))
+    with pytest.raises(Exception):  # noqa: B017
+        sink(failing, 2)
+    assert set(rows()) == want
+    docs((9, "half")).withColumn("sha256", F.sha2("text", 256)).write.parquet(f"{target}/batch=2")  # what a lost run may have left
+    sink(docs((7, "d"), (9, "half")), 2)
+    assert set(rows()) == want | {(7, "d"), (9, "half")} and len(rows()) == 6
+
+    source = str(tmp_path / "s")
+    docs((1, "x"), (2, "y")).write.parquet(source)
+    stream = spark.readStream.schema("doc_id long, text string").parquet(source)
+    for checkpoint in ("c1", "c2"):  # a lost checkpoint replays batch 0
+        append_stream(stream, str(tmp_path / "o"), str(tmp_path / checkpoint)).awaitTermination(120)
+    assert appended(spark, str(tmp_path / "o")).count() == 2
+
+
+def test_a_parcel_edit_touches_its_partitions_alone(spark, data):
+    from parcelry.operators.verify import edited_parcels
+    from parcelry.plans.state import _parcels
+    from parcelry.sources.tables import Tables
+
+    parcels, edits = _parcels(Tables(spark, data))
+    table = Stored(spark, new_path(spark, "parcels"), "document_id", 32).write(parcels)
+    before = files(table.path)
+    one = edits.filter("document_id = 10")
+    keys = one.select("document_id").distinct()
+    if keys.isEmpty():
+        pytest.skip("no such document")
+    new = edited_parcels(table.read().join(keys, "document_id", "left_semi"), one)
+    rows = sorted(map(str, new.select("document_id", "parcel_id", "area_text").collect()))
+    hit = table.replace(keys, new)
+    after = files(table.path)
+    assert len(hit) == 1 and {p for p in before if before[p] != after.get(p)} == {str(hit[0])}
+    assert sorted(map(str, table.read().filter("document_id = 10").select("document_id", "parcel_id", "area_text").collect())) == rows
