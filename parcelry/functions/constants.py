@@ -178,9 +178,9 @@ STROKES = "|[]()!lI/\\।ा"
 
 # Columns of the record export, the size limit of an upload, how many go up at once, and their kinds.
 RECORD_COLUMNS = (
-    "document_id", "state", "district", "tehsil", "village", "survey_number", "khasra_number", "khata_number", "owner_name", "father_or_husband_name",
-    "plot_area_value", "plot_area_unit", "plot_area_sqm", "land_classification", "ownership_type", "mutation_number", "mutation_date",
-    "registration_number", "registration_date", "record_year", "is_verified", "verified_by", "verified_at",
+    "id", "document_id", "state", "district", "tehsil", "village", "survey_number", "khasra_number", "khata_number", "plot_area_value", "plot_area_unit", "plot_area_sqm",
+    "land_classification", "owner_name", "father_or_husband_name", "ownership_type", "mutation_number", "mutation_date", "registration_number", "registration_date",
+    "record_year", "is_verified", "verified_at",
 )
 MAX_BYTES, MAX_FILES = 25 * 1024 * 1024, 20
 UPLOAD_KINDS = ("png", "jpg", "jpeg", "tif", "tiff", "webp", "pdf")
@@ -192,8 +192,11 @@ RECORD_FIELDS = (
 )
 EXTRA_FIELDS = ("pargana", "total_area", "irrigated_area", "unirrigated_area", "record_date", "encumbrance")
 
+# Fields that values are suggested for.
+SUGGESTED = ("state", "district", "tehsil", "village", "land_classification", "ownership_type", "owner_name", "father_or_husband_name", "khata_number", "record_year")
+
 # Text columns of parcels that learned corrections apply to.
-PARCEL_TEXTS = ("parcel_number", "owner_name", "possessor_name", "father_name", "land_classification", "crop", "remarks")
+PARCEL_TEXTS = ("land_classification", "crop", "owner_name", "possessor_name", "father_name", "share", "remarks")
 
 # Thresholds of confidence and similarity.
 AUTO_ACCEPT, REVIEW, DUPLICATE_SIMILARITY, OWNER_SIMILARITY = 85.0, 60.0, 90.0, 85.0

@@ -36,9 +36,11 @@ def progress(df: DataFrame, place: str, verified: Column, pending: Column, faile
     return per.withColumn("progress_pct", percent(F.col("verified"), F.col("total"), 1))
 
 
-def reliability(events: DataFrame, field: str, corrected: Column, least: int = 5) -> DataFrame:
-    """Per field with enough readings: factor between 0.7 and 1 by the share of corrections."""
-    per = events.groupBy(field).agg(F.count("*").alias("n"), F.count_if(corrected).alias("corrections")).filter(F.col("n") >= least)
+def reliability(readings: DataFrame, corrections: DataFrame, field: str, least: int = 5) -> DataFrame:
+    """Per field with enough readings (field, source) that aren't a human's: factor between 0.7 and 1 by the share of corrections (field)."""
+    n = readings.filter(F.coalesce(F.col("source") != "human", F.lit(False))).groupBy(field).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    fixed = corrections.groupBy(field).agg(F.count("*").alias("corrections"))
+    per = n.join(fixed, field, "left").withColumn("corrections", F.coalesce("corrections", F.lit(0)))
     factor = F.greatest(F.lit(0.7), F.least(F.lit(1.0), 0.7 + 0.3 * (1 - F.col("corrections") / F.col("n"))))
     return per.withColumn("factor", F.round(factor, 4))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.operators.aggregates import histogram, mean_nonzero, percent, pivoted, progress, recent_values, reliability, zero_filled
+from parcelry.operators.aggregates import histogram, mean_nonzero, percent, pivoted, progress, reliability, zero_filled
+from parcelry.operators.records import place_partials, suggestion_partials, suggestions, village_owners, village_totals
 from parcelry.plans.registry import plan
+from parcelry.sources.stored import new_path
 from parcelry.sources.tables import Tables
 
 
@@ -89,26 +91,69 @@ def owner_rollup_topk(t: Tables) -> DataFrame:
     return per.orderBy(F.desc("area"), "owner").limit(50)
 
 
-@plan("""
-WITH o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name ILIKE 'nation_7'),
-k AS (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM o UNION SELECT CAST(l_partkey AS VARCHAR) FROM lineitem JOIN o ON l_orderkey = o_orderkey)
-SELECT (SELECT count(*) FROM o) AS records, (SELECT count(*) FROM o WHERE o_orderstatus = 'F') AS verified, count(*) AS numbers, min(k) AS lowest, max(k) AS highest,
-  (SELECT round(sum(o_totalprice), 2) FROM o) AS area, (SELECT round(sum(o_totalprice) / 10000, 4) FROM o) AS area_ha FROM k""")
+_PLACES = """
+WITH r AS (SELECT o_orderkey AS document_id, r_name AS state, n_name AS district, c_mktsegment AS tehsil, 'V' || c_custkey % 7 AS village, c_name AS owner_name, CAST(o_orderkey AS VARCHAR) AS number, o_totalprice AS area, o_orderstatus = 'F' AS verified, o_orderdate, o_orderpriority
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+p AS (SELECT l_orderkey AS document_id, state, district, tehsil, village, CASE WHEN l_suppkey % 3 > 0 THEN 'Customer#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') END AS owner_name, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey AS VARCHAR) END AS number, l_extendedprice AS area FROM lineitem JOIN r ON l_orderkey = document_id),
+b AS (SELECT *, 'record' AS kind FROM (SELECT state, district, tehsil, village, owner_name, number, area, verified FROM r) UNION ALL SELECT state, district, tehsil, village, owner_name, number, area, NULL, 'parcel' FROM p)
+"""
+_TOTALS = "count(*) FILTER (kind = 'record') AS records, count(*) FILTER (kind = 'parcel') AS parcels, count(*) FILTER (verified) AS verified, count(*) FILTER (NOT verified) AS pending, count(DISTINCT number) AS khasras, min(number) AS lowest, max(number) AS highest, round(sum(area), 2) AS area_sqm, round(round(sum(area), 2) / 10000, 4) AS area_ha"
+
+
+def _places(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders as records of places (region, nation, segment, a village by customer), order lines as their parcels."""
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    village = F.concat(F.lit("V"), (F.col("c_custkey") % 7).cast("string"))
+    r = j.select(
+        F.col("o_orderkey").alias("document_id"), F.col("r_name").alias("state"), F.col("n_name").alias("district"), F.col("c_mktsegment").alias("tehsil"), village.alias("village"), F.col("c_name").alias("owner_name"), F.col("o_orderkey").cast("string").alias("khasra_number"),
+        F.col("o_totalprice").alias("plot_area_sqm"), (F.col("o_orderstatus") == "F").alias("is_verified"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("land_classification"),
+    )
+    owner = F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("Customer#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")))
+    p = t.lineitem.select(F.col("l_orderkey").alias("document_id"), owner.alias("owner_name"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey").cast("string")).alias("parcel_number"), F.col("l_extendedprice").alias("area_sqm"))
+    return r, p
+
+
+@plan(f"""{_PLACES}, h AS (SELECT state, district, tehsil FROM r WHERE village ILIKE 'v3' ORDER BY document_id LIMIT 1)
+SELECT 'v3' AS village, h.*, s.* FROM h, (SELECT {_TOTALS} FROM b WHERE village ILIKE 'v3') s""")
 def village_summary(t: Tables) -> DataFrame:
-    """One place, found by name ignoring case: counts, distinct numbers of records and parcels, their order as text."""
-    place = t.nation.filter(F.ilike("n_name", F.lit("nation_7")))
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(place, F.col("c_nationkey") == F.col("n_nationkey"))
-    numbers = o.select(F.col("o_orderkey").cast("string").alias("k")).union(t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").cast("string"))).distinct()
-    head = o.agg(F.count("*").alias("records"), F.count_if(F.col("o_orderstatus") == "F").alias("verified"), F.round(F.sum("o_totalprice"), 2).alias("area"), F.round(F.sum("o_totalprice") / 10000, 4).alias("area_ha"))
-    return head.join(F.broadcast(numbers.agg(F.count("*").alias("numbers"), F.min("k").alias("lowest"), F.max("k").alias("highest"))))  # one row each
+    """One village by name, ignoring case: header of its first record, counts, different numbers, and the area of records and parcels."""
+    r, p = _places(t)
+    here = F.ilike("village", F.lit("v3"))
+    head = r.filter(here).agg(F.min_by(F.struct("state", "district", "tehsil"), "document_id").alias("h")).filter("h is not null").select(F.lit("v3").alias("village"), "h.*")
+    return head.join(F.broadcast(village_totals(place_partials(r.filter(here), p), [])))  # one row each
 
 
-@plan("""
-WITH v AS (SELECT 'o_orderpriority' AS field, o_orderpriority AS value, max(o_orderdate) AS last_used FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, max(o_orderdate) FROM orders GROUP BY 2)
-SELECT field, value, strftime(last_used, '%Y-%m-%d') AS last_used FROM v QUALIFY row_number() OVER (PARTITION BY field ORDER BY v.last_used DESC, value) <= 4""")
+@plan(f"""{_PLACES} SELECT owner_name, count(*) AS records, round(coalesce(sum(area), 0), 2) AS area_sqm FROM b WHERE village ILIKE 'v3' AND owner_name IS NOT NULL GROUP BY owner_name ORDER BY area_sqm DESC, owner_name LIMIT 50""")
+def village_owner_list(t: Tables) -> DataFrame:
+    r, p = _places(t)
+    return village_owners(place_partials(r.filter(F.ilike("village", F.lit("v3"))), p))
+
+
+@plan(" UNION ALL ".join(f"SELECT * FROM ({_PLACES} SELECT {i} AS level, state, {'district' if i > 1 else 'NULL'} AS district, {'tehsil' if i > 2 else 'NULL'} AS tehsil, {_TOTALS} FROM b GROUP BY {', '.join(('state', 'district', 'tehsil')[:i])})" for i in (1, 2, 3)))
+def place_levels(t: Tables) -> DataFrame:
+    """Totals of states, districts and tehsils from one stored table of partials."""
+    path = new_path(t.spark, "places")
+    place_partials(*_places(t)).write.parquet(path)
+    held = t.spark.read.parquet(path)
+    none = F.lit(None).cast("string")
+
+    def level(i: int) -> DataFrame:
+        by = ["state", "district", "tehsil"][:i]
+        got = village_totals(held, by)
+        return got.select(F.lit(i).alias("level"), *[F.col(c) if c in by else none.alias(c) for c in ("state", "district", "tehsil")], *got.columns[i:])
+
+    return level(1).unionByName(level(2)).unionByName(level(3))
+
+
+@plan(f"""{_PLACES}, v AS (SELECT 'state' AS field, state AS value, o_orderdate FROM r UNION ALL SELECT 'district', district, o_orderdate FROM r WHERE state = (SELECT min(r_name) FROM region) UNION ALL SELECT 'tehsil', tehsil, o_orderdate FROM r WHERE state = (SELECT min(r_name) FROM region)
+  UNION ALL SELECT 'village', village, o_orderdate FROM r WHERE state = (SELECT min(r_name) FROM region) AND tehsil = 'BUILDING' UNION ALL SELECT 'owner_name', owner_name, o_orderdate FROM r WHERE state = (SELECT min(r_name) FROM region) UNION ALL SELECT 'land_classification', o_orderpriority, o_orderdate FROM r WHERE state = (SELECT min(r_name) FROM region))
+SELECT field, value, strftime(max(o_orderdate), '%Y-%m-%d') AS last_used, row_number() OVER (PARTITION BY field ORDER BY max(o_orderdate) DESC, value) AS place FROM v GROUP BY field, value QUALIFY place <= 15""")
 def suggestions_recency(t: Tables) -> DataFrame:
-    found = recent_values(t.orders, ["o_orderpriority", "o_orderstatus"], "o_orderdate", 4)
-    return found.select("field", "value", F.date_format("last_used", "yyyy-MM-dd").alias("last_used"))
+    """Values last used in one state, and villages of one of its tehsils, from partials that serve every jurisdiction."""
+    columns = ("state", "district", "tehsil", "village", "owner_name", "land_classification")
+    state = t.region.agg(F.min("r_name")).first()[0]
+    found = suggestions(suggestion_partials(_places(t)[0], columns), state=state, tehsil="BUILDING")
+    return found.select("field", "value", F.date_format("last_used", "yyyy-MM-dd").alias("last_used"), "place")
 
 
 @plan("""
@@ -139,9 +184,12 @@ def distinct_options(t: Tables) -> DataFrame:
 
 
 @plan("""
-SELECT event_type, count(*) AS n, count(*) FILTER (value < 20) AS corrections, round(greatest(0.7, least(1.0, 0.7 + 0.3 * (1 - count(*) FILTER (value < 20) / count(*)))), 4) AS factor FROM events GROUP BY event_type HAVING count(*) >= 5""")
+WITH n AS (SELECT event_type, count(*) FILTER (user_id % 4 <> 1) AS n FROM events GROUP BY 1), c AS (SELECT event_type, count(*) AS corrections FROM events WHERE value < 20 GROUP BY 1)
+SELECT event_type, n, coalesce(corrections, 0) AS corrections, round(greatest(0.7, least(1.0, 0.7 + 0.3 * (1 - coalesce(corrections, 0) / n))), 4) AS factor FROM n LEFT JOIN c USING (event_type) WHERE n >= 5""")
 def reliability_(t: Tables) -> DataFrame:
-    return reliability(t.events, "event_type", F.col("value") < 20)
+    """Readings that aren't a human's, and corrections, per kind of event."""
+    source = F.when(F.col("user_id") % 4 == 1, "human").otherwise("rule")
+    return reliability(t.events.select("event_type", source.alias("source")), t.events.filter("value < 20"), "event_type")
 
 
 @plan("""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelry.functions.constants import STATUSES
 from parcelry.operators.extraction import auto_accepted, corrected
+from parcelry.operators.records import built_parcels, records_of
 from parcelry.operators.relational import changes, replace_children
 from parcelry.operators.verify import correction_log, decided, edited_parcels, moved, parcel_log, reprocessed, verified_fields
 from parcelry.plans.registry import plan
@@ -183,27 +184,67 @@ def metadata_injection(t: Tables) -> DataFrame:
     return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id", F.lit("district").alias("field_name"), F.col("source").alias("value"), F.lit(100.0).alias("confidence"))
 
 
-@plan("SELECT o_orderkey, coalesce(nullif(o_orderpriority, ''), 'none') AS state, round(coalesce(sum(l_extendedprice), o_totalprice), 2) AS area FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_totalprice")
+_RECORD = """
+WITH f AS (SELECT o_orderkey AS document_id, ['owner_name', 'village', 'khasra_number', 'plot_area', 'total_area', 'pargana', 'state', 'record_year'][i] AS field_name,
+  [CASE WHEN o_orderkey % 3 = 0 THEN 'Owner ' || o_custkey END, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END, CASE WHEN o_orderkey % 5 < 2 THEN o_custkey || ' ha' WHEN o_orderkey % 5 = 2 THEN 'unread' END,
+   CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || ' acre' END, CASE WHEN o_orderkey % 7 = 0 THEN 'P' || o_custkey ELSE '' END, 'read', CAST(year(o_orderdate) AS VARCHAR)][i] AS v,
+  CASE WHEN o_orderkey % 11 = 0 AND i IN (1, 8) THEN 'fixed' WHEN o_orderkey % 13 = 0 AND i = 5 THEN '7 acre' END AS c FROM orders, range(1, 9) t(i)),
+w AS (SELECT document_id, max(CASE WHEN field_name = 'owner_name' THEN coalesce(c, v) END) AS owner, max(CASE WHEN field_name = 'village' THEN v END) AS village, max(CASE WHEN field_name = 'khasra_number' THEN v END) AS khasra, max(CASE WHEN field_name = 'plot_area' THEN v END) AS plot,
+  max(CASE WHEN field_name = 'total_area' THEN coalesce(c, v) END) AS total, max(CASE WHEN field_name = 'pargana' THEN v END) AS pargana, max(CASE WHEN field_name = 'state' THEN v END) AS state, max(CASE WHEN field_name = 'record_year' THEN coalesce(c, v) END) AS record_year FROM f GROUP BY 1),
+p AS (SELECT l_orderkey AS document_id, count(*) AS n, CAST(arg_min(l_partkey, (l_linenumber, CAST(l_partkey AS VARCHAR))) AS VARCHAR) AS first, CAST(arg_max(l_partkey, (l_linenumber, CAST(l_partkey AS VARCHAR))) AS VARCHAR) AS last, count(DISTINCT l_suppkey) AS o, CAST(min(l_suppkey) AS VARCHAR) AS one, round(sum(l_quantity), 2) AS area FROM lineitem GROUP BY 1),
+a AS (SELECT document_id, CASE WHEN plot LIKE '% ha' THEN plot WHEN total <> '' THEN total END AS t FROM w)
+SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus = 'F' THEN 'given' ELSE state END AS state, village, CASE WHEN khasra <> '' THEN khasra WHEN n = 1 THEN first ELSE first || '-' || last END AS khasra_number,
+  CASE WHEN owner IS NOT NULL THEN owner WHEN o = 1 THEN one ELSE o || ' owners' END AS owner_name, record_year, CAST(split_part(t, ' ', 1) AS DOUBLE) AS plot_area_value, split_part(t, ' ', 2) AS plot_area_unit,
+  coalesce(nullif(round(CAST(split_part(t, ' ', 1) AS DOUBLE) * CASE WHEN t LIKE '% ha' THEN 10000 ELSE 4046.86 END, 2), 0), area)::DOUBLE AS plot_area_sqm,
+  CASE WHEN pargana <> '' OR total <> '' THEN '{' || concat_ws(',', '"pargana":"' || nullif(pargana, '') || '"', '"total_area":"' || nullif(total, '') || '"') || '}' END AS extra
+FROM orders JOIN w ON document_id = o_orderkey LEFT JOIN a USING (document_id) LEFT JOIN p USING (document_id)"""
+
+
+def _readings(t: Tables) -> DataFrame:
+    """Eight fields of each order, some unread, some blank, some corrected, each also in a less confident reading."""
+    k, c, no = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.lit(None).cast("string")
+    kinds = (
+        ("owner_name", F.when(k % 3 == 0, F.concat(F.lit("Owner "), c)), F.when(k % 11 == 0, "fixed")), ("village", F.col("o_orderpriority"), no), ("khasra_number", F.when(k % 4 == 0, c).otherwise(""), no),
+        ("plot_area", F.when(k % 5 < 2, F.concat(c, F.lit(" ha"))).when(k % 5 == 2, "unread"), no), ("total_area", F.when(k % 2 == 0, F.concat(c, F.lit(" acre"))), F.when(k % 13 == 0, "7 acre")),
+        ("pargana", F.when(k % 7 == 0, F.concat(F.lit("P"), c)).otherwise(""), no), ("state", F.lit("read"), no), ("record_year", F.year("o_orderdate").cast("string"), F.when(k % 11 == 0, "fixed")),
+    )
+    best = [F.struct(F.lit(n).alias("field_name"), v.alias("normalized_value"), x.alias("corrected_value"), F.lit(90.0).alias("confidence")) for n, v, x in kinds]
+    worse = [F.struct(F.lit(n).alias("field_name"), F.when(v.isNotNull(), "worse").alias("normalized_value"), no.alias("corrected_value"), F.lit(20.0).alias("confidence")) for n, v, _ in kinds]
+    return t.orders.select(k.alias("document_id"), F.explode(F.array(*best, *worse)).alias("f")).select("document_id", "f.*")
+
+
+@plan(_RECORD)
 def record_upsert(t: Tables) -> DataFrame:
-    """The record of each document: its parcels' total, else the stated one."""
-    total = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("total"))
-    return t.orders.join(total, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.nullif("o_orderpriority", F.lit("")), F.lit("none")).alias("state"), F.round(F.coalesce("total", "o_totalprice"), 2).alias("area"))
+    """Records from readings and parcels: corrections first, area and names from parcels where no field has them, the rest in extra."""
+    documents = t.orders.select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "given").otherwise("").alias("state"), F.lit(None).cast("string").alias("district"))
+    parcels = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("row_index"), F.col("l_partkey").cast("string").alias("parcel_number"), F.col("l_suppkey").cast("string").alias("owner_name"), F.col("l_quantity").alias("area_sqm"))
+    r = records_of(documents, _readings(t), parcels)
+    return r.select("document_id", "state", "village", "khasra_number", "owner_name", "record_year", "plot_area_value", "plot_area_unit", "plot_area_sqm", F.to_json("extra").alias("extra"))
 
 
-@plan("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax > 0 THEN 'ha' ELSE 'acre' END AS unit, round(l_quantity * CASE WHEN l_tax > 0 THEN 10000 ELSE 4046.86 END, 2)::DOUBLE AS area_sqm, l_quantity * 2 < 85 AS needs_review FROM lineitem")
+@plan("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 3 WHEN 0 THEN l_quantity::INT || ' acre' WHEN 1 THEN CAST(l_quantity::INT AS VARCHAR) END AS area_text, CASE WHEN l_suppkey % 2 = 0 THEN 'ha' END AS hint,
+  CASE WHEN l_suppkey % 5 = 0 THEN 'Wheat' WHEN l_suppkey % 5 = 1 THEN 'rice' ELSE 'grm ' END AS crop, [x for x in [l_quantity * 2, l_suppkey % 4 * 25, 0] if x > 0] AS sure FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, area_text, CASE WHEN area_text LIKE '% acre' THEN 'acre' WHEN area_text IS NOT NULL THEN hint END AS unit,
+  round(CAST(split_part(area_text, ' ', 1) AS DOUBLE) * CASE WHEN area_text LIKE '% acre' THEN 4046.86 WHEN hint = 'ha' THEN 10000 END, 2)::DOUBLE AS area_sqm, CASE crop WHEN 'grm ' THEN 'gram' WHEN 'Wheat' THEN 'gehun' ELSE crop END AS crop,
+  round(list_sum(sure) / len(sure), 1) AS confidence, round(list_sum(sure) / len(sure), 1) < 85 AS needs_review FROM r""")
 def parcel_builder(t: Tables) -> DataFrame:
-    """Parcels from table rows: a figure without a unit takes its table's unit."""
-    from parcelry.functions.area import parse_area
-
-    unit = F.when(F.col("l_tax") > 0, "ha").otherwise("acre")
-    area = parse_area(F.concat(F.col("l_quantity").cast("string"), F.lit(" "), unit))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", area["unit"].alias("unit"), area["sqm"].alias("area_sqm"), (F.col("l_quantity") * 2 < 85).alias("needs_review"))
+    """Parcels from table rows: bare figures take their heading's unit, crops are corrected by what reviewers did, cells' confidences are averaged."""
+    q, s = F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey")
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("document_id"), F.struct("l_linenumber", "l_partkey", s.alias("s")).alias("row_index"), F.col("l_partkey").cast("string").alias("parcel_number"), F.when(F.col("l_partkey") % 3 == 0, F.concat(q, F.lit(" acre"))).when(F.col("l_partkey") % 3 == 1, q).alias("area"),
+        F.lit(None).cast("string").alias("area_unit"), F.when(s % 2 == 0, "ha").alias("unit_hint"), F.when(s % 5 == 0, "Wheat").when(s % 5 == 1, "rice").otherwise("grm ").alias("crop"),
+        F.create_map(F.lit("area"), F.col("l_quantity") * 2.0, F.lit("crop"), (s % 4 * 25).cast("double"), F.lit("share"), F.lit(0.0)).alias("confidences"),
+    )
+    lexicon = t.spark.createDataFrame([("crop", "grm", "gram", 1), ("crop", "wheat", "old", 2), ("crop", " WHEAT", "gehun", 3)], "field_name string, ocr_value string, corrected_value string, id int")
+    p = built_parcels(rows, lexicon)
+    return p.select(F.col("document_id").alias("l_orderkey"), "row_index.l_linenumber", "row_index.l_partkey", "area_text", F.col("area_unit").alias("unit"), "area_sqm", "crop", "confidence", "needs_review")
 
 
-@plan("SELECT i AS document, j AS parcel, 100 + 7 * i + 3 * j AS khasra, 2 + j % 4 AS bigha, 5 + (3 * j) % 15 AS biswa, round((2 + j % 4) * 2529.28 + (5 + (3 * j) % 15) * 126.46, 1)::DOUBLE AS sqm FROM range(200) a(i), range(6) b(j) WHERE j < 5 + i % 2")
+@plan("SELECT o_orderkey AS document, j AS parcel, 100 + 7 * o_orderkey + 3 * j AS khasra, 2 + j % 4 AS bigha, 5 + (3 * j) % 15 AS biswa, round((2 + j % 4) * 2529.28 + (5 + (3 * j) % 15) * 126.46, 1)::DOUBLE AS sqm FROM orders, range(6) b(j) WHERE j < 5 + o_orderkey % 2")
 def bulk_generate(t: Tables) -> DataFrame:
-    """Demo parcels by formula: five or six per document, by parity."""
-    r = t.spark.range(200).select(F.col("id").alias("document"), F.explode(F.sequence(F.lit(0).cast("long"), 4 + F.col("id") % 2)).alias("parcel"))
+    """Demo parcels of all orders by formula: five or six per document, by parity."""
+    r = t.orders.select(F.col("o_orderkey").alias("document"), F.explode(F.sequence(F.lit(0).cast("long"), 4 + F.col("o_orderkey") % 2)).alias("parcel"))
     bigha, biswa = 2 + F.col("parcel") % 4, 5 + (3 * F.col("parcel")) % 15
     return r.select("document", "parcel", (100 + 7 * F.col("document") + 3 * F.col("parcel")).alias("khasra"), bigha.alias("bigha"), biswa.alias("biswa"), F.round(bigha * 2529.28 + biswa * 126.46, 1).alias("sqm"))
 

@@ -35,12 +35,17 @@ def new_files(found: DataFrame, catalog: DataFrame) -> DataFrame:
     return per.join(catalog.select("sha256"), "sha256", "left_anti").select("sha256", "f.*")
 
 
-def write_csv(records: DataFrame, path: str, state: str | None = None, district: str | None = None) -> None:
-    """Verified records with a header, in the fixed column order; null is empty."""
+def export_rows(records: DataFrame, state: str | None = None, district: str | None = None) -> DataFrame:
+    """Verified records in the fixed columns and order of the export, all as text; what a table lacks is empty."""
     from parcelry.operators.relational import optional_filters
 
     some = optional_filters(records.filter("is_verified"), state=state, district=district)
-    some.select(*[c for c in RECORD_COLUMNS if c in records.columns]).write.option("header", True).option("nullValue", "").csv(path)
+    return some.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in records.columns else F.lit("")).alias(c) for c in RECORD_COLUMNS])
+
+
+def write_csv(records: DataFrame, path: str, state: str | None = None, district: str | None = None) -> None:
+    """The export with a header, as CSV; null is empty."""
+    export_rows(records, state, district).write.option("header", True).option("emptyValue", "").csv(path)
 
 
 def feature(geometry: Column, properties: list[str]) -> Column:
