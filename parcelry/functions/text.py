@@ -187,14 +187,22 @@ def safe_filename(name: Column) -> Column:
     return F.coalesce(blank_to_null(base), F.lit("document"))
 
 
+def _packs(codes: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in (("en", "eng"), ("hi", "hin"), ("mr", "mar"), ("ne", "nep"), ("sa", "san")) for x in kv])
+    return F.transform(codes, lambda c: F.coalesce(F.try_element_at(names, c), c))
+
+
 def language_packs(codes: Column, installed: tuple[str, ...]) -> Column:
     """Codes as packs, those installed, with eng last; repeats keep their first place."""
-    names = F.create_map(*[F.lit(x) for kv in (("en", "eng"), ("hi", "hin"), ("mr", "mar"), ("ne", "nep"), ("sa", "san")) for x in kv])
-    packs = F.transform(codes, lambda c: F.coalesce(F.try_element_at(names, c), c))
-    here = F.array_distinct(F.array_intersect(packs, F.array(*map(F.lit, installed))))
+    here = F.array_distinct(F.array_intersect(_packs(codes), F.array(*map(F.lit, installed))))
     return F.array_distinct(F.concat(here, F.array(F.lit("eng"))))
 
 
+def missing_packs(codes: Column, installed: tuple[str, ...]) -> Column:
+    """The packs asked for that aren't installed, in order, repeats and all; blanks don't count."""
+    return F.filter(_packs(codes), lambda p: F.coalesce((p != "") & ~p.isin(*installed), F.lit(False)))
+
+
 def language_orderings(packs: Column) -> Column:
     """[packs] if there is one, else [packs, reversed packs], each joined by '+'."""
     joined = F.array_join(packs, "+")

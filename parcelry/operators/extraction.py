@@ -269,6 +269,12 @@ def agreement_summary(states: DataFrame) -> DataFrame:
     return per.withColumn("verification_rate", F.round(100 * F.col("agree") / F.col("compared"), 1))
 
 
+def disagreements(states: DataFrame) -> DataFrame:
+    """document_id, field, primary_value, shadow_value, shadow_source of each field whose two readings disagree; metadata doesn't count. One row each, so no document's are gathered."""
+    some = states.filter(~F.col("source").eqNullSafe("metadata") & (F.col("state") == "disagree"))
+    return some.select("document_id", F.col("field_name").alias("field"), F.col("value").alias("primary_value"), "shadow_value", "shadow_source")
+
+
 def _pieces(text: Column, cutoff: float) -> Column:
     """A text in so many pieces that one of them stands unchanged in every text of at least the cutoff's ratio.
 

@@ -240,16 +240,39 @@ def plausible_dates(fields: DataFrame, this_year: int) -> DataFrame:
     return outcome(some, "R12", ok, "warning", F.col("field_name"), message)
 
 
+def crashed(records: DataFrame, rule_id: str, why: Exception) -> DataFrame:
+    """One failed warning for each record in place of a rule's outcomes."""
+    first = str(why).strip().partition("\n")[0][:500]
+    return outcome(records, rule_id, F.lit(False), "warning", None, f"Rule crashed: {first}")
+
+
 def validate(**inputs) -> DataFrame:
-    """The outcomes of all registered rules; inputs are the tables that they name.
+    """The outcomes of all registered rules as one plan; inputs are the tables that they name.
 
-    A rule that can't be planned over its inputs must not block the others: it gives each record one failed warning.
+    A rule that can't be planned over its inputs doesn't block the others: it gives each record one failed warning. One that raises in a task fails the
+    whole plan; validate_to keeps such rules apart.
     """
     found = None
     for rule_id, (f, names) in RULES.items():
         try:
             one = f(*[inputs[n] for n in names])
         except Exception as why:  # noqa: BLE001
-            one = outcome(inputs["records"], rule_id, F.lit(False), "warning", None, f"Rule crashed: {why}"[:500])
+            one = crashed(inputs["records"], rule_id, why)
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def validate_to(path: str, **inputs) -> DataFrame:
+    """The outcomes of all registered rules, each run and written by itself to a folder of path, and read back.
+
+    A rule that raises, when it is planned or in a task, leaves one failed warning for each record, and the others' outcomes stay. Writing again replaces each rule's
+    folder, so a validation that was cut off is run again as a whole.
+    """
+    for rule_id, (f, names) in RULES.items():
+        target = f"{path}/rule={rule_id}"
+        try:
+            f(*[inputs[n] for n in names]).select(*OUTCOME).write.mode("overwrite").parquet(target)
+        except Exception as why:  # noqa: BLE001  (a broken rule must never block the others)
+            crashed(inputs["records"], rule_id, why).write.mode("overwrite").parquet(target)
+    schema = crashed(inputs["records"], "", ValueError()).schema
+    return inputs["records"].sparkSession.read.schema(schema).parquet(path)

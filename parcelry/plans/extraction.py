@@ -180,6 +180,17 @@ def agreement_summary(t: Tables) -> DataFrame:
     return ex.agreement_summary(rows)
 
 
+@plan("SELECT event_id AS document_id, event_type AS field, CAST(value AS VARCHAR) AS primary_value, 'read ' || user_id AS shadow_value, CASE WHEN event_id % 2 = 0 THEN 'page' END AS shadow_source FROM events WHERE event_id % 5 = 1 AND event_id % 7 <> 0")
+def disagreement_details(t: Tables) -> DataFrame:
+    """Which fields of events two readings disagree on, and what each read."""
+    n = F.col("event_id") % 5
+    rows = t.events.select(
+        F.col("event_id").alias("document_id"), F.col("event_type").alias("field_name"), F.when(F.col("event_id") % 7 == 0, "metadata").otherwise("rule").alias("source"), F.when(n.isin(0, 3), "agree").when(n == 1, "disagree").when(n == 2, "only_shadow").alias("state"),
+        F.col("value").cast("string").alias("value"), F.concat(F.lit("read "), F.col("user_id").cast("string")).alias("shadow_value"), F.when(F.col("event_id") % 2 == 0, "page").alias("shadow_source"),
+    )
+    return ex.disagreements(rows)
+
+
 _NAMES = ("parcel_number", "owner_name", "area", "crop", "share", "remarks", "khata_number", "possessor_name")
 
 

@@ -127,6 +127,13 @@ def lang_orderings(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(packs, ",").alias("packs"), F.array_join(tx.language_orderings(packs), ",").alias("orders"))
 
 
+@plan("SELECT doc_id, array_to_string([CASE x WHEN 'en' THEN 'eng' WHEN 'hi' THEN 'hin' WHEN 'sa' THEN 'san' ELSE x END for x in [lang, 'hi', '', source, lang, 'sa'] if x <> '' AND x NOT IN ('en', 'fr', 'sa', 'src1')], ',') AS missing FROM documents")
+def missing_languages(t: Tables) -> DataFrame:
+    """The packs that each document asks for and that aren't installed."""
+    asked = F.array("lang", F.lit("hi"), F.lit(""), "source", "lang", F.lit("sa"))
+    return t.documents.select("doc_id", F.array_join(tx.missing_packs(asked, ("eng", "fr", "san", "src1")), ",").alias("missing"))
+
+
 @plan("SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 10000.0 WHEN 1 THEN p_size * 4046.86 ELSE p_size * 2529.0 + 5 * 126.45 END, 2)::DOUBLE AS sqm FROM part")
 def compound_area(t: Tables) -> DataFrame:
     """Corrected readings: figures without letters are hectares, and all parts of a compound area count."""

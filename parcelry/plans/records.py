@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.functions.constants import STATUSES
+from parcelry.functions.constants import RECORD_COLUMNS, STATUSES
 from parcelry.operators import search
 from parcelry.operators import sequences as seq
 from parcelry.operators.histories import histories
 from parcelry.operators.relational import any_contains, cursor, duplicates_of, fan_out, optional_filters, outside_band, page, page_after, same_text, scoped
 from parcelry.operators.verify import TRANSITIONS
 from parcelry.plans.registry import plan
-from parcelry.sources.files import feature
+from parcelry.sources.files import export_rows, feature, paged
 from parcelry.sources.stored import new_path
 from parcelry.sources.tables import Tables
 
@@ -222,10 +222,18 @@ def cap_candidates(t: Tables) -> DataFrame:
     return t.documents.filter("lang = 'en'").orderBy("doc_id").limit(500).select("doc_id")
 
 
-@plan("SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day, coalesce(nullif(o_orderpriority, ''), '') AS priority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+_EXPORTED = {"id": "CAST(o_orderkey AS VARCHAR)", "document_id": "CAST(o_custkey AS VARCHAR)", "state": "o_orderpriority", "owner_name": "CASE WHEN o_custkey % 3 > 0 THEN c_name ELSE '' END", "khasra_number": "o_custkey || '/' || o_orderkey", "mutation_date": "strftime(o_orderdate, '%Y-%m-%d')", "record_year": "CAST(year(o_orderdate) AS VARCHAR)", "is_verified": "'true'"}
+
+
+@plan("SELECT " + ", ".join(_EXPORTED.get(c, "''") + f" AS {c}" for c in RECORD_COLUMNS) + " FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def export_csv_shape(t: Tables) -> DataFrame:
-    some = optional_filters(t.orders.filter("o_orderstatus = 'F'"), o_orderpriority="1-URGENT")
-    return some.select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.coalesce("o_orderpriority", F.lit("")).alias("priority"))
+    """The 23 columns of the export, of one state's verified records; what is null or not there is empty."""
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    records = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("state"), F.when(F.col("o_custkey") % 3 > 0, F.col("c_name")).alias("owner_name"), F.concat_ws("/", "o_custkey", "o_orderkey").alias("khasra_number"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("mutation_date"), F.year("o_orderdate").alias("record_year"), (F.col("o_orderstatus") == "F").alias("is_verified"),
+    )
+    return export_rows(records, state="1-URGENT")
 
 
 @plan("""SELECT c_custkey, '{"type":"Feature","geometry":null,"properties":{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}}' AS feature FROM customer""")
@@ -233,15 +241,12 @@ def geojson_features(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", feature(F.lit(None).cast("struct<type:string,coordinates:array<double>>"), ["c_name", "c_mktsegment"]).alias("feature"))
 
 
-@plan("SELECT o_orderstatus, CAST(count(*) AS VARCHAR) AS total, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (place <= 50) AS items FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS place FROM orders) GROUP BY o_orderstatus")
+@plan("""WITH p AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 5 > 0 THEN o_orderpriority END AS priority, o_orderdate FROM orders WHERE o_orderstatus = 'F'), q AS (SELECT * FROM p ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40)
+SELECT '{"items":[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"priority":' || coalesce('"' || priority || '"', 'null') || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d') || '"}', ',' ORDER BY o_orderdate DESC, o_orderkey) || '],"total":' || (SELECT count(*) FROM p) || ',"page":3,"size":20}' AS page FROM q""")
 def json_page(t: Tables) -> DataFrame:
-    """Of each status the count and the first page, 50 orders: only those are gathered."""
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderkey"))
-    pages = t.orders.select("o_orderstatus", "o_orderkey", place.alias("place")).filter("place <= 50").groupBy("o_orderstatus").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
-    totals = t.orders.groupBy("o_orderstatus").agg(F.count("*").cast("string").alias("total"))
-    return totals.join(pages, "o_orderstatus").select("o_orderstatus", "total", F.array_join(F.transform("k", lambda k: k.cast("string")), ",").alias("items"))
+    """The third page of a status as one text: items, total, page, size."""
+    some = optional_filters(t.orders, o_orderstatus="F").select("o_orderkey", "o_custkey", F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderpriority")).alias("priority"), F.to_date("o_orderdate").alias("o_orderdate"))
+    return paged(some, [("o_orderdate", False), ("o_orderkey", True)], 3, 20)
 
 
 @plan("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, json_extract_string(props, '$.absent') AS absent FROM events")

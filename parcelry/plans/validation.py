@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelry.operators import rules
 from parcelry.plans.registry import plan
+from parcelry.sources.stored import new_path
 from parcelry.sources.tables import Tables
 
 
@@ -142,11 +143,11 @@ def cross_db(t: Tables) -> DataFrame:
 
 @plan()
 def all_rules(t: Tables) -> DataFrame:
-    """How often each registered rule passed and failed."""
+    """How often each registered rule passed and failed, each run and written by itself."""
     r = _records(t)
     dates = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("mutation_date", "registration_date")])).alias("f")
     fields = r.select("document_id", "plot_area_sqm", dates).select("document_id", "f.*", (F.col("plot_area_sqm") % 100).alias("confidence"))
-    found = rules.validate(records=r, parcels=_parcels(t), fields=fields, hashes=_hashes(t), external=_external(t), this_year=1996)
+    found = rules.validate_to(new_path(t.spark, "validation"), records=r, parcels=_parcels(t), fields=fields, hashes=_hashes(t), external=_external(t), this_year=1996)
     return found.groupBy("rule_id", "severity", "passed").agg(F.count("*").alias("n")).orderBy("rule_id", "severity", "passed")
 
 
