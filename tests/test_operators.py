@@ -100,8 +100,6 @@ def test_corrections_exact_before_similar(spark):
 def test_sequences(spark):
     df = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (1, 3, 9.0), (2, 1, None)], "k int, i int, v double")
     assert {(r.k, r.i) for r in seq.argmax_per_key(df, ["k"], "v", ["i"]).collect()} == {(1, 3), (2, 1)}
-    arr = spark.createDataFrame([([1.0, 2.0, 10.0, 11.0, 3.0],), ([],)], "v array<double>")
-    assert [r.g for r in arr.select(seq.collapse_close(F.col("v"), 1.6).alias("g")).collect()] == [[2.0, 10.5], []]
 
 
 def test_paging_scope_and_changes(spark):
