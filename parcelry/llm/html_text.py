@@ -4,7 +4,8 @@ A page is read once through the standard library's event parser. Every block of
 within it and the elements around it. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 are marked. What a word of a class, id or role marks keeps its text until the whole page is read, as such words also name
 wrappers of the article: see `excluding`. The text-to-tag ratio per line, smoothed with a Gaussian kernel, is split by a threshold between two
-clusters; the region that holds most of the upper cluster's characters is the article. All its unmarked lines
+clusters. Where articles or mains hold most of the upper cluster's characters, the largest is the article, with its siblings of some size. Else the cluster alone decides: from the
+page's root on, into the element that holds nearly all of its characters, as long as there is one. All unmarked lines of the article
 are kept, whatever their own ratio, so that short paragraphs between long ones stay.
 """
 
@@ -44,18 +45,32 @@ CLOSES = {"p": ("p",), "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 #: Words that mark nothing inside an article or main, where they name its own heading.
 HEADING = frozenset(("header", "masthead", "banner"))
+#: Words that name a container: beside a mark in a class, they leave it one.
+CONTAINERS = frozenset("area bar block bottom box btn button buttons container content group icon icons inner item items left link links list outer panel post posts right section slot stories top unit wrap wrapper".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _STOP = re.compile(r"[>\"']")
-#: Marks within marks that are told apart; deeper ones go with the mark around them.
+#: Marks within marks, and articles within articles, that are told apart; the text of deeper ones goes with the one around them.
 DEEPEST = 32
+#: Of the characters that count, the share that an element must hold for the article to lie in it; and of the largest article's, what its siblings must have.
+NEARLY_ALL, SIBLING = 0.8, 0.25
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def marking(key: str, value: str, inside: bool) -> bool:
-    """Whether a class, id or role marks its element; an id within an article only by its last word, as others name sections."""
-    found = [w for w in _SPLIT.split(value.lower()) if w]
-    if inside:
-        found = [w for w in (found[-1:] if key == "id" else found) if w not in HEADING]
-    return not MARKS.isdisjoint(found)
+    """Whether a class, id or role marks its element.
+
+    Within an article an id does only by its last word, and a class only if one of its names has a mark and else no words but marks, containers and numbers ("related-posts", not
+    "related-work"), as other names are those of sections.
+    """
+    if not inside:
+        return not MARKS.isdisjoint(w for w in _SPLIT.split(value.lower()) if w)
+    for name in value.lower().split():
+        found = [w for w in _SPLIT.split(name) if w and w not in HEADING]
+        if key == "id":
+            found = found[-1:]
+        if not MARKS.isdisjoint(found) and all(w in MARKS or w in CONTAINERS or w.isdigit() for w in found):
+            return True
+    return False
 
 
 def tag_end(html: str, start: int, gone: set[str]) -> int:
@@ -122,7 +137,7 @@ _NAME = re.compile(r"[^\s/>]+")
 
 
 class _Lines(HTMLParser):
-    """Collects (pieces, hidden, tags, regions) per line; dropped text isn't kept.
+    """Collects (pieces, hidden, tags, regions, block, linked) per line; dropped text isn't kept. block is the element that the line is in, linked how many characters are in links.
 
     A piece is text with the marks around it: numbers of elements with a word of MARKS. around: of each mark, the regions
     around it. held: of each mark, the regions that it holds or is.
@@ -130,8 +145,12 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], bool, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], bool, int, tuple[int, ...], int, int]] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # element, whether it drops its text, its region or -1, whether it is marked
+        self.elements: list[tuple[str, int]] = [("", -1)]  # blocks: element and the block around it, a lower number
+        self.inner = 0
+        self.siblings: list[tuple[int, ...]] = []  # of each region, those around it
+        self.linked = 0
         self.marks: tuple[int, ...] = ()
         self.around: list[tuple[int, ...]] = []
         self.held: list[list[int]] = []
@@ -146,15 +165,16 @@ class _Lines(HTMLParser):
 
     def end_line(self) -> None:
         if self.hidden or any(marks or not text.isspace() for text, marks in self.parts):
-            self.lines.append((self.parts, self.hidden, self.tags, self.regions))
+            self.lines.append((self.parts, self.hidden, self.tags, self.regions, self.inner, self.linked))
             self.tags = 0
-        self.parts, self.hidden = [], False
+        self.parts, self.hidden, self.linked = [], False, 0
 
     def pop(self) -> None:
         name, drops, region, marked = self.open.pop()
         self.names[name] -= 1
         if self.blocks and self.blocks[-1] == len(self.open):
             self.blocks.pop()
+            self.inner = self.elements[self.inner][1]
         self.dropping -= drops
         if region >= 0:
             self.regions = self.regions[:-1]
@@ -190,7 +210,8 @@ class _Lines(HTMLParser):
                     self.around.append(self.regions)
                     break
         region = -1
-        if tag in REGIONS and not drops:
+        if tag in REGIONS and not drops and len(self.regions) < DEEPEST:
+            self.siblings.append(self.regions)
             region = self.count
             self.count += 1
             self.regions += (region,)
@@ -199,6 +220,8 @@ class _Lines(HTMLParser):
         self.dropping += drops
         if tag in BLOCKS:
             self.blocks.append(len(self.open))
+            self.elements.append((tag, self.inner))
+            self.inner = len(self.elements) - 1
         self.open.append((tag, drops, region, marked))
         self.names[tag] += 1
 
@@ -218,6 +241,8 @@ class _Lines(HTMLParser):
             self.hidden = True
         else:
             self.parts.append((data, self.marks))
+            if self.names["a"]:
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: list[float], sigma: float = 1.5) -> list[float]:
@@ -246,15 +271,15 @@ def threshold(values: list[float]) -> float:
     return at
 
 
-def read_lines(parser: _Lines, excluded: set[int]) -> list[tuple[str, int, bool, tuple[int, ...]]]:
-    """(text, tags, marked, regions) per line, without the text in excluded marks."""
+def read_lines(parser: _Lines, excluded: set[int]) -> list[tuple[str, int, bool, tuple[int, ...], int, int]]:
+    """(text, tags, marked, regions, block, linked) per line, without the text in excluded marks."""
     lines, carried = [], 0
-    for pieces, hidden, tags, regions in parser.lines:
+    for pieces, hidden, tags, regions, block, linked in parser.lines:
         shown = [text for text, marks in pieces if excluded.isdisjoint(marks)]
         text = " ".join("".join(shown).split())
         carried += tags
         if text or hidden or len(shown) < len(pieces):
-            lines.append((text, carried, not text, regions))
+            lines.append((text, carried, not text, regions, block, linked))
             carried = 0
     return lines
 
@@ -267,7 +292,7 @@ def excluding(parser: _Lines) -> set[int]:
     if it holds most of the high-ratio text, found with all marked text kept, and no article or main is left with text.
     """
     excluded = set(range(len(parser.held)))
-    lines = [(pieces, regions, tags) for pieces, _, tags, regions in parser.lines]
+    lines = [(pieces, regions, tags) for pieces, _, tags, regions, *_ in parser.lines]
     sizes = [len(" ".join("".join(text for text, _ in pieces).split())) for pieces, _, _ in lines]
     lines = [(*line, size) for line, size in zip(lines, sizes, strict=True) if size]
     if not excluded or not lines:
@@ -322,32 +347,62 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     # Marked lines count as text-free: their ratio is 0.
-    ratios = smoothed([0.0 if marked else len(text) / (1 + tags) for text, tags, marked, _ in lines])
+    ratios = smoothed([0.0 if marked else len(text) / (1 + tags) for text, tags, marked, *_ in lines])
     limit = threshold(ratios)
     chosen = [not line[2] and r >= limit for line, r in zip(lines, ratios, strict=True)]
     if not any(chosen):
         chosen = [not line[2] for line in lines]
     by_region: dict[int, int] = {}
     total = 0
-    for (text, _, _, regions), yes in zip(lines, chosen, strict=True):
+    for (text, _, _, regions, *_), yes in zip(lines, chosen, strict=True):
         if yes:
             total += len(text)
             if regions:
                 for region in regions:
                     by_region[region] = by_region.get(region, 0) + len(text)
     best = max(by_region, key=lambda r: (by_region[r], r), default=-1)
-    if best >= 0 and 2 * by_region[best] >= total:
-        return " ".join(text for text, _, marked, regions in lines if not marked and best in regions)
-    # No element holds the article: from the first to the last chosen line, and on to the next marked lines.
+    if best >= 0:
+        beside = {r for r, size in by_region.items() if parser.siblings[r] == parser.siblings[best] and size >= SIBLING * by_region[best]}
+        if 2 * sum(by_region[r] for r in beside) >= total:
+            return " ".join(text for text, _, marked, regions, *_ in lines if not marked and not beside.isdisjoint(regions))
+    return clustered(parser.elements, lines)
+
+
+def clustered(elements: list[tuple[str, int]], lines: list[tuple[str, int, bool, tuple[int, ...], int, int]]) -> str:
+    """The text of the element in which nearly all text of the upper cluster lies; characters in links don't count.
+
+    If that is the page itself, the text from the first to the last line of the cluster, with the headings right before.
+    """
+    own = [0 if marked else max(0, len(text) - linked) for text, _, marked, _, _, linked in lines]
+    ratios = smoothed([n / (1 + line[1]) for n, line in zip(own, lines, strict=True)])
+    limit = threshold(ratios)
+    chosen = [n > 0 and 2 * n >= len(line[0]) and max(r, n / (1 + line[1])) >= limit for n, line, r in zip(own, lines, ratios, strict=True)]
+    if not any(chosen):
+        chosen = [n > 0 for n in own] if any(own) else [not line[2] for line in lines]
+    held = [0] * len(elements)
+    for n, line, yes in zip(own, lines, chosen, strict=True):
+        held[line[4]] += n * yes
+    children: list[list[int]] = [[] for _ in elements]
+    for e in range(len(elements) - 1, 0, -1):
+        held[elements[e][1]] += held[e]
+        children[elements[e][1]].append(e)
+    at = 0
+    while held[at] and (inner := max(children[at], key=lambda e: held[e], default=None)) is not None and held[inner] >= NEARLY_ALL * held[at]:
+        at = inner
+    within = [False] * len(elements)
+    within[at] = True
+    for e in range(at + 1, len(elements)):
+        within[e] = within[e] or within[elements[e][1]]
+    if at and elements[at][0] not in ("html", "body"):
+        return " ".join(line[0] for line in lines if not line[2] and within[line[4]])
     yes = [i for i, c in enumerate(chosen) if c]
     if not yes:
         return ""
-    first, last = yes[0], yes[-1]
-    while first > 0 and not lines[first - 1][2]:
+    first = yes[0]
+    while first > 0 and not lines[first - 1][2] and elements[lines[first - 1][4]][0] in HEADINGS:
         first -= 1
-    while last + 1 < len(lines) and not lines[last + 1][2]:
-        last += 1
-    return " ".join(line[0] for line in lines[first : last + 1] if not line[2])
+    inner = range(first, yes[-1] + 1)
+    return " ".join(lines[i][0] for i in inner if not lines[i][2] and (chosen[i] or 2 * lines[i][5] <= len(lines[i][0])))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
