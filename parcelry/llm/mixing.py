@@ -2,8 +2,8 @@
 
 Each source's words form one stream, cut into blocks of a fixed number of words. The mix is a list of slots; a source
 holds as many slots as its target needs. Its slots are thrown into the output shards like balls into bins, so a shard's source counts
-are a multinomial draw, under the condition that a source's counts add up to its slots. The drawn counts decide which of
-a source's slots a shard holds: the next so many in shard order. Slot j of a source with N blocks belongs to pass j div N and takes the block that
+are a multinomial draw, under the condition that a source's counts add up to its slots, so that a source's share is met exactly. The drawn counts decide how a shard is mixed
+and which of a source's slots it holds, the next so many in shard order; how often a document is taken in all depends on the permutations alone. Slot j of a source with N blocks belongs to pass j div N and takes the block that
 the pass's pseudorandom permutation of 0..N-1 gives for j mod N. Blocks join by index.
 
 Nothing depends on partitioning or on the order in which rows are read: reruns agree.
@@ -151,22 +151,24 @@ class Mix:
         return blocks.join(p, blocks["source"].eqNullSafe(p["p_source"])).drop("p_source")
 
     def taken(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, taken: one row per row of docs."""
-        counts = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
+        """doc_id, source, size, source_size, target, taken, first_shard (the first output shard with words of it; null where none are taken): one row per row of docs."""
+        counts = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
         b = self.ranked(self.blocks).join(counts.hint("merge"), ["rank", "block"], "left")
         per = b.groupBy("row", "doc_id", "source", "size", "source_size", "target")
-        return per.agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken")).drop("row")
+        return per.agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.min("shard").alias("first_shard")).drop("row")
 
-    def documents(self) -> DataFrame:
+    def documents(self, by_shard: bool = False) -> DataFrame:
         """The mix as documents (needs whole=True): for each pass that takes words of a row, that row with the words taken, in order.
 
         A row taken whole keeps its text; of one taken in part the words are joined by one space. n_chars, if there, is
-        counted anew.
+        counted anew. by_shard: with output_shard, and for each shard the words that it holds by the draw, so a row that several shards share comes in parts; else those parts are one.
         """
-        pieces = self.ranked(self.blocks).join(self.slots.select("rank", "pass", "block").hint("merge"), ["rank", "block"])
-        spans = pieces.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("mixed"))
+        keys = ["row", "pass", "shard"] if by_shard else ["row", "pass"]
+        pieces = self.ranked(self.blocks).join(self.slots.select("rank", "pass", "shard", "block").hint("merge"), ["rank", "block"])
+        spans = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("mixed"))
         out = self.sizes.select("row", "size", "d").join(spans, "row")
         part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("w"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
         out = out.withColumn("w", F.when(F.col("mixed") < F.col("size"), words(F.col("d.text"))))
         out = out.withColumn("mixed_text", F.when(F.col("mixed") < F.col("size"), part).otherwise(F.col("d.text")))
-        return out.select(*(renewed(c, F.col(f"d.`{c}`"), F.col("mixed_text")) for c in self.columns))
+        shard = [F.col("shard").alias("output_shard")] if by_shard else []
+        return out.select(*shard, *(renewed(c, F.col(f"d.`{c}`"), F.col("mixed_text")) for c in self.columns))

@@ -59,7 +59,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.mixing import Mix
 
-    return Mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken().select("doc_id", "size", "source_size", "target", "taken")
+    return Mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken().select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,27 @@ def test_slots_are_permutations_and_documents_follow_the_plan(spark, documents):
     assert {d: n for d, n in words.items() if n} == dict(mixed)
 
 
+def test_shards_hold_what_the_draw_gives_them(spark, documents):
+    m = Mix(documents, shard_slots=64, whole=True)
+    sources = {r.rank: r.source for r in m.plan.collect()}
+    drawn = {(r.shard, sources[r["rank"]]): r.n for r in m.draws.collect()}
+    held, every = Counter(), Counter()
+    for r in m.documents(by_shard=True).collect():
+        n = len(WORD.findall(r.text))
+        held[r.output_shard, r.source] += n
+        every[r.doc_id] += n
+    assert every == Counter({r.doc_id: r.taken for r in m.taken().collect() if r.taken})
+    for key, n in drawn.items():
+        assert 64 * (n - 1) <= held[key] <= 64 * n or abs(held[key] - 64 * n) <= 64, key  # a source's last block is shorter
+    per = Counter()
+    for (shard, _), n in drawn.items():
+        per[shard] += n
+    assert len(per) > 5 and len(set(per.values())) > 1
+    other = {(r.shard, sources[r["rank"]]): r.n for r in Mix(documents, shard_slots=64, seed=18).draws.collect()}
+    assert other != drawn and {s: sum(n for (_, x), n in drawn.items() if x == s) for s in sources.values()} == {s: sum(n for (_, x), n in other.items() if x == s) for s in sources.values()}
+    assert all((r.first_shard is None) == (r.taken == 0) for r in m.taken().collect())
+
+
 def facts(text):
     w = WORD.findall(text or "")
     windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
