@@ -74,6 +74,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def risk(w: np.ndarray, bias: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positives' and the negatives' part of the unbiased logistic risk of an additive function, and the direction of a step.
+
+    p and u name the bin of each statistic of each row. The direction is the gradient of both parts (by bin, then the bias) while the negatives' part isn't
+    negative; else it is that of undoing this part alone.
+    """
+
+    def gradient(at: np.ndarray, per_row: np.ndarray) -> np.ndarray:
+        """Of the mean over rows, by bin and for the bias."""
+        g = np.bincount(at.ravel(), np.repeat(per_row, at.shape[1]), len(w)) / len(at)
+        return np.append(g, per_row.mean())
+
+    gp, gu = w[p].sum(axis=1) + bias, w[u].sum(axis=1) + bias
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    d_negative = gradient(u, _logistic(gu)) - prior * gradient(p, _logistic(gp))
+    return prior * np.logaddexp(0, -gp).mean(), negative, prior * gradient(p, -_logistic(-gp)) + d_negative if negative >= 0 else -d_negative
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> Model:
     """Minimises the non-negative risk over additive functions of binned statistics, by Adam on the whole samples."""
     both = np.concatenate([positive, unlabelled])
@@ -87,19 +109,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int =
     w, bias = np.zeros(offset[-1]), 0.0
     m, v = np.zeros(offset[-1] + 1), np.zeros(offset[-1] + 1)
 
-    def gradient(at: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-        """Of the mean over rows, by bin and for the bias."""
-        g = np.bincount(at.ravel(), np.repeat(per_row, at.shape[1]), offset[-1]) / len(at)
-        return np.append(g, per_row.mean())
-
-    def logistic(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
     for step in range(1, steps + 1):
-        gp, gu = w[p].sum(axis=1) + bias, w[u].sum(axis=1) + bias
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        d_negative = gradient(u, logistic(gu)) - prior * gradient(p, logistic(gp))
-        d = prior * gradient(p, -logistic(-gp)) + d_negative if negative >= 0 else -d_negative
+        d = risk(w, bias, p, u, prior)[2]
         d[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

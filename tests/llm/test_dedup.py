@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parcelry.llm.near_dedup import deduplicated, near_duplicates, samples, similarity, weighted_shingles
+from parcelry.llm.near_dedup import deduplicated, near_duplicates, samples, similarity, weighted_shingles, word_weights
 from parcelry.llm.substring_dedup import Repeats
 from parcelry.llm.tokens import chunks
 
@@ -45,6 +45,33 @@ def jaccard(a, b):
     return (a & b).total() / (a | b).total()
 
 
+def test_recall_at_the_operators_own_threshold(spark, data):
+    """Every pair of texts with a weighted similarity of 0.8 or more, found by brute force over shared shingles, is in one class."""
+    r = random.Random(3)
+    texts = [x.text for x in spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").orderBy("doc_id").collect()]
+    long = [t.split(" ") for t in texts if 60 <= t.count(" ") <= 400][:120]
+    texts += [" ".join(edited(t, r, max(1, round(len(t) * share)))) for t in long for share in (0.005, 0.01, 0.015, 0.02, 0.03)]
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = word_weights(docs)
+    sets, holders = [], {}
+    for c in chunks(pa.array(texts)):
+        doc, shingle, weight = weighted_shingles(c, idf, 5)
+        for d in range(len(c.bounds) - 1):
+            sets.append((shingle[doc == d], weight[doc == d]))
+    for i, (shingle, _) in enumerate(sets):
+        for x in shingle.tolist():
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for h in holders.values() if len(h) < 200 for k, a in enumerate(h) for b in h[k + 1 :]}
+    links = [(a, b) for a, b in pairs if similarity(sets[a], sets[b]) >= 0.8]
+    got = {x.doc_id: x.class_id for x in near_duplicates(docs).collect()}
+    joined = sum(got[a] == got[b] for a, b in links)
+    print(f"{joined} of {len(links)} pairs of at least 0.8 joined")
+    assert len(links) > 300 and joined >= 0.99 * len(links)
+    linked = {x for pair in links for x in pair}
+    assert all(i in linked for i, c in got.items() if sum(v == c for v in got.values()) > 1)  # nothing else is joined
+
+
 def test_near_duplicates_find_all_clear_pairs_and_join_no_clean_ones(spark, corpus):
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
     sets = {d: shingles(t) for d, t in corpus}

@@ -1,12 +1,18 @@
 """Language ID and quality model: held-out accuracy, contracts, odd rows."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
 from pyspark.sql import functions as F
 
+from parcelry.llm import language_id as li
 from parcelry.llm.language_id import accepted, calibrated, identify, softmax
-from parcelry.llm.quality_model import estimated_prior, fit, score_quality
+from parcelry.llm.quality_model import estimated_prior, fit, risk, score_quality
 from parcelry.llm.shared import fold
 
 
@@ -84,8 +90,8 @@ def test_prior_comes_from_positives_and_unlabelled_rows():
     assert estimated_prior(good[:9], bad[:9]) == 0.5
 
 
-def test_risk_gradient_and_language_step_equal_brute_force():
-    """One step of the learners by plain loops: FTRL over one example, and the sign of the first quality step."""
+def test_language_step_equals_brute_force():
+    """One FTRL step over one example by a plain loop."""
     from parcelry.llm.language_id import ftrl
 
     bucket, v = np.array([3, 8]), np.array([0.6, 0.8])
@@ -96,6 +102,76 @@ def test_risk_gradient_and_language_step_equal_brute_force():
             want = 0.0 if abs(z) <= 0.02 else -(z - np.sign(z) * 0.02) / ((1.0 + n**0.5) / 0.5 + 0.01)
             assert abs(w[k, c] - want) < 1e-12
     assert (b > 0).tolist() == [False, True]
-    x = np.array([[0.0], [1.0], [2.0], [3.0]] * 30)
-    m = fit(x[:60] * 0, x, 0.25, bins=4, steps=60)
-    assert m.score(np.array([[0.0]]))[0] > 0.5 > m.score(np.array([[3.0]]))[0]
+
+
+@pytest.mark.parametrize("scale", [0.1, 3.0])
+def test_risk_and_gradient_equal_brute_force(scale):
+    """The risk by plain loops, and its gradient by finite differences, on both sides of the non-negative bound."""
+    r = np.random.default_rng(6)
+    bins, prior = 9, 0.4
+    w, bias = r.normal(0, scale, bins), 0.3
+    p, u = (np.column_stack([r.integers(0, 4, n), r.integers(4, bins, n)]) for n in (30, 50))
+    if scale > 1:
+        w[u] -= 4  # the unlabelled score low, the positives too: the negatives' part falls below zero
+        prior = 0.95
+        p = u[:30]
+        w[p[:, 0]] += 6
+
+    def parts(w, bias):
+        log = lambda x: math.log1p(math.exp(-abs(x))) + max(x, 0)
+        g = lambda row: sum(w[k] for k in row) + bias
+        positive = prior * sum(log(-g(x)) for x in p) / len(p)
+        return positive, sum(log(g(x)) for x in u) / len(u) - prior * sum(log(g(x)) for x in p) / len(p)
+
+    positive, negative, d = risk(w, bias, p, u, prior)
+    assert np.allclose((positive, negative), parts(w, bias), atol=1e-12)
+
+    def objective(w, bias):
+        a, b = parts(w, bias)
+        return a + b if negative >= 0 else -b
+
+    for k in range(bins + 1):
+        e = np.zeros(bins + 1)
+        e[k] = 1e-6
+        slope = (objective(w + e[:-1], bias + e[-1]) - objective(w - e[:-1], bias - e[-1])) / 2e-6
+        assert abs(slope - d[k]) < 1e-6
+
+
+def test_grams_frequencies_and_logits_equal_brute_force(spark, documents):
+    """n-gram counts, document frequencies, TF-IDF values and logits by plain loops over characters."""
+    texts = [r.text for r in documents.limit(25).collect()] + ["", None, "A", "é1b", "  two  words ", "ΣΑΣ ẞ İx", "中文 हिन्दी"]
+
+    def key(gram):
+        h = len(gram) * 0x27D4EB2F & 0xFFFFFFFF
+        for j, ch in enumerate(gram):
+            h = (h ^ ord(ch)) * int(li._MUL[j]) & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - li.BITS)
+
+    def counts(text):
+        low = pc.utf8_lower(pa.array([text or ""])).to_pylist()[0]
+        letter = [bool(li._LETTER[ord(c)]) if ord(c) < 0x3000 else True for c in low]
+        out = Counter()
+        for n in li.ORDERS:
+            for i in range(len(low) - n + 1):
+                if letter[i] or letter[i + n - 1]:
+                    out[key("".join(c if x else " " for c, x in zip(low[i : i + n], letter[i : i + n], strict=True)))] += 1
+        return out
+
+    want = [counts(t) for t in texts]
+    got = [Counter() for _ in texts]
+    for row, _, doc, bucket, count in li.grams(pa.array(texts, pa.string())):
+        for d, b, c in zip(doc.tolist(), bucket.tolist(), count.tolist(), strict=True):
+            got[row + d][b] = c
+    assert got == want
+
+    model = li.train(spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    df = Counter(b for w in want for b in w)
+    assert all(abs(model.idf[b] - (math.log((len(texts) + 1) / (n + 1)) + 1)) < 1e-12 for b, n in df.items())
+    for row, n, doc, bucket, count in li.grams(pa.array(texts, pa.string())):
+        logits = model.logits(doc, bucket, count, n)
+        for d in range(n):
+            v = {b: (1 + math.log(c)) * model.idf[b] for b, c in want[row + d].items()}
+            length = math.sqrt(sum(x * x for x in v.values())) or 1.0
+            plain = [sum(x / length * model.weights[b, j] for b, x in v.items()) + model.bias[j] for j in range(2)]
+            assert np.allclose(logits[d], plain, atol=1e-9)
