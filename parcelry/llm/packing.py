@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.shared import saved, small_batches
+from parcelry.llm.shared import give_back, saved, small_batches
 from parcelry.llm.tokens import Chunk, chunks, span_hashes
 
 #: Distinct parts that a worker remembers; beyond, it starts anew.
@@ -169,6 +169,7 @@ def _pieces(path: str, end_id: int, limit: int):
                     n = len(ids)
                     rows += ((doc_id, s, min(limit, n - s), zlib.crc32(ids[s : s + limit]), n) for s in range(0, n, limit))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        give_back()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -31,6 +32,13 @@ def large_rows(spark: SparkSession, limit: int = 32 << 20) -> None:
         spark.conf.set(name, str(limit))
 
 
+def give_back() -> None:
+    """Returns to the system what this Python worker has freed: workers outlive their tasks, and their heaps would stay at the highest mark."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
