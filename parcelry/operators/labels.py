@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from parcelry.functions.constants import LABELS
 from parcelry.functions.text import label_candidate, squeezed_words
+from parcelry.sources.stored import new_path
 
 CUTOFF = 85
 WORDS = 4
+#: Up to so many distinct fragments that are labels go to all executors (about 100 bytes each); more meet the lines in a shuffle.
+FEW = 50_000
 #: Labels in their order: of equally similar ones the first counts.
 TERMS = [(label, field) for field, labels in LABELS.items() for label in labels]
 _BITS = 61
@@ -100,7 +103,7 @@ def label_values(lines: DataFrame) -> DataFrame:
 
     A segment ends with the label of the next one's value: its last one to four words, the best by score and words. A word more counts four points at the head of a line, and
     half a point within it; of equals the shorter label counts at the head, the longer one within. Distinct fragments are looked up once; only those that are labels come
-    back to the lines.
+    back to the lines. They are stored and counted first: a plan can't know how many rows an explode makes, and Spark would take the lines for the small side and broadcast them.
     """
     key = ["document_id", "line_no", "conf", "segments"]
     heads = F.slice("segments", 1, F.size("segments") - 1)
@@ -108,8 +111,12 @@ def label_values(lines: DataFrame) -> DataFrame:
     words = squeezed_words(F.col("segment"))
     tails = F.transform(F.sequence(F.lit(1), F.least(F.lit(WORDS), F.size(words))), lambda n: F.struct(n.alias("words"), cleaned(F.array_join(F.slice(words, F.size(words) - n + 1, n), " ")).alias("fragment")))
     each = at.select(*key, "i", F.explode(tails).alias("t")).select(*key, "i", "t.*")
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work each: by size they would go to few tasks
-    hits = each.join(label_matches(each.select("fragment").distinct().repartition(tasks, "fragment")), "fragment")
+    spark = lines.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work each: by size they would go to few tasks
+    matches, path = label_matches(each.select("fragment").distinct().repartition(tasks, "fragment")), new_path(spark, "labels")
+    matches.write.parquet(path)
+    found = spark.read.schema(matches.schema).parquet(path)
+    hits = each.join(F.broadcast(found) if found.count() <= FEW else found.hint("merge"), "fragment")
     rank = F.struct((F.col("key_score") + F.col("words") * F.when(F.col("i") == 0, 4.0).otherwise(0.5)).alias("s"), F.when(F.col("i") == 0, -F.col("words")).otherwise(F.col("words")).alias("w"))
     best = hits.groupBy(*key, "i").agg(F.max_by(F.struct("i", "field_name", "key_score", "words"), rank).alias("label"))
     labels = best.groupBy(*key).agg(F.collect_list("label").alias("labels"))  # at most the segments of a line

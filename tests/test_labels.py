@@ -113,3 +113,19 @@ def test_values_by_kind(spark):
     df = spark.createDataFrame([(i, f, r) for i, (f, r, _) in enumerate(cases)], "i int, f string, r string")
     got = {x.i: x.v for x in df.select("i", ex.value_of(F.col("f"), F.col("r")).alias("v")).collect()}
     assert [(cases[i], v) for i, v in got.items() if v != cases[i][2]] == []
+
+
+def test_lines_are_never_broadcast(spark, monkeypatch):
+    """A plan takes exploded lines for as small as the table they come from; Spark 4 then sent all of them to the driver."""
+    from parcelry.operators import labels
+
+    rows = [(i, 1, 90.0, ["Khasra No", f"{i}  Village", f"Ram{i}pur   Owner Name", "Person"]) for i in range(40)]
+    lines = spark.createDataFrame(rows, "document_id int, line_no int, conf double, segments array<string>")
+    got = {}
+    for few in (50_000, 0):
+        monkeypatch.setattr(labels, "FEW", few, raising=False)
+        found = label_values(lines)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == (few > 0)
+        got[few] = sorted(map(str, found.collect()))
+    assert got[0] == got[50_000] and len(got[0]) == 120
