@@ -3,6 +3,8 @@
 A text that contains a query contains all its trigrams. The posting table has one row per trigram and text, in partitions by trigram and sorted by it, so a query reads
 the few row groups of its own trigrams, counts how many each text has, and looks into those texts alone that have all. Queries with fewer than three
 letters between wildcards scan.
+
+Texts that many rows share (names, kinds, places) are indexed once each, by their hash; rows meet the texts found by the hashes of their columns.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from parcelry.operators.relational import first_per_key
 LEAST = 2
 #: Partitions of a posting table, and parts that the ids of each are dealt to.
 CELLS, DEALT = 64, 8
+#: Up to so many texts found go to all executors as hashes; more meet the rows in a shuffle.
+FEW = 100_000
 #: The columns that each branch looks into.
 RECORD_TEXTS = ("owner_name", "father_or_husband_name", "village", "district", "tehsil", "state", "khasra_number", "khata_number", "survey_number")
 PARCEL_TEXTS = ("owner_name", "parcel_number", "crop", "land_classification")
@@ -48,6 +52,17 @@ def write_postings(rows: DataFrame, id_col: str, columns: list[str], path: str)
     return rows.sparkSession.read.schema(p.schema).parquet(path)
 
 
+def text_key(c: Column) -> Column:
+    """What a shared text is known by: texts of equal hash are told apart when rows are looked into."""
+    return F.xxhash64(F.lower(c.cast("string")))
+
+
+def write_text_postings(texts: list[DataFrame], path: str) -> DataFrame:
+    """The posting table of shared texts, given as tables of one column each: once per trigram and different text. It may hold texts that no row has."""
+    each = reduce(DataFrame.union, [t.toDF("text").select(F.lower(F.col("text").cast("string")).alias("text")) for t in texts])
+    return write_postings(each.filter("text is not null").distinct().select("text", text_key(F.col("text")).alias("text_key")), "text_key", ["text"], path).withColumnRenamed("id", "text_key")
+
+
 def like(c: Column, query: str) -> Column:
     """Whether a text contains the query, ignoring case; % and _ act as wildcards."""
     return F.coalesce(F.ilike(c.cast("string"), F.lit("%" + query.replace("\\", "\\\\") + "%")), F.lit(False))
@@ -58,19 +73,33 @@ def holds(c: Column, query: str) -> Column:
     return F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False))
 
 
-def candidates(rows: DataFrame, id_col: str, index: DataFrame | None, query: str) -> DataFrame:
-    """The rows that can contain the query: by their trigrams where there is an index and the query has any, else all."""
+def with_texts(rows: DataFrame, id_col: str, columns: list[str], found: DataFrame) -> DataFrame:
+    """The rows one of whose columns has a text that was found (text_key)."""
+    if found.count() > FEW:
+        keys = rows.select(id_col, F.explode(F.array_distinct(F.array(*[text_key(F.col(c)) for c in columns]))).alias("text_key"))
+        return rows.join(keys.join(found, "text_key", "left_semi").select(id_col), id_col, "left_semi")
+    for i, c in enumerate(columns):
+        rows = rows.join(F.broadcast(found.select(F.col("text_key").alias(f"_{i}"))), text_key(F.col(c)) == F.col(f"_{i}"), "left")
+    at = [f"_{i}" for i in range(len(columns))]
+    return rows.filter(F.coalesce(*at).isNotNull()).drop(*at)
+
+
+def candidates(rows: DataFrame, id_col: str, index: DataFrame | None, query: str, columns: list[str] | None = None) -> DataFrame:
+    """The rows that can contain the query: by their trigrams, or by those of the texts in their columns, where there is an index and the query has any; else all."""
     grams = trigrams_of(query)
     if index is None or not grams:
         return rows
     cells = sorted({r.c for r in index.sparkSession.createDataFrame([(g,) for g in grams], "g string").select(cell_of(F.col("g")).alias("c")).collect()})  # of the query alone
-    found = index.filter(F.col("cell").isin(cells) & F.col("trigram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+    some = index.filter(F.col("cell").isin(cells) & F.col("trigram").isin(grams))
+    if "text_key" in index.columns:
+        return with_texts(rows, id_col, columns, some.groupBy("text_key").agg(F.count_distinct("trigram").alias("n")).filter(F.col("n") == len(grams)).select("text_key"))
+    found = some.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
     return rows.join(found.select(F.col("id").alias(id_col)), id_col, "left_semi")
 
 
 def matching(rows: DataFrame, id_col: str, columns: list[str], index: DataFrame | None, query: str) -> DataFrame:
     """The rows one of whose columns contains the query."""
-    some = candidates(rows, id_col, index, query)
+    some = candidates(rows, id_col, index, query, columns)
     return some.filter(reduce(lambda a, b: a | b, [like(F.col(c), query) for c in columns]))
 
 
@@ -79,7 +108,7 @@ def hits(documents: DataFrame, records: DataFrame, parcels: DataFrame, fields: D
 
     documents (document_id, ocr_text), records (document_id and the columns of RECORD_TEXTS), parcels (parcel_id, document_id, row_index and those of PARCEL_TEXTS), fields (field_id, document_id,
     field_name, value). A document has one hit of record, parcel or field, the first in this order, and another of its text. A parcel whose
-    land class alone contains the query finds no document. indexes are posting tables by branch: records, parcels, fields, documents.
+    land class alone contains the query finds no document. indexes are posting tables by branch, of rows or of texts: records, parcels, fields, documents.
     """
     q = query.strip()
     if len(q) < LEAST:

@@ -80,6 +80,18 @@ def test_search_by_trigrams_is_the_scan(spark):
     assert "In(trigram, [aba,bab])" in plan and "cell" in plan.partition("PartitionFilters")[2].partition("]")[0]
 
 
+def test_shared_texts_are_indexed_once(spark, monkeypatch):
+    """Before, a text's trigrams were written for every row that has it."""
+    rows = spark.createDataFrame([(i, ("Yellow", "LOW", "lo_w", None)[i % 4], i % 10) for i in range(1000)], "id int, a string, b int")
+    index = search.write_text_postings([rows.select("a"), rows.select("b"), rows.select("a")], new_path(spark, "trigrams"))
+    assert index.count() == 4 + 1 + 2
+    for few in (search.FEW, 0):
+        monkeypatch.setattr(search, "FEW", few)
+        for q in ("low", "Yell", "lo%w", "elo", "zzz", "9"):
+            got = [sorted(r.id for r in search.matching(rows, "id", ["a", "b"], x, q).collect()) for x in (index, None)]
+            assert got[0] == got[1], q
+
+
 def test_hits_by_branch(spark):
     none = {c: None for c in search.RECORD_TEXTS}
     docs = spark.createDataFrame([(1, "x" * 80 + " Ram " + "y" * 80), (2, "ram"), (3, None), (4, "no"), (5, "")], "document_id int, ocr_text string")
