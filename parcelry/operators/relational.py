@@ -73,6 +73,11 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
 
 
+def tasks_for(*tables: DataFrame, most: int = 500_000) -> int:
+    """So many tasks that each gets about `most` rows of the tables (those of Parquet are counted by their footers), and no core is idle."""
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, sum(t.count() for t in tables) // most + 1)
+
+
 def fan_out(parents: DataFrame, children: DataFrame, on: Column, child_key: Column) -> DataFrame:
     """Every parent with its children, or once alone; row_kind is 'parcel' or 'record'."""
     return parents.join(children, on, "left").withColumn("row_kind", F.when(child_key.isNull(), "record").otherwise("parcel"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.operators.aggregates import histogram, mean_nonzero, percent, pivoted, progress, reliability, zero_filled
-from parcelry.operators.records import place_partials, suggestion_partials, suggestions, village_owners, village_totals
+from parcelry.operators.records import different_numbers, place_partials, suggestion_partials, suggestions, village_owners, village_totals
+from parcelry.operators.relational import tasks_for
 from parcelry.plans.registry import plan
 from parcelry.sources.stored import new_path
 from parcelry.sources.tables import Tables
@@ -133,13 +134,14 @@ def village_owner_list(t: Tables) -> DataFrame:
 def place_levels(t: Tables) -> DataFrame:
     """Totals of states, districts and tehsils from one stored table of partials."""
     path = new_path(t.spark, "places")
-    place_partials(*_places(t)).write.parquet(path)
+    place_partials(*_places(t), tasks_for(t.orders, t.lineitem)).write.parquet(path)
     held = t.spark.read.parquet(path)
+    numbers = different_numbers(held, ["state", "district", "tehsil"], tasks_for(held))
     none = F.lit(None).cast("string")
 
     def level(i: int) -> DataFrame:
         by = ["state", "district", "tehsil"][:i]
-        got = village_totals(held, by)
+        got = village_totals(held, by, numbers)
         return got.select(F.lit(i).alias("level"), *[F.col(c) if c in by else none.alias(c) for c in ("state", "district", "tehsil")], *got.columns[i:])
 
     return level(1).unionByName(level(2)).unionByName(level(3))

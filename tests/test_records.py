@@ -136,3 +136,21 @@ def test_a_rule_that_raises_in_a_task_leaves_the_others(spark):
     finally:
         rules.RULES.clear()
         rules.RULES.update(kept)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_sort_no_partials(spark):
+    """The lowest and highest text come from the different numbers; before, all rows of a task were sorted for them, once a level."""
+    records = spark.createDataFrame([(i, "S", "D", "T", "V", "A", str(i % 7), 1.0, True, 1) for i in range(50)], RECORD)
+    path = new_path(spark, "partials")
+    rec.place_partials(records, spark.createDataFrame([(1, 0, "x9", "B", 7.0), (99, 0, "y", "B", 7.0)], PARCEL), 3).write.parquet(path)
+    held = spark.read.parquet(path)
+    numbers = rec.different_numbers(held, ["state", "district"], 3)
+    for by in ([], ["state"], ["state", "district"]):
+        got = rec.village_totals(held, by, numbers)
+        assert tuple(got.first())[len(by) :] == (50, 1, 50, 0, 8, "0", "x9", 57.0, 0.0057)
+        assert "Sort [state" not in _plan(got).split("HashAggregate")[-1] and _plan(got).count("min(number") == _plan(got).count("max(number")
+        assert not any("sum(" in line and "min(number" in line for line in _plan(got).splitlines())
