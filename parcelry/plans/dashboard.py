@@ -164,12 +164,20 @@ SELECT o_orderkey, count(l_orderkey) AS parcels, round(coalesce(sum(l_quantity),
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def village_derived_header(t: Tables) -> DataFrame:
     """What a record's header takes from its parcels: the only number or first-last, the only owner or how many, the sum."""
-    j = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey")
-    first, last = (f("l_partkey", F.struct("l_linenumber", "l_partkey")).cast("string") for f in (F.min_by, F.max_by))
-    numbers, owners = F.count_distinct("l_partkey"), F.count_distinct("l_suppkey")
-    khasra = F.when(numbers == 1, F.min("l_partkey").cast("string")).when(numbers > 1, F.concat(first, F.lit("-"), last))
-    owner = F.when(owners == 1, F.min("l_suppkey").cast("string")).when(owners > 1, F.concat(owners.cast("string"), F.lit(" owners")))
-    return j.agg(F.count("l_orderkey").alias("parcels"), F.round(F.coalesce(F.sum("l_quantity"), F.lit(0.0)), 2).alias("area"), khasra.alias("khasra"), owner.alias("owner"))
+    tasks = tasks_for(t.orders, t.lineitem)
+    at = F.struct("l_linenumber", "l_partkey")
+    per_owner = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition(tasks, "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(
+        F.count("l_orderkey").alias("n"), F.sum("l_quantity").alias("area"), F.min(at).alias("first"), F.max(at).alias("last"), F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"),
+    )
+    lines = per_owner.groupBy("l_orderkey").agg(
+        F.sum("n").alias("n"), F.sum("area").alias("area"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.count("l_suppkey").alias("owners"), F.min("l_suppkey").alias("owner"),
+    )
+    j = t.orders.select("o_orderkey").repartition(tasks, "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("copies")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    text = lambda c: F.col(c).cast("string")
+    khasra = F.when(F.col("low") == F.col("high"), text("low")).when(F.col("low") < F.col("high"), F.concat(text("first.l_partkey"), F.lit("-"), text("last.l_partkey")))
+    owner = F.when(F.col("owners") == 1, text("owner")).when(F.col("owners") > 1, F.concat(text("owners"), F.lit(" owners")))
+    return j.select("o_orderkey", F.coalesce(F.col("copies") * F.col("n"), F.lit(0)).alias("parcels"), F.round(F.coalesce(F.col("copies") * F.col("area"), F.lit(0.0)), 2).alias("area"), khasra.alias("khasra"), owner.alias("owner"))
 
 
 @plan("""

@@ -235,3 +235,20 @@ def test_external_snapshots_append(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "external")).count() == 6
     with pytest.raises(ValueError):
         sync_external(rows.limit(0), str(tmp_path / "external"))
+
+
+def test_headers_from_lines_without_copies_of_them(spark, tmp_path):
+    """Two distinct counts used to make three rows of every line before the shuffle."""
+    from parcelry.operators.relational import tasks_for
+    from parcelry.plans import ORACLES, PLANS
+    from tests.oracle import compare, connect
+
+    rows = [(1, 1, 5, 7, 1.0), (1, 1, 4, 7, 2.0), (1, 2, 9, 8, 1.0), (2, 1, 5, 7, 0.5), (2, 2, 5, 7, 0.5), (3, 1, 6, 9, None), (9, 1, 1, 1, 1.0), (5, 3, 2, None, 1.0), (5, 1, 2, 4, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (5,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    for t in ("region", "nation", "customer", "supplier", "part", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        spark.range(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    df = PLANS["village_derived_header"](spark, str(tmp_path))
+    assert compare(df, connect(str(tmp_path)), ORACLES["village_derived_header"]) == ""
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+    assert tasks_for(spark.range(10), spark.range(10), most=1) == 21
