@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from parcelry.functions.constants import AREA_UNITS_SQM, HEADER_UNITS
 from parcelry.functions.text import ascii_digits, blank_to_null
 
 _AREA = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([a-zA-Zऀ-ॿ. ]*)"
+#: The longest known unit that a text begins with.
+_UNIT = f"^({'|'.join(map(re.escape, sorted(AREA_UNITS_SQM, key=len, reverse=True)))})"
 
 
 def parse_area(c: Column) -> Column:
@@ -20,11 +24,8 @@ def parse_area(c: Column) -> Column:
     s = F.replace(F.lower(ascii_digits(c)), F.lit(","), F.lit("."))
     value = blank_to_null(F.regexp_extract(s, _AREA, 1)).cast("double")
     text = F.trim(F.btrim(F.regexp_extract(s, _AREA, 2), F.lit(". ")))
-    unit = factor = None
-    for name in sorted(AREA_UNITS_SQM, key=len, reverse=True):
-        hit = F.startswith(text, F.lit(name))
-        unit = F.when(hit, F.lit(name)) if unit is None else unit.when(hit, F.lit(name))
-        factor = F.when(hit, F.lit(AREA_UNITS_SQM[name])) if factor is None else factor.when(hit, F.lit(AREA_UNITS_SQM[name]))
+    unit = blank_to_null(F.regexp_extract(text, _UNIT, 1))  # one look at the text: a condition per unit would read it again for each
+    factor = F.try_element_at(F.create_map(*[F.lit(x) for kv in AREA_UNITS_SQM.items() for x in (kv[0], float(kv[1]))]), unit)
     known = F.coalesce(unit, blank_to_null(text))
     return F.struct(value.alias("value"), F.when(value.isNotNull(), known).alias("unit"), F.round(value * factor, 2).alias("sqm"))
 

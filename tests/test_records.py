@@ -154,3 +154,13 @@ def test_totals_sort_no_partials(spark):
         assert tuple(got.first())[len(by) :] == (50, 1, 50, 0, 8, "0", "x9", 57.0, 0.0057)
         assert "Sort [state" not in _plan(got).split("HashAggregate")[-1] and _plan(got).count("min(number") == _plan(got).count("max(number")
         assert not any("sum(" in line and "min(number" in line for line in _plan(got).splitlines())
+
+
+def test_parcels_are_not_gathered_for_corrections(spark, tmp_path):
+    """Each different reading is looked up once; before, all cells were shuffled by reading and by row, and rows of equal place took each other's correction."""
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(i % 3, 0, None, None, None, None, c, None, {}) for i, c in enumerate(["grm", "rice", None, "", "grm "])], "document_id int, row_index int, parcel_number string, area string, area_unit string, unit_hint string, crop string, remarks string, confidences map<string,double>").write.parquet(path)
+    lexicon = spark.createDataFrame([("crop", "grm", "gram", 1)], "field_name string, ocr_value string, corrected_value string, id int")
+    got = rec.built_parcels(spark.read.parquet(path), lexicon)
+    assert sorted(str(r.crop) for r in got.collect()) == ["", "None", "gram", "gram", "rice"]
+    assert "Exchange hashpartitioning" not in _plan(got)
