@@ -30,6 +30,11 @@ def parse_area(c: Column) -> Column:
     return F.struct(value.alias("value"), F.when(value.isNotNull(), known).alias("unit"), F.round(value * factor, 2).alias("sqm"))
 
 
+def has_figure(c: Column) -> Column:
+    """Whether parse_area reads a value."""
+    return ascii_digits(c).rlike(r"^\s*[0-9]")
+
+
 def compound_area_sqm(c: Column) -> Column:
     """The corrected reading of compound areas: all figures with known units added up, in square metres.
 

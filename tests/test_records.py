@@ -164,3 +164,17 @@ def test_parcels_are_not_gathered_for_corrections(spark, tmp_path):
     got = rec.built_parcels(spark.read.parquet(path), lexicon)
     assert sorted(str(r.crop) for r in got.collect()) == ["", "None", "gram", "gram", "rice"]
     assert "Exchange hashpartitioning" not in _plan(got)
+
+
+def test_records_compare_readings_once(spark):
+    """One comparison for each column and parcels grouped by owner; before, every column kept a second copy of its value, parcels passed a distinct count and areas were read inside a lambda for each row."""
+    documents = spark.createDataFrame([(i, None, None) for i in range(1, 7)], "document_id int, state string, district string")
+    read = [(1, "plot_area", "\t२,5 ha", None, None), (1, "total_area", "9 ha", None, 9.0), (2, "plot_area", ",5 ha", None, 9.0), (2, "total_area", "1 ha", None, 9.0), (3, "plot_area", "x", None, 9.0), (3, "total_area", "", None, 9.0), (4, "village", None, None, 95.0), (4, "village", "less sure", None, 9.0), (5, "village", "b", None, 9.0), (5, "village", "a", None, 9.0), (5, "village", "", "", 1.0)]
+    fields = spark.createDataFrame(read, FIELD)
+    parcels = spark.createDataFrame([(2, 0, "", None, 5.0), (3, 0, "8", "A", 1.0), (3, 1, "8", None, 1.0), (3, 1, "9", "A", 0.5), (6, 0, None, "", None)], PARCEL)
+    df = rec.records_of(documents, fields, parcels)
+    got = {r.document_id: r for r in df.collect()}
+    assert [got[i].plot_area_sqm for i in range(1, 7)] == [25000.0, 10000.0, 2.5, None, None, None] and [got[i].village for i in (4, 5)] == [None, ""]
+    assert (got[3].khasra_number, got[3].owner_name, got[2].khasra_number, got[6].owner_name) == ("8-9", "A", None, None)
+    plan = _plan(df)
+    assert "max_by(" not in plan and "merge_count" not in plan and "transform(" not in plan
