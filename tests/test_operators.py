@@ -252,3 +252,41 @@ def test_headers_from_lines_without_copies_of_them(spark, tmp_path):
     assert compare(df, connect(str(tmp_path)), ORACLES["village_derived_header"]) == ""
     assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
     assert tasks_for(spark.range(10), spark.range(10), most=1) == 21
+
+
+@pytest.mark.parametrize(("cutoff", "long"), [(92, 128), (92, 25), (80, 12), (60, 128)])
+def test_pairs_meet_where_a_similar_reading_can_have_them(spark, monkeypatch, cutoff, long):
+    """All pairs of brute force, of short and of long texts, whatever was put in or left out where."""
+    import random
+
+    from parcelry.functions.fuzzy import ratio_of
+
+    monkeypatch.setattr(ex, "LONG_TEXT", long, raising=False)
+    rng = random.Random(cutoff + long)
+    seen = sorted({"".join(rng.choice("ab अ") for _ in range(rng.choice((1, 2, 3, 9, 12, 13, 24, 25, 26, 31, 40)))).strip() for _ in range(60)} - {""})
+    read = set()
+    for s in seen:
+        for _ in range(2):
+            t = s
+            for _ in range(rng.randint(1, max(1, len(s) * (100 - cutoff) // 100))):
+                i = rng.randrange(len(t) + 1)
+                t = rng.choice((t[:i] + t[i + 1 :], t[:i] + "z" + t[i:], t[1:] + "z", "z" + t))
+            read.add(t.strip())
+    read = sorted(read - {""} - set(seen))
+    open_ = spark.createDataFrame([("f", r) for r in read] + [("other", seen[0])], "field_name string, reading string")
+    latest = spark.createDataFrame([("f", s, f"c{i}", i) for i, s in enumerate(seen)], "field_name string, seen string, learned string, id int")
+    got = {(r.field_name, r.reading, r.seen) for r in ex.near_readings(open_, latest, cutoff).collect() if r.s >= cutoff}
+    assert got == {("f", r, s) for r in read for s in seen if ratio_of(r, s) >= cutoff} and got
+
+
+def test_unlike_readings_seldom_meet(spark):
+    """Pieces count at their own place alone and unlike pairs are dropped before they are scored; before, a piece met every reading that had it anywhere, and each such pair was scored in Python."""
+    import hashlib
+
+    texts = [hashlib.md5(str(i).encode()).hexdigest() for i in range(3000)]
+    latest = spark.createDataFrame([("f", t, "c", i) for i, t in enumerate(texts)], "field_name string, ocr_value string, corrected_value string, id int")
+    values = spark.createDataFrame([("f", t[1:] + "x") for t in texts[::2]], "field_name string, value string")
+    df = ex.corrected(values, latest)
+    assert df.filter("learned = 'c'").count() == 1500
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein(" in plan and plan.count("ArrowEvalPython") == 1
