@@ -168,7 +168,7 @@ SEPARATOR = r"\s*[:;|：ः]\s*|\s+[-–—=]+\s*|\s{3,}"
 FILL_IN = "[_.\\-–—~`'\"]{2,}"
 SEALS = r"\s+[*×★•·`'" + '"' + r"“”‘’]+.*$"
 EDGES = " .,;:_-–—|\"'()*×★•·“”‘’`"
-LATIN_WORD = "^[A-Za-z]+$"
+LATIN_WORD = r"(?U)(?<!\S)[A-Za-z]+(?!\S)"
 
 # Fields whose value is a figure with a unit, or a date; units after a figure; strokes that are a figure one read wrongly.
 FIGURE_FIELDS = ("total_area", "irrigated_area", "unirrigated_area", "plot_area")

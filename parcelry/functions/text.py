@@ -131,9 +131,9 @@ def has_shape(field: Column, value: Column) -> Column:
 
 def is_gibberish(field: Column, value: Column) -> Column:
     """Three or more ASCII signs in a short value, or a name without Devanagari and without a plausible Latin word."""
-    signs = F.regexp_count(value, F.lit("[!\"#$%&'()*+,;<=>?@\\[\\\\\\]^_`{}~“”‘’„«»]"))
+    sign = "[!\"#$%&'()*+,;<=>?@\\[\\\\\\]^_`{}~“”‘’„«»]"
     word = value.rlike("[\\u0900-\\u097F]") | value.rlike(r"\b([A-Z][a-z]{2,}|[a-z]{3,})\b")
-    return ((signs >= 3) & (F.length(value) < 24)) | (field.isin(*NAME_FIELDS) & ~word)
+    return ((F.length(value) < 24) & value.rlike(f"(?s){sign}.*{sign}.*{sign}")) | (field.isin(*NAME_FIELDS) & ~word)
 
 
 def looks_like_person(name: Column) -> Column:
@@ -154,6 +154,16 @@ def squeezed_words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
+def squeezed(c: Column) -> Column:
+    """A text's words with one space between them."""
+    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def word_count(c: Column) -> Column:
+    """The number of words of a text with one space between them."""
+    return F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+
+
 def label_candidate(c: Column) -> Column:
     """Whether a fragment can be a label: two characters, and if Latin only then four letters and a vowel."""
     s = F.btrim(F.lower(F.trim(c)), F.lit(".:()"))

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelry.functions.constants import LABELS
-from parcelry.functions.text import label_candidate, squeezed_words
+from parcelry.functions.constants import ASCII_DIGITS, DEVANAGARI_DIGITS, LABELS
+from parcelry.functions.text import label_candidate, squeezed, word_count
 from parcelry.sources.stored import new_path
 
 CUTOFF = 85
@@ -23,6 +23,9 @@ FEW = 50_000
 #: Labels in their order: of equally similar ones the first counts.
 TERMS = [(label, field) for field, labels in LABELS.items() for label in labels]
 _BITS = 61
+#: What goes from a fragment's ends; digits that no label has (those of each script apart, as they tell whether a fragment is Latin).
+EDGE = ".:()"
+_UNLIKE = ["".join(d for d in digits if not any(d in label for label, _ in TERMS)) for digits in (ASCII_DIGITS, DEVANAGARI_DIGITS)]
 
 
 def most_edits(n: int, cutoff: int = CUTOFF) -> tuple[int, int]:
@@ -74,7 +77,7 @@ def _common(letters: Column, places: Column, n: Column) -> Column:
 
 def cleaned(fragment: Column) -> Column:
     """A fragment as labels are written: lower case, no dots, colons and brackets at its ends."""
-    return F.btrim(F.lower(F.trim(fragment)), F.lit(".:()"))
+    return F.btrim(F.lower(F.trim(fragment)), F.lit(EDGE))
 
 
 def label_matches(fragments: DataFrame, terms: list[tuple[str, str]] | None = None, cutoff: int = CUTOFF) -> DataFrame:
@@ -98,34 +101,78 @@ def label_matches(fragments: DataFrame, terms: list[tuple[str, str]] | None = No
     return scored.groupBy("fragment").agg(F.max_by(F.struct("field_name", "key_score"), F.struct("key_score", -F.col("label_order"))).alias("m")).select("fragment", "m.*")
 
 
+def _alike(segment: Column) -> Column:
+    """A segment's words in lower case, with one digit for all that no label has: they are equally unlike any label, so fragments that differ only there are looked up as one."""
+    return F.translate(F.lower(squeezed(segment)), "".join(_UNLIKE), "".join(digits[:1] * len(digits) for digits in _UNLIKE))
+
+
+def _tails(text: Column, words: Column, edged: Column) -> list[Column]:
+    """The last one to four words of a text with single spaces, as labels are written; null where it has fewer."""
+    last = lambda n: F.substring_index(text, " ", -n)
+    return [F.when(words >= n, F.when(edged, F.btrim(last(n), F.lit(EDGE))).otherwise(last(n))) for n in range(1, WORDS + 1)]
+
+
+def _cut(rows: DataFrame, text: Column) -> tuple[DataFrame, list[Column]]:
+    """rows with what the ends of a text are cut by, each computed once, and these ends."""
+    out = rows.withColumn("_text", text)
+    out = out.withColumns({"_words": word_count(F.col("_text")), "_edged": F.col("_text").rlike(f"[{EDGE}]")})
+    return out, _tails(F.col("_text"), F.col("_words"), F.col("_edged"))
+
+
+def _rank(i: Column, words: Column, key_score: Column) -> Column:
+    """A word more counts four points at the head of a line, half a point within it; of equals the shorter label counts at the head, the longer one within."""
+    return F.struct((key_score + words * F.when(i == 0, 4.0).otherwise(0.5)).alias("s"), F.when(i == 0, -words).otherwise(words).alias("w"))
+
+
+def _labelled(rows: DataFrame, found: DataFrame, segment: Column, i: Column, name: str) -> DataFrame:
+    """rows with struct(rank, field_name, key_score, words) of the label at the end of a segment, or null; found goes to all executors, so no row moves."""
+    out, tails = _cut(rows, _alike(segment))
+    out = out.select(*rows.columns, *[tail.alias(f"_{n}") for n, tail in enumerate(tails, 1)])
+    for n in range(1, WORDS + 1):
+        out = out.join(F.broadcast(found.select(F.col("fragment").alias(f"_{n}"), F.struct("field_name", "key_score").alias(f"_m{n}"))), f"_{n}", "left")
+    hits = [(F.lit(n), F.col(f"_m{n}")) for n in range(1, WORDS + 1)]
+    best = F.greatest(*[F.when(m.isNotNull(), F.struct(_rank(i, n, m["key_score"]).alias("rank"), m["field_name"].alias("field_name"), m["key_score"].alias("key_score"), n.alias("words"))) for n, m in hits])
+    return out.select(*rows.columns, F.explode(F.array(best)).alias(name))  # explode: else filters repeat the whole expression
+
+
+def _few(heads: DataFrame, key: list[str], found: DataFrame) -> DataFrame:
+    """key, i, label and own, the words of the next segment's label, by lookups alone."""
+    some = _labelled(heads, found, F.col("segment"), F.col("i"), "label").filter("label is not null").drop("segment")
+    within = F.when(F.col("i") + 2 < F.size("segments"), F.get("segments", F.col("i") + 1))
+    return _labelled(some, found, within, F.col("i") + 1, "next").select(*key, "i", "label", F.coalesce(F.col("next")["words"], F.lit(0)).alias("own"))
+
+
+def _many(heads: DataFrame, key: list[str], found: DataFrame) -> DataFrame:
+    """The same where the labels found are too many to go to all executors: they meet the lines by sort and merge."""
+    cut, tails = _cut(heads, _alike(F.col("segment")))
+    each = F.array(*[F.struct(F.lit(n).alias("words"), tail.alias("fragment")) for n, tail in enumerate(tails, 1)])
+    hits = cut.select(*key, "i", F.explode(each).alias("t")).select(*key, "i", "t.*").join(found.hint("merge"), "fragment")
+    best = hits.groupBy(*key, "i").agg(F.max_by(F.struct("i", "field_name", "key_score", "words"), _rank(F.col("i"), F.col("words"), F.col("key_score"))).alias("label"))
+    labels = best.groupBy(*key).agg(F.collect_list("label").alias("labels"))  # at most the segments of a line
+    own = lambda x: F.coalesce(F.get(F.filter("labels", lambda y: y["i"] == x["i"] + 1), F.lit(0))["words"], F.lit(0))
+    each = labels.select(*key, F.explode(F.transform("labels", lambda x: F.struct(x["i"].alias("i"), x.alias("label"), own(x).alias("own")))).alias("p"))
+    return each.select(*key, "p.*")
+
+
 def label_values(lines: DataFrame) -> DataFrame:
     """document_id, line_no, conf, field_name, key_score, raw from lines (document_id, line_no, conf, segments); lines that are equal count once.
 
-    A segment ends with the label of the next one's value: its last one to four words, the best by score and words. A word more counts four points at the head of a line, and
-    half a point within it; of equals the shorter label counts at the head, the longer one within. Distinct fragments are looked up once; only those that are labels come
-    back to the lines. They are stored and counted first: a plan can't know how many rows an explode makes, and Spark would take the lines for the small side and broadcast them.
+    A segment ends with the label of the next one's value: its last one to four words, the best by score and words (_rank). The ends of all segments are looked up once each, those that
+    differ in digits alone as one. Only fragments that are labels come back to the lines. They are stored and counted first: a plan can't know how many rows an explode makes, and
+    Spark would take the lines for the small side and broadcast them.
     """
-    key = ["document_id", "line_no", "conf", "segments"]
-    heads = F.slice("segments", 1, F.size("segments") - 1)
-    at = lines.filter(F.size("segments") >= 2).select(*key, F.posexplode(heads).alias("i", "segment"))
-    words = squeezed_words(F.col("segment"))
-    tails = F.transform(F.sequence(F.lit(1), F.least(F.lit(WORDS), F.size(words))), lambda n: F.struct(n.alias("words"), cleaned(F.array_join(F.slice(words, F.size(words) - n + 1, n), " ")).alias("fragment")))
-    each = at.select(*key, "i", F.explode(tails).alias("t")).select(*key, "i", "t.*")
-    spark = lines.sparkSession
+    key, spark = ["document_id", "line_no", "conf", "segments"], lines.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work each: by size they would go to few tasks
-    matches, path = label_matches(each.select("fragment").distinct().repartition(tasks, "fragment")), new_path(spark, "labels")
+    some = lines.select(*key).filter(F.size("segments") >= 2)
+    heads = F.slice("segments", 1, F.size("segments") - 1)
+    ends = some.select(F.explode(heads).alias("segment")).select(F.substring_index(_alike(F.col("segment")), " ", -WORDS).alias("text")).distinct()
+    cut, tails = _cut(ends, F.col("text"))
+    fragments = cut.select(F.explode(F.array(*tails)).alias("fragment")).distinct()
+    matches, path = label_matches(fragments.repartition(tasks, "fragment")), new_path(spark, "labels")
     matches.write.parquet(path)
     found = spark.read.schema(matches.schema).parquet(path)
-    hits = each.join(F.broadcast(found) if found.count() <= FEW else found.hint("merge"), "fragment")
-    rank = F.struct((F.col("key_score") + F.col("words") * F.when(F.col("i") == 0, 4.0).otherwise(0.5)).alias("s"), F.when(F.col("i") == 0, -F.col("words")).otherwise(F.col("words")).alias("w"))
-    best = hits.groupBy(*key, "i").agg(F.max_by(F.struct("i", "field_name", "key_score", "words"), rank).alias("label"))
-    labels = best.groupBy(*key).agg(F.collect_list("label").alias("labels"))  # at most the segments of a line
-
-    def raw(label: Column) -> Column:
-        after = F.get("segments", label["i"] + 1)
-        own = F.coalesce(F.get(F.filter("labels", lambda x: x["i"] == label["i"] + 1), F.lit(0))["words"], F.lit(0))
-        inner = squeezed_words(after)
-        return F.when(label["i"] + 2 == F.size("segments"), after).otherwise(F.array_join(F.slice(inner, F.lit(1), F.size(inner) - own), " "))
-
-    found = F.transform("labels", lambda x: F.struct(x["field_name"].alias("field_name"), x["key_score"].alias("key_score"), raw(x).alias("raw")))
-    return labels.select("document_id", "line_no", "conf", F.explode(found).alias("p")).select("document_id", "line_no", "conf", "p.*")
+    each = some.repartition(tasks, "document_id", "segments").distinct().select(*key, F.posexplode(heads).alias("i", "segment"))
+    labels = (_few if found.count() <= FEW else _many)(each, key, found).withColumn("after", F.get("segments", F.col("i") + 1)).withColumn("inner", squeezed(F.col("after")))
+    before = F.call_function("substring_index", F.col("inner"), F.lit(" "), word_count(F.col("inner")) - F.col("own"))
+    raw = F.when(F.col("i") + 2 == F.size("segments"), F.col("after")).when(F.col("own") == 0, F.col("inner")).otherwise(before)
+    return labels.select("document_id", "line_no", "conf", "label.field_name", "label.key_score", raw.alias("raw"))

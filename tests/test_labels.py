@@ -1,6 +1,7 @@
 """Label search by its index against every label compared with every fragment."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,40 @@ def test_lines_are_never_broadcast(spark, monkeypatch):
         assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == (few > 0)
         got[few] = sorted(map(str, found.collect()))
     assert got[0] == got[50_000] and len(got[0]) == 120
+
+
+def test_values_keep_their_digits_at_any_place(spark):
+    """Segments lost what letters at their edges their place in the line had: "10" as the second one came out as "0"."""
+    lines = [(i, 1, f"Khasra No : {k}  Village: Rampur   Owner Name : Person {c}", 90.0) for i, (k, c) in enumerate([("10", "474"), ("1", "4"), ("21", "104"), ("11", "44")])]
+    got = sorted((r.document_id, r.field_name, r.value) for r in ex.candidates(spark.createDataFrame(lines, "document_id int, line_no int, line string, conf double")).collect())
+    want = [(i, f, v) for i, (k, c) in enumerate([("10", "474"), ("1", "4"), ("21", "104"), ("11", "44")]) for f, v in (("khasra_number", k), ("owner_name", f"Person {c}"), ("village", "Rampur"))]
+    assert got == want
+
+
+def test_segments_are_the_parts_between_separators(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "1", "4", " ", " ", "   ", "\t", ":", ";", "|", "：", "ः", "-", "–", "=", "राम"]) for _ in range(r.randint(0, 24))) for _ in range(400)]
+    sep = re.compile(r"[ \t]*[:;|：ः][ \t]*|[ \t]+[-–—=]+[ \t]*|[ \t]{3,}")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for x in df.select("i", ex.segments(F.col("t")).alias("s")).collect():
+        want = [p.strip(" ") for p in sep.split(texts[x.i].strip(" ")) if p.strip(" ")]
+        assert x.s == want or len(want) < 2 and len(x.s) == 2, texts[x.i]
+
+
+@pytest.mark.parametrize("few", (50_000, 0))
+def test_lines_that_differ_in_digits_are_looked_up_once(spark, monkeypatch, few):
+    from parcelry.operators import labels
+
+    asked, search = [], labels.label_matches
+    monkeypatch.setattr(labels, "FEW", few)
+    monkeypatch.setattr(labels, "label_matches", lambda fragments, *more: asked.append(fragments.count()) or search(fragments, *more))
+    lines = [(i, 1, 90.0, ["8-अ" if i % 2 else "खाता नं", f"{i} {i * 7}/8  (Village)", f"४{i} \u00a0 ग्राम ", "\u00a0", f"x{i}"]) for i in range(100, 200)]
+    df = spark.createDataFrame([*lines, lines[0], (None, None, None, lines[0][3])], "document_id int, line_no int, conf double, segments array<string>")
+    got = sorted((x.document_id, x.line_no, x.field_name, round(x.key_score, 6), x.raw) for x in label_values(df).collect() if x.document_id)
+    assert got == sorted((d, n, f, round(s, 6), v) for d, n, _, parts in lines for f, s, v in plain_values(parts))
+    assert len(got) == 300 and asked[0] < 200
+
+
+def test_a_title_ends_values_after_wide_letters(spark):
+    df = spark.createDataFrame([(t,) for t in ("🙂🙂 राम खसरा 5", "🙂 Ram Record of Rights 5", "Ram form no 5", "खसरा", "Ram Lal\n", "Ram\n\nform no")], "t string")
+    assert [x.v for x in df.select(ex.trimmed(F.col("t")).alias("v")).collect()] == ["🙂🙂 राम", "🙂 Ram", "Ram", "खसरा", "Ram Lal\n", "Ram form no"]
