@@ -149,11 +149,6 @@ def is_identifier(c: Column) -> Column:
     return core.rlike(r"^[\p{L}\p{N}]+$") & core.rlike(r"\p{Nd}")
 
 
-def squeezed_words(c: Column) -> Column:
-    """The words of a text between any white space; none for an empty text."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-
-
 def squeezed(c: Column) -> Column:
     """A text's words with one space between them."""
     return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
